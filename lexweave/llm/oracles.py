@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from lexweave.llm.quality_rules import COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CLASS_CHARS, MIN_WORD_WORDS
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP2 = rf"""
@@ -34,4 +36,72 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op2_mixing": OP2, "op9_exact_dedup": OP9}
+OP3 = """
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS merged,
+         length(text) + length(text) - length(translate(text, '~[<', '')) AS escaped,
+         length(role) + length(role) - length(translate(role, '~[<', '')) AS escaped_role FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(escaped + CASE WHEN merged THEN length('[NEXT]') ELSE length('<s>[ROLE][TEXT][END]</s>') + escaped_role END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+_COMMON = "CASE lang " + " ".join("WHEN '%s' THEN [%s]" % (k, ", ".join(f"'{w}'" for w in v)) for k, v in COMMON_WORDS.items()) + " END"
+
+
+def _jensen_shannon(p: str, q: str) -> str:
+    def term(x: str, y: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN {x} * log2(2 * {x} / ({x} + {y})) ELSE 0 END"
+
+    pairs = f"list_transform(range(1, len({p}) + 1), lambda i: {term(f'{p}[i]', f'{q}[i]')} + {term(f'{q}[i]', f'{p}[i]')})"
+    return f"sqrt(greatest(list_sum({pairs}) / 2, 0))"
+
+
+def _shares(where: str) -> str:
+    return f"""SELECT *, list_transform([upper, digit, n_chars - word_chars, point, n_symbols, n_chars - upper - digit - (n_chars - word_chars) - point - n_symbols], lambda x: x / greatest(n_chars, 1)::DOUBLE) AS classes,
+       list_transform(list_append(bins, n_words - list_sum(bins)), lambda x: x / greatest(n_words, 1)::DOUBLE) AS commons FROM {where}"""
+
+
+OP7 = rf"""
+WITH base AS (
+  SELECT doc_id, CASE WHEN lang IN ({", ".join(f"'{x}'" for x in COMMON_WORDS)}) THEN lang ELSE '*' END AS lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM base),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM places) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(5) t(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+counts AS (
+  SELECT b.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         coalesce(d.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, length(text) AS n_chars,
+         length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS upper,
+         length(text) - length(translate(text, '0123456789', '')) AS digit,
+         length(text) - length(translate(text, '.,;:!?''"()-', '')) AS point,
+         list_transform(w, lambda x: coalesce(list_position({_COMMON}, lower(rtrim(x, '.,'))), 0)) AS hits
+  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN dups d USING (doc_id)),
+binned AS (
+  SELECT *, list_transform(range(1, 13), lambda k: len(list_filter(hits, lambda h: h = k))) AS bins,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+pooled AS (
+  SELECT lang, {", ".join(f"sum({c}) AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_chars", "upper", "digit", "point"))},
+         [{", ".join(f"sum(bins[{i}])" for i in range(1, 13))}] AS bins FROM binned WHERE NOT base_failed GROUP BY lang),
+reference AS ({_shares("pooled")}),
+shares AS ({_shares("binned")}),
+judged AS (
+  SELECT s.*, {_jensen_shannon("s.classes", "r.classes")} AS class_distance, {_jensen_shannon("s.commons", "r.commons")} AS word_distance
+  FROM shares s LEFT JOIN reference r ON s.lang = r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_chars >= {MIN_CLASS_CHARS} AND coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE})
+       AND NOT (lang <> '*' AND n_words >= {MIN_WORD_WORDS} AND coalesce(word_distance, 0) > {MAX_WORD_DISTANCE}) AS kept
+FROM judged
+"""
+
+ORACLES = {"op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9}
