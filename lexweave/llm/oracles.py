@@ -104,4 +104,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES = {"op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9}
+# Base32 in SQL: eight groups of five bits from each five bytes of the digest, cut from its hex digits.
+OP5 = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+coded AS (
+  SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((
+      (('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INT), 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31) AS INT) + 1, 1)), '') AS payload_digest FROM hashed)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY html) THEN 'response' ELSE 'revisit' END AS record_type,
+       nullif(min(page_id) OVER (PARTITION BY html), page_id) AS refers_to
+FROM coded
+"""
+
+ORACLES = {"op5_warc": OP5, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9}

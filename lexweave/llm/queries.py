@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, chat, exact, mixing, quality_rules, simhash
+from lexweave.llm import bpe, chat, exact, mixing, quality_rules, resampling, simhash, toxicity, warc
 from lexweave.plans.session import ship, table
 
 #: Rank file of the registered encoding query.
@@ -44,6 +44,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(ship(spark), sf_dir, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.importance_resample(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,7 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
