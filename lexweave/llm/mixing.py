@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import WORD
+from lexweave.llm.common import WORD, materialize
 
 #: Hex digits of the random key that name a range; 16 ** 3 ranges per source.
 RANGE_DIGITS = 3
@@ -57,7 +57,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     skey = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
     key = random_key(F.col(id_col), seed)
     lean = docs.select(F.col(id_col).alias("id"), skey.alias("skey"), F.substring(key, 1, RANGE_DIGITS).alias("range"), key.alias("key"), word_count(F.col(text_col)).alias("size"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
-    ranges = lean.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
+    sizes = lean.select("id", "skey", "range", "key", "size")
+    sizes = materialize(sizes, "sizes")  # words are counted once
+    if not carry:
+        lean = sizes
+    ranges = sizes.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
     by_range = Window.partitionBy("skey").orderBy("range")
     ranges = ranges.withColumn("range_before", F.sum("range_size").over(by_range) - F.col("range_size"))
     targets = source_targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
