@@ -17,6 +17,8 @@ BUCKETS = 1 << 15
 #: Labelled rows that the target model and the rejection level are fitted on, at most; chosen by hash of their id.
 MAX_LABELLED = 50_000
 SMOOTHING = 1.0
+#: Counts per bucket that the raw model lends the target model, so that a small target is not taken at its word.
+PRIOR_COUNTS = 4.0
 SEED = 29
 #: Bins of one round of the search for the cut, and rows of a bin that are sorted on the driver at most.
 CUT_BINS, CUT_ROWS = 4096, 4096
@@ -70,9 +72,10 @@ def gram_counts(docs: DataFrame, target_ids: np.ndarray, buckets: int = BUCKETS)
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log of target over raw probability by bucket; the raw counts stand in where the target has none of its own."""
+    """Log of target over raw probability by bucket; the raw model stands in where the target has few counts."""
     prior = (raw + smoothing) / (raw.sum() + smoothing * len(raw))
-    p = (target + smoothing * len(raw) * prior * 0.25) / (target.sum() + smoothing * len(raw) * 0.25)
+    mass = PRIOR_COUNTS * len(raw)
+    p = (target + mass * prior) / (target.sum() + mass)
     return np.log(p) - np.log(prior)
 
 
@@ -143,8 +146,8 @@ def top_k_cut(rows: DataFrame, key: str, k: int) -> float:
 def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, k: int | None = None, seed: int = SEED) -> DataFrame:
     """``(id, grams, log_weight, gumbel_key, selected)`` per row of ``docs``.
 
-    The raw model counts the n-grams of every text; the target model those of rows labelled 1 among ``max_labelled``
-    labelled rows. A text's log weight is the sum over its n-grams of the log ratio of the two models. The k rows
+    The raw model counts the n-grams of every text; the target model those of rows labelled 1 in one half of
+    ``max_labelled`` labelled rows. The other half, which the models have not seen, sets the rejection level. A text's log weight is the sum over its n-grams of the log ratio of the two models. The k rows
     with the largest log weight plus Gumbel noise are selected; by default k is the number of texts at or above the
     level that parts the labelled rows best while it keeps 99% of the good ones.
 
@@ -155,11 +158,12 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
     sample = {r.id: r.good == 1 for r in marks.orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()}
-    targets = np.array(sorted(i for i, good in sample.items() if good), dtype=np.int64)
+    fit_half = {r.id for r in marks.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0).orderBy(F.xxhash64("id"), "id").limit(max_labelled).select("id").collect()}
+    targets = np.array(sorted(i for i, good in sample.items() if good and i in fit_half), dtype=np.int64)
     raw, target = gram_counts(rows, targets)
     scored = materialize(log_weights(rows, log_ratios(raw, target)), "weights")
     if k is None:
-        wanted = scored.sparkSession.createDataFrame([(i,) for i in sample], "l_id long")
+        wanted = scored.sparkSession.createDataFrame([(i,) for i in sample if i not in fit_half], "l_id long")
         fitted = scored.join(F.broadcast(wanted), scored["id"] == wanted["l_id"], "left_semi").select("id", "log_weight").limit(4 * max_labelled).collect()
         level = rejection_level(np.array([r.log_weight for r in fitted]), np.array([sample[r.id] for r in fitted], dtype=bool)) if fitted else -np.inf
         k = scored.where(F.col("log_weight") >= F.lit(float(level))).count()
