@@ -66,7 +66,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fates = materialize(fates.where("NOT stays OR rows > 1"), "fates")
     sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    out = docs.join(fates, same, "left_anti")
+    # by shuffle at every size: the side of dropped rows grows with the input
+    out = docs.join(fates.hint("merge"), same, "left_anti")
     again = fates.where("stays").select("__id", "__sha")
     if again.isEmpty():
         return out
