@@ -50,7 +50,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     where the group has another. An empty table gives an empty result; other columns are not read.
     """
     rows = digests(docs, id_col, text_col)
-    groups = merge_runs(rows, keep).select(*[F.col(c).alias(f"g_{c}") for c in KEY], "keep_id", "keep_row", "group_size")
+    groups = materialize(merge_runs(rows, keep), "groups").select(*[F.col(c).alias(f"g_{c}") for c in KEY], "keep_id", "keep_row", "group_size")
     on = [rows[c] == groups[f"g_{c}"] for c in KEY]
     return rows.join(groups, on).select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("sha"))
 
