@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are handed to Python in record batches of about this many bytes at most (a single longer text makes its own batch).
 BATCH_BYTES = 8 << 20
-CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,24 +62,32 @@ def cleanup() -> None:
         _CREATED.pop(path, None)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs no recomputation of what came before, gives the planner true
-    sizes (a join side is broadcast only if its files are small), and frees the shuffle files of the write.
+    Cuts the lineage so that a lost executor costs no recomputation of what came before, and gives the planner true
+    sizes (a join side is broadcast only if its files are small). ``free`` also lets Spark's cleaner drop the shuffle
+    files of the write now: it follows the driver's garbage collection, which otherwise comes by chance.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP_CONF, None)
-    spark.conf.set(CLEANUP_CONF, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP_CONF)
-        else:
-            spark.conf.set(CLEANUP_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a materialized frame. Only for a frame that no later plan reads."""
+    ref, path = _PATHS.pop(id(df), (None, None))
+    if path is not None and ref() is df:
+        delete_path(df.sparkSession, path)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

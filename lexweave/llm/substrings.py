@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import as_bytes, materialize, partitions_for, text_slices
+from lexweave.llm.common import as_bytes, materialize, partitions_for, release, text_slices
 
 LENGTH, GRAM = 50, 16
 #: Places of a window's anchor, counted from the window's start: 0 to LENGTH - GRAM.
@@ -503,13 +503,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tags = materialize(named.select("id", "text").mapInArrow(lambda it: _tag_batches(it, buckets, doc_buckets), "kind int, bucket long, blob binary"), "tags")
     dealt = tags.where("kind = 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     across = dealt.mapInArrow(lambda it: _shared_tags(it, doc_buckets), "kind int, bucket long, blob binary")
-    wanted = materialize(tags.where("kind = 1").union(across), "shared-tags")
+    wanted = materialize(tags.where("kind = 1").union(across), "shared-tags", free=True)
+    release(tags)
     keyed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(doc_buckets)), F.lit(0)))
     met = keyed.groupBy("bucket").cogroup(wanted.select("bucket", "blob").groupBy("bucket")).applyInArrow(_gather_group(buckets, doc_buckets), "kind int, bucket long, blob binary, id long, uid long, n_bytes long, sha string, text binary")
-    met = materialize(met, "surroundings")
+    met = materialize(met, "surroundings", free=True)
+    release(wanted)
     dealt = met.where("kind = 2").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(lambda it: _sorted_matches(it, doc_buckets), "kind int, bucket long, blob binary").select("bucket", "blob")
-    found = materialize(met.where("kind = 3").select("bucket", "blob").union(found), "matches")
+    found = materialize(met.where("kind = 3").select("bucket", "blob").union(found), "matches", free=True)
     texts = met.where("kind = 1").select("bucket", "id", "uid", "text")
     cut = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_apply_group(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if with_text:
