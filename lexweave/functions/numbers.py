@@ -23,16 +23,15 @@ def _col(c: Column | str) -> Column:
 
 
 def number_key(number: Column | str) -> Column:
-    """Sort key ``array<int>``: each part counts a hundred per unit plus its superscript; other parts count zero."""
+    """Sort key ``array<bigint>``: each part counts a hundred per unit plus its superscript; other parts count zero."""
 
     def part(p: Column) -> Column:
         whole = F.regexp_extract(p, rf"^([0-9]+)([{SUPERSCRIPTS}]*)$", 1)
         raised = F.translate(F.regexp_extract(p, rf"^([0-9]+)([{SUPERSCRIPTS}]*)$", 2), SUPERSCRIPTS, DIGITS)
-        plain = F.try_to_number(F.nullif(whole, F.lit("")), F.lit("9999999")).cast("int")
-        return F.coalesce(plain * 100 + F.coalesce(raised.try_cast("int"), F.lit(0)), F.lit(0))
+        return F.coalesce(whole.try_cast("bigint") * 100 + F.coalesce(raised.try_cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
 
     number = _col(number)
-    return F.when(number.isNull(), F.array(F.lit(LAST_KEY))).otherwise(F.transform(F.split(number, r"\."), part))
+    return F.when(number.isNull(), F.array(F.lit(LAST_KEY).cast("bigint"))).otherwise(F.transform(F.split(number, r"\."), part))
 
 
 def ancestors_and_self(number: Column | str) -> Column:
