@@ -515,7 +515,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = met.where("kind = 1").select("bucket", "id", "uid", "text")
     cut = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_apply_group(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if with_text:
-        untouched = met.where("kind = 0").select("id", "uid", "n_bytes", "sha").distinct().join(rows, ["id", "uid"]).select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
+        done = met.where("kind = 0").select(F.col("id").alias("d_id"), F.col("uid").alias("d_uid"), "n_bytes", "sha").distinct()
+        untouched = rows.join(done, rows["id"].eqNullSafe(done["d_id"]) & (rows["uid"] == done["d_uid"])).select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
     else:
         untouched = met.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return cut.unionByName(untouched)
