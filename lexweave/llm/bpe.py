@@ -14,6 +14,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexweave.llm.common import text_slices
 
@@ -205,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, rows.select("id").schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, rows.select("id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

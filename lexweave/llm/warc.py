@@ -59,7 +59,7 @@ class ZipDirectory:
         tail_at = max(0, size - END_SIZE - ALL16)
         tail = self._at(tail_at, size - tail_at)
         at = tail.rfind(END)
-        while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + END_SIZE > len(tail) or at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(END, 0, at)
         if at < 0:
             raise ValueError("no end of central directory")
