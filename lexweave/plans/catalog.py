@@ -560,7 +560,7 @@ def x_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x_dictionary")
 def x_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    phrases = [r.text for r in table(spark, sf_dir, "benchmark").select("text").distinct().limit(extract.MAX_NAMES).collect()]
+    phrases = extract.load_phrases(table(spark, sf_dir, "benchmark").select("text"))
     return extract.dictionary_match(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), phrases)
 
 
