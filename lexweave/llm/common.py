@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -75,8 +76,10 @@ def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first collection may come before Spark's listeners have let go of the plan
+            time.sleep(0.5)
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return out
 
 

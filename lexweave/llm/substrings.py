@@ -6,7 +6,7 @@ surroundings of equal anchors only, about one place in eighteen.
 
 1. ``_tag_batches``, ``_shared_tags``: each task gives the hashes of its anchors, one row of a batch per hash with the
    smallest document that has it. They meet by hash; those that two documents or more have are shared.
-2. ``_gather``: each document meets its shared hashes and gives the bytes around these anchors. Surroundings that are
+2. ``_gather``: each document meets its shared hashes, and the bytes around these anchors are taken. Surroundings that are
    equal as a whole within a batch are settled there: the smallest document stands for all of them from then on.
 3. ``_sorted_matches``: by anchor, the suffixes that start at the anchors are merge-sorted; two suffixes are compared
    by binary search over the polynomial hashes of their prefixes. Where the sorted suffixes share enough on the right
@@ -230,13 +230,42 @@ def _classes(code: np.ndarray, ids: np.ndarray, rows: np.ndarray, left: np.ndarr
     return np.where(same, leader, np.arange(len(order)))
 
 
-_GATHERED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary()), ("id", pa.int64()), ("uid", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("text", pa.binary())])
-
-
-def _gathered(kind: int, **columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    columns = {"kind": [kind] * n} | columns
-    return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in _GATHERED], schema=_GATHERED)
+def _doc_blobs(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 4: documents (id, whether it is null, uid, length; text) by bucket of ids, packed for the exchange."""
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            texts = as_bytes(part.column("text"))
+            none = part.column("id").is_null().to_numpy(zero_copy_only=False)
+            ids, uids = part.column("id").fill_null(0).to_numpy(), part.column("uid").to_numpy()
+            buckets = np.mod(ids, doc_buckets)
+            blobs = []
+            for bucket in np.unique(buckets).tolist():
+                rows = np.flatnonzero(buckets == bucket)
+                data, _ = _joined([texts[i] for i in rows])
+                blobs.append((bucket, _pack(ids[rows], none[rows].astype(np.uint8), uids[rows], np.array([len(texts[i]) for i in rows], np.int64), data)))
+            yield from _routed(4, iter(blobs))
+
+
+def _documents(blob: bytes) -> Iterator[tuple[int, bool, int, bytes]]:
+    ids, none, uids, sizes, data = _unpack(blob)
+    ends = np.cumsum(sizes)
+    for doc, null, uid, size, end in zip(ids.tolist(), none.tolist(), uids.tolist(), sizes.tolist(), ends.tolist()):
+        yield doc, bool(null), uid, data[end - size : end].tobytes()
+
+
+def _with_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray] | None, bytes]]:
+    """For each blob of documents what its bucket has of the other kind; rows arrive by bucket, documents last."""
+    key, parts, other = None, [], None
+    for batch in batches:
+        for kind, bucket, blob in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob")):
+            if bucket != key:
+                key, parts, other = bucket, [], None
+            if kind < 4:
+                parts.append(_unpack(blob.as_py()))
+            else:
+                if parts:
+                    other, parts = _stack(parts), []
+                yield other, blob.as_py()
 
 
 def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -266,46 +295,33 @@ def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int,
     settled = ids > ids[leader]
     if settled.any():
         mask = _full_mask(left[settled], right[settled])
-        for bucket, blob in _by_bucket(np.mod(ids[settled], doc_buckets), ids[settled], uids[settled], at[settled], mask):
-            yield _gathered(3, bucket=[bucket], blob=[blob])
+        yield from _routed(3, _by_bucket(np.mod(ids[settled], doc_buckets), ids[settled], uids[settled], at[settled], mask))
     rest = ~settled
-    for bucket, blob in _by_bucket((code[rest] & _POSITION).astype(np.int64), code[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest]):
-        yield _gathered(2, bucket=[bucket], blob=[blob])
+    yield from _routed(2, _by_bucket((code[rest] & _POSITION).astype(np.int64), code[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest]))
 
 
-def _gather(docs: pa.Table, tags: pa.Table, buckets: int, doc_buckets: int, step: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """One bucket of documents with its shared hashes. Kind 0: a document without any, done. Kind 1: the text of one
-    with some. Kinds 2 and 3: see ``_surroundings``."""
-    if docs.num_rows == 0:
-        return
-    if tags.num_rows:
-        owner, code = _stack([_unpack(x) for x in tags.column("blob").to_pylist()])
-        order = np.argsort(owner, kind="stable")
-        owner, code = owner[order], code[order]
-    else:
-        owner, code = np.empty(0, np.int64), np.empty(0, np.uint64)
-    ids = docs.column("id").to_pylist()
-    uids = docs.column("uid").to_pylist()
-    column = docs.column("text")
-    part, size, done, kept = [], 0, [], []
-    for i, (doc, uid) in enumerate(zip(ids, uids)):
-        text = (column[i].as_py() or "").encode()
-        s, e = (np.searchsorted(owner, doc), np.searchsorted(owner, doc, side="right")) if doc is not None else (0, 0)
-        if s == e:
-            done.append((doc, uid, len(text), hashlib.sha256(text).hexdigest()))
+def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, step: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Documents with their shared hashes, bucket by bucket; see ``_surroundings`` for what comes out."""
+    last, owner, code = None, np.empty(0, np.int64), np.empty(0, np.uint64)
+    for tags, blob in _with_documents(batches):
+        if tags is None:
             continue
-        kept.append((doc, uid, text))
-        part.append((doc, uid, text, code[s:e]))
-        size += len(text)
-        if size >= step:
+        if tags is not last:
+            last = tags
+            order = np.argsort(tags[0], kind="stable")
+            owner, code = tags[0][order], tags[1][order]
+        part, size = [], 0
+        for doc, null, uid, text in _documents(blob):
+            s, e = np.searchsorted(owner, doc), np.searchsorted(owner, doc, side="right")
+            if s == e or null:
+                continue
+            part.append((doc, uid, text, code[s:e]))
+            size += len(text)
+            if size >= step:
+                yield from _surroundings(part, buckets, doc_buckets)
+                part, size = [], 0
+        if part:
             yield from _surroundings(part, buckets, doc_buckets)
-            yield _gathered(1, bucket=[np.mod(k[0], doc_buckets) for k in kept], id=[k[0] for k in kept], uid=[k[1] for k in kept], text=[k[2] for k in kept])
-            part, size, kept = [], 0, []
-    if part:
-        yield from _surroundings(part, buckets, doc_buckets)
-        yield _gathered(1, bucket=[np.mod(k[0], doc_buckets) for k in kept], id=[k[0] for k in kept], uid=[k[1] for k in kept], text=[k[2] for k in kept])
-    if done:
-        yield _gathered(0, id=[d[0] for d in done], uid=[d[1] for d in done], n_bytes=[d[2] for d in done], sha=[d[3] for d in done])
 
 
 def _prefix_hashes(columns: np.ndarray) -> np.ndarray:
@@ -455,27 +471,27 @@ def covered(n: int, place: np.ndarray, mask: np.ndarray) -> np.ndarray:
 _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _apply(docs: pa.Table, found: pa.Table, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Remove what is covered from one bucket of documents."""
-    if docs.num_rows == 0:
-        return
-    if found.num_rows:
-        ids, uids, place, mask = _stack([_unpack(x) for x in found.column("blob").to_pylist()])
-        order = np.lexsort((uids, ids))
-        ids, uids, place, mask = ids[order], uids[order], place[order], mask[order]
-    else:
-        ids = uids = place = np.empty(0, np.int64)
-        mask = np.empty(0, np.uint64)
-    for part in docs.to_batches():
-        out = []
-        for doc, uid, text in zip(part.column("id").to_pylist(), part.column("uid").to_pylist(), part.column("text")):
-            data = np.frombuffer(text.as_py(), np.uint8)
+def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Remove from every document what its matched windows cover."""
+    last, ids, uids, place, mask = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    for found, blob in _with_documents(batches):
+        if found is None:
+            ids = ids[:0]
+        elif found is not last:
+            order = np.lexsort((found[1], found[0]))
+            ids, uids, place, mask = (a[order] for a in found)
+        last, out = found, []
+        for doc, null, uid, text in _documents(blob):
             s, e = np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right")
             s, e = s + np.searchsorted(uids[s:e], uid), s + np.searchsorted(uids[s:e], uid, side="right")
-            gone = covered(len(data), place[s:e], mask[s:e])
-            rest = data[~gone].tobytes()
-            spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-            out.append({"id": doc, "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest if with_text else None})
+            removed = spans = 0
+            rest = text
+            if e > s and not null:
+                data = np.frombuffer(text, np.uint8)
+                gone = covered(len(data), place[s:e], mask[s:e])
+                rest, removed = data[~gone].tobytes(), int(gone.sum())
+                spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
+            out.append({"id": None if null else doc, "n_bytes": len(text), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest if with_text else None})
         yield pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
 
@@ -505,37 +521,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = dealt.mapInArrow(lambda it: _shared_tags(it, doc_buckets), "kind int, bucket long, blob binary")
     wanted = materialize(tags.where("kind = 1").union(across), "shared-tags", free=True)
     release(tags)
-    keyed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(doc_buckets)), F.lit(0)))
-    met = keyed.groupBy("bucket").cogroup(wanted.select("bucket", "blob").groupBy("bucket")).applyInArrow(_gather_group(buckets, doc_buckets), "kind int, bucket long, blob binary, id long, uid long, n_bytes long, sha string, text binary")
+    docs = rows.mapInArrow(lambda it: _doc_blobs(it, doc_buckets), "kind int, bucket long, blob binary")
+    met = wanted.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    met = met.mapInArrow(lambda it: _gather(it, buckets, doc_buckets), "kind int, bucket long, blob binary")
     met = materialize(met, "surroundings", free=True)
     release(wanted)
-    dealt = met.where("kind = 2").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(lambda it: _sorted_matches(it, doc_buckets), "kind int, bucket long, blob binary").select("bucket", "blob")
-    found = materialize(met.where("kind = 3").select("bucket", "blob").union(found), "matches", free=True)
-    texts = met.where("kind = 1").select("bucket", "id", "uid", "text")
-    cut = texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_apply_group(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    if with_text:
-        done = met.where("kind = 0").select(F.col("id").alias("d_id"), F.col("uid").alias("d_uid"), "n_bytes", "sha").distinct()
-        untouched = rows.join(done, rows["id"].eqNullSafe(done["d_id"]) & (rows["uid"] == done["d_uid"])).select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
-    else:
-        untouched = met.where("kind = 0").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    return cut.unionByName(untouched)
-
-
-def _whole(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    rows = list(batches)
-    return pa.Table.from_batches(rows, schema) if rows else schema.empty_table()
-
-
-def _gather_group(buckets: int, doc_buckets: int):
-    def run(docs: pa.Table, tags: pa.Table) -> pa.Table:
-        return _whole(_gather(docs, tags, buckets, doc_buckets), _GATHERED)
-
-    return run
-
-
-def _apply_group(with_text: bool):
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        return _whole(_apply(docs, found, with_text), _RESULT)
-
-    return run
+    dealt = met.where("kind = 2").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(lambda it: _sorted_matches(it, doc_buckets), "kind int, bucket long, blob binary")
+    found = materialize(met.where("kind = 3").union(found), "matches", free=True)
+    release(met)
+    cut = found.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return cut.mapInArrow(lambda it: _apply(it, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
