@@ -118,4 +118,19 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
 FROM coded
 """
 
-ORACLES = {"op5_warc": OP5, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9}
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, unnest(list_transform(range(0, n - 49), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM d WHERE n >= 50),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, p FROM w JOIN f USING (s) WHERE least < doc_id),
+starts AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM hits),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM starts),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM grouped GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+parts AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)
+"""
+
+ORACLES = {"op8_suffix_dedup": OP8, "op5_warc": OP5, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9}
