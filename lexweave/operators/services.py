@@ -378,3 +378,85 @@ def export_rows(items: DataFrame, list_col: str = "list", list_name: str | None
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     rows = items if list_name is None else items.where(F.col(list_col) == list_name)
     return rows.select("law_name", F.coalesce("number", F.lit("")).alias("provision_number"), names[F.col(list_col)].alias("relationship"), "type", T.label(F.col("type"), F.col("confidence")).alias("label"), "confidence", flags.alias("flags"), "source_url", blank("anchor_number"), blank("explanation"), blank("model"), "snippet")
+
+
+def children(store: GraphStore, id_: str) -> DataFrame:
+    """What is below a provision, in order, the provision itself not."""
+    return store.subtree(id_).where(F.col("article_id") != id_).orderBy("number_key", "article_id")
+
+
+def laws_of_titles(titles: DataFrame, store: GraphStore) -> DataFrame:
+    """``titles(title)`` with the law whose name, but for its last word, opens the title; the longest such name.
+
+    Names are few beside titles: each title is cut to its possible beginnings by word, so the match is an equi-join.
+    """
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, "хууль$", "")))
+    names = store.laws.select(F.col("law_id"), F.regexp_replace(key(F.col("name")), r"\s+", " ").alias("start"))
+    words = F.split(F.regexp_replace(F.lower(F.trim("title")), r"\s+", " "), " ")
+    starts = titles.select("title", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("start"))
+    order = Window.partitionBy("title").orderBy(F.length("start").desc(), "law_id")
+    best = starts.join(names, "start").withColumn("__n", F.row_number().over(order)).where("__n = 1").select("title", "law_id")
+    return titles.join(best, "title", "left")
+
+
+def draft_detail(store: GraphStore, draft_id: str) -> DataFrame:
+    """A draft's operations, a row each, with the present text of the provision they amend."""
+    ops = store.draft(draft_id).select("draft_id", "title", "target_law_id", F.posexplode_outer("operations").alias("pos", "op"))
+    ops = ops.select("draft_id", "title", "target_law_id", "pos", "op.*")
+    texts = store.articles.select(F.col("article_id").alias("t_id"), F.col("title").alias("provision_title"), F.col("text").alias("provision_text"))
+    names = store.laws.select(F.col("law_id").alias("n_id"), F.col("name").alias("law_name"))
+    return ops.join(texts, ops["article_id"] == F.col("t_id"), "left").join(names, ops["law_id"] == F.col("n_id"), "left").drop("t_id", "n_id").orderBy("pos")
+
+
+def cosubmitted_laws(store: GraphStore, draft_id: str) -> DataFrame:
+    """Laws that are submitted with a draft, in order."""
+    ids = store.draft(draft_id).select(F.posexplode("cosubmitted_law_ids").alias("pos", "law_id"))
+    return ids.join(store.laws_with_counts(), "law_id").orderBy("pos")
+
+
+def new_similar(store: GraphStore, change: Change, limit: int = 10) -> DataFrame:
+    """Provisions of other laws similar to the new text of a change, best first; none without a new text."""
+    from lexweave.operators.similarity import similar_to_text
+
+    law = change.law_id or change.article_id.partition(":")[0]
+    rows = similar_to_text(store, change.new_text or "", law, limit)
+    return rows if (change.new_text or "").strip() else rows.where(F.lit(False))
+
+
+def export(store: GraphStore, kind: str, *, article_id: str | None = None, law_id: str | None = None, draft_id: str | None = None, query: str | None = None, change: Change | None = None, list_name: str | None = None) -> DataFrame:
+    """The rows of an export of one kind: connections, law_connections, impact, draft_gap, international or search.
+
+    Lists are never limited here. Only a draft gap reads a record (the draft's) on the driver.
+    """
+    if kind == "connections":
+        rows = export_rows(article_connections(store, _needed(article_id, "article_id")), list_name=list_name)
+    elif kind == "law_connections":
+        rows = export_rows(law_connections(store, _needed(law_id, "law_id"), limit=None), list_name=list_name)
+    elif kind == "impact":
+        items = impact(store, _needed(change, "change")).withColumn("list", F.concat(F.lit("depth"), F.col("depth").cast("string")))
+        rows = export_rows(items, list_name=list_name)
+    elif kind == "draft_gap":
+        draft = store.draft(_needed(draft_id, "draft_id")).first()
+        if draft is None:
+            raise KeyError(draft_id)
+        gap = draft_gap(store, draft.asDict())
+        blank = [F.lit("").alias(c) for c in ("provision_number", "flags", "anchor_number", "explanation", "model", "snippet")]
+        laws = store.laws.select("law_id", "source_url")
+        names = F.create_map(*[F.lit(x) for pair in RELATIONSHIPS.items() for x in pair])
+        rows = gap.join(laws, "law_id", "left").select("law_name", names[F.col("status")].alias("relationship"), F.lit("fact").alias("type"), T.label(F.lit("fact"), F.lit(1.0)).alias("label"), F.lit(1.0).alias("confidence"), "source_url", *blank)
+    elif kind == "international":
+        links = best_links(store, _needed(article_id, "article_id"))
+        rows = links.select(F.col("title").alias("law_name"), F.coalesce("provision", F.lit("")).alias("provision_number"), F.lit(RELATIONSHIPS["international"]).alias("relationship"), F.lit("suggestion").alias("type"), T.label(F.lit("suggestion"), F.col("relevance")).alias("label"), F.col("relevance").alias("confidence"), F.lit("").alias("flags"), F.col("url").alias("source_url"), "anchor_number", "explanation", F.coalesce("model", F.lit("")).alias("model"), F.col("summary").alias("snippet"))
+    elif kind == "search":
+        hits = search(store, _needed(query, "query"))
+        found = _with_law(store, hits, "law_id")
+        rows = found.select(F.col("l_name").alias("law_name"), F.col("number").alias("provision_number"), F.lit(RELATIONSHIPS["search"]).alias("relationship"), F.lit("fact").alias("type"), T.label(F.lit("fact"), F.lit(1.0)).alias("label"), F.lit(1.0).alias("confidence"), F.lit("").alias("flags"), article_url(F.col("number")).alias("source_url"), *[F.lit("").alias(c) for c in ("anchor_number", "explanation", "model")], "snippet")
+    else:
+        raise ValueError(f"unknown kind of export: {kind}")
+    return rows
+
+
+def _needed(value, name: str):
+    if not value:
+        raise ValueError(f"{name} is required")
+    return value

@@ -136,3 +136,37 @@ def test_problems(store, spark):
     broken = [ref("zz:1", "a", "80.1"), ref("b:1", "q", "1"), ref("b:1", "a", "80.1", target_missing=True), ref("b:1", "a", "80", confidence=0.5)]
     bad = GraphStore(store.laws, store.articles, spark.createDataFrame(broken, schema("refs")), store.similar, store.relations, store.amendments, store.drafts, store.intl_sources, store.intl_links)
     assert {r for r in ids(build.problems(bad), "rule")} == {"ref_from_unknown", "ref_to_unknown_law", "ref_to_unknown_article", "missing_flag_wrong", "missing_with_target", "fact_not_certain"}
+
+
+def test_children_titles_and_labels(store, spark):
+    assert [r.number for r in services.children(store, "a:80").collect()] == ["80.1", "80.1.2", "80.2"]
+    titles = spark.createDataFrame([("А хуульд өөрчлөлт",), ("юу ч биш",)], "title string")
+    assert sorted((r.title, r.law_id) for r in services.laws_of_titles(titles, store).collect()) == [("А хуульд өөрчлөлт", "a"), ("юу ч биш", None)]
+    from lexweave.functions import text as T
+
+    said = spark.createDataFrame([("80",), ("104",), ("40",), ("100",), ("80.1",), (None,)], "n string").select(T.provision_label("n").alias("x"))
+    assert [r.x for r in said.collect()] == ["80 дугаар зүйл", "104 дүгээр зүйл", "40 дүгээр зүйл", "100 дугаар зүйл", "80.1", "Хууль бүхэлдээ"]
+
+
+def test_draft_detail_and_every_export(store, spark):
+    op = ("replace", "a", "80.1", "a:80.1", "x", "y", "raw", False, False)
+    draft = ("d1", "1", "t", "a", None, ["a:80.1"], ["b"], "u", [op], [])
+    from dataclasses import replace
+
+    full = replace(store, drafts=spark.createDataFrame([draft], schema("drafts")))
+    (row,) = services.draft_detail(full, "d1").collect()
+    assert (row.op, row.provision_text, row.law_name) == ("replace", "a 80.1 цагийн бичвэр", "А хууль")
+    assert [r.law_id for r in services.cosubmitted_laws(full, "d1").collect()] == ["b"]
+    from lexweave.sources.files import CSV_COLUMNS, csv_text
+
+    calls = {"connections": {"article_id": "a:80"}, "law_connections": {"law_id": "a"}, "impact": {"change": Change(article_id="a:80.1", new_text="x", depth=2)}, "draft_gap": {"draft_id": "d1"}, "international": {"article_id": "a:80"}, "search": {"query": "цаг"}}
+    for kind, arguments in calls.items():
+        rows = services.export(full, kind, **arguments)
+        assert set(rows.columns) == set(CSV_COLUMNS) and rows.count() > 0, kind
+        assert csv_text(rows).count() == rows.count()
+    with pytest.raises(ValueError):
+        services.export(full, "search")
+    with pytest.raises(ValueError):
+        services.export(full, "nothing")
+    assert services.new_similar(store, Change(article_id="a:80.1", new_text="цагийн бичвэр")).count() > 0
+    assert services.new_similar(store, Change(article_id="a:80.1")).count() == 0
