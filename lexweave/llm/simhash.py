@@ -16,8 +16,10 @@ from lexweave.llm.common import as_bytes, connected_components, materialize, par
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
-#: Rows of a tile that are held in memory while other tiles stream past.
-TILE_ROWS = 8192
+#: Rows of a tile that are held in memory while other tiles stream past, and visiting rows that one task meets.
+TILE_ROWS, VISIT_ROWS = 8192, 16384
+#: A group's key holds tile, chunk of visitors and bit counts, each in bits of its own.
+_COUNT_BITS, _CHUNK_BITS = 12, 32
 _CHUNK = 1 << 15
 
 
@@ -133,7 +135,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
     def start_tile() -> None:
         nonlocal tile
         tile = _Tile(np.concatenate(own) if own else np.empty(0, np.uint64), radius)
-        if len(tile.rows):
+        if len(tile.rows) and not int(key) >> _COUNT_BITS & (1 << _CHUNK_BITS) - 1:  # once, not per chunk of visitors
             tile.meet(tile.rows, inside=True)
 
     for batch in batches:
@@ -160,14 +162,15 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield emit(links)
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, visit_rows: int = VISIT_ROWS) -> DataFrame:
     """Spanning links ``(a, b)`` between the distinct values of ``prints.fp`` that differ in at most ``radius`` bits.
 
     A tile holds fingerprints with equal bit counts in the high and in the low half (split further by hash where one
     such class has more than ``tile_rows`` rows). Two rows within the radius differ in these counts by at most the
     radius in sum, so every other pair of tiles is skipped. Each row lives in its own tile and visits the compatible
     tiles on one side; a task holds one tile and streams its visitors through exclusive-or and bit counts. Of the
-    links in a tile only a spanning forest leaves the task: at most one per row, whatever the size of a group.
+    links in a tile only a spanning forest leaves the task: at most one per row, whatever the size of a group. Where
+    a tile has many visitors they are split into chunks, and the tile's rows go to each.
     """
     spark = prints.sparkSession
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -175,19 +178,24 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_RO
     # at most 33 x 33 rows, so it may be broadcast
     tiles = rows.groupBy(F.col("hi").alias("t_hi"), F.col("lo").alias("t_lo")).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
     steps = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(b).alias("db")) for a, b in [(0, 0), *_near_offsets(radius)]])
+    counts = rows.groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    expected = counts.select("n", "hi", "lo", F.explode(steps).alias("s")).groupBy((F.col("hi") + F.col("s.da")).alias("t_hi"), (F.col("lo") + F.col("s.db")).alias("t_lo")).agg(F.sum("n").alias("visitors"))
+    tiles = tiles.join(expected, ["t_hi", "t_lo"]).withColumn("chunks", F.ceil(F.col("visitors") / visit_rows).cast("int"))
     visits = rows.select("fp", F.explode(steps).alias("s"), "hi", "lo").select("fp", (F.col("s.da") == 0).alias("a0"), (F.col("s.db") == 0).alias("b0"), (F.col("hi") + F.col("s.da")).alias("t_hi"), (F.col("lo") + F.col("s.db")).alias("t_lo"))
     visits = visits.join(F.broadcast(tiles), ["t_hi", "t_lo"])
     home = F.col("a0") & F.col("b0")
     mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    visits = visits.withColumn("mine", mine).select("fp", "t_hi", "t_lo", home.alias("home"), "mine", F.explode(F.expr("sequence(IF(a0 AND b0, mine, 0), tiles - 1)")).alias("tile"))
+    visits = visits.withColumn("mine", mine).select("fp", "t_hi", "t_lo", "chunks", home.alias("home"), "mine", F.explode(F.expr("sequence(IF(a0 AND b0, mine, 0), tiles - 1)")).alias("tile"))
     role = F.when(F.col("home") & (F.col("tile") == F.col("mine")), 0).otherwise(1)
-    key = F.col("tile").cast("long") * 4096 + F.col("t_hi") * 64 + F.col("t_lo")
-    keyed = visits.select("fp", key.alias("key"), role.cast("long").alias("role"))
+    own_chunk = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+    visits = visits.withColumn("role", role).withColumn("own", own_chunk).withColumn("chunk", F.explode(F.expr("sequence(IF(role = 0, 0, own), IF(role = 0, chunks - 1, own))")))
+    key = (F.shiftleft(F.col("tile").cast("long"), _CHUNK_BITS) + F.col("chunk")) * (1 << _COUNT_BITS) + F.col("t_hi") * 64 + F.col("t_lo")
+    keyed = visits.select("fp", key.alias("key"), F.col("role").cast("long").alias("role"))
     dealt = keyed.repartition(partitions_for(spark), "key").sortWithinPartitions("key", "role")
     return dealt.mapInArrow(lambda it: _compare(it, radius), "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS, visit_rows: int = VISIT_ROWS) -> DataFrame:
     """``(id, fp, component_id)`` per row of ``docs``.
 
     Equal fingerprints are one class; links are searched between classes only, and membership joins back, so a
@@ -198,7 +206,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    links = materialize(near_links(classes, radius, tile_rows), "links")
+    links = materialize(near_links(classes, radius, tile_rows, visit_rows), "links")
     labels = connected_components(links)
     linked = labels.join(classes, labels["node"] == classes["fp"]).select("fp", "label", "rep")
     least = linked.groupBy("label").agg(F.min("rep").alias("least"))

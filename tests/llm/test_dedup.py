@@ -59,9 +59,9 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("tile_rows", [4, 8192])
-def test_simhash_equals_brute_force(spark, rows, tile_rows):
-    found = simhash.near_duplicate_groups(table(spark, rows), tile_rows=tile_rows).collect()
+@pytest.mark.parametrize("tile_rows,visit_rows", [(4, 3), (8192, 8192)])
+def test_simhash_equals_brute_force(spark, rows, tile_rows, visit_rows):
+    found = simhash.near_duplicate_groups(table(spark, rows), tile_rows=tile_rows, visit_rows=visit_rows).collect()
     assert len(found) == len(rows)
     prints = [brute_fingerprint(t) for _, t in rows]
     by_id = {r.id: r for r in found}
