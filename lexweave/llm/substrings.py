@@ -300,9 +300,10 @@ def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int,
     yield from _routed(2, _by_bucket((code[rest] & _POSITION).astype(np.int64), code[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest]))
 
 
-def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, step: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Documents with their shared hashes, bucket by bucket; see ``_surroundings`` for what comes out."""
+def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, step: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Documents with their shared hashes, some megabytes of text at a time; see ``_surroundings`` for what comes out."""
     last, owner, code = None, np.empty(0, np.int64), np.empty(0, np.uint64)
+    part, size = [], 0
     for tags, blob in _with_documents(batches):
         if tags is None:
             continue
@@ -310,7 +311,6 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, s
             last = tags
             order = np.argsort(tags[0], kind="stable")
             owner, code = tags[0][order], tags[1][order]
-        part, size = [], 0
         for doc, null, uid, text in _documents(blob):
             s, e = np.searchsorted(owner, doc), np.searchsorted(owner, doc, side="right")
             if s == e or null:
@@ -320,8 +320,8 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, s
             if size >= step:
                 yield from _surroundings(part, buckets, doc_buckets)
                 part, size = [], 0
-        if part:
-            yield from _surroundings(part, buckets, doc_buckets)
+    if part:
+        yield from _surroundings(part, buckets, doc_buckets)
 
 
 def _prefix_hashes(columns: np.ndarray) -> np.ndarray:
@@ -460,11 +460,12 @@ def _sorted_matches(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iter
 
 def covered(n: int, place: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Which of ``n`` bytes the matched windows cover."""
+    before = np.arange(PLACES)
+    hit = (mask[:, None] >> before.astype(np.uint64)) & np.uint64(1) == 1
+    starts = np.unique((place[:, None] - before)[hit])
     edges = np.zeros(n + 1, np.int32)
-    for k in range(PLACES):
-        starts = np.unique(place[(mask >> np.uint64(k)) & np.uint64(1) == 1] - k)
-        edges[starts] += 1
-        edges[starts + LENGTH] -= 1
+    edges[starts] += 1
+    np.subtract.at(edges, starts + LENGTH, 1)
     return np.cumsum(edges[:n]) > 0
 
 
