@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm import bpe, exact, mixing, resampling, simhash
+from lexweave.llm import bpe, exact, mixing, resampling, shingles
 from lexweave.llm.common import materialize
 from lexweave.llm.queries import multilingual_vocabulary
 from lexweave.plans.session import ship, table
@@ -23,9 +23,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
+    """Of each group of texts with five-word shingle similarity 0.8 or more the document with the smallest id stays."""
     ship(spark)
-    return simhash.keep_one_per_group(docs)
+    return shingles.keep_one_per_group(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

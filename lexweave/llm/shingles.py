@@ -1,0 +1,260 @@
+"""Near duplicates by shingle sets: every pair of texts whose five-word shingles have Jaccard similarity 0.8 or more, found exactly."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexweave.llm.common import as_bytes, connected_components, materialize, partitions_for, text_slices
+
+SHINGLE_WORDS = 5
+#: Least Jaccard similarity of a link as a fraction of whole numbers; 4/5.
+NUMERATOR, DENOMINATOR = 4, 5
+SEED = 42
+#: One in so many texts is read for the order of shingles; the order decides cost alone, any order gives the same links.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_KEPT = 20, 3, 200_000
+#: Text that is read at once, and pairs that are held before they are counted: bounds on a worker's memory alone.
+SLICE_BYTES, HELD_PAIRS = 2 << 20, 1 << 17
+
+
+def shingle_set(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Distinct shingles of one text in UTF-8 as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
+    tokens = text.lower().split()  # on bytes: only A-Z change, only blanks and controls 9-13 separate
+    if not tokens:
+        return np.empty(0, np.int64)
+    count = max(1, len(tokens) - words + 1)
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count).view(np.int64))
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """64-bit name of a shingle set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
+    """Two similar sets share a shingle among so many first ones of each, in any common order."""
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+
+
+def may_be_similar(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` that share ``overlap`` shingles reach the similarity."""
+    return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (n + m)
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several sampled texts, sorted, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                sets = [shingle_set(t) for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= ORDER_LEAST)
+    found = counts.orderBy(F.desc("count"), "h").limit(ORDER_KEPT).collect()
+    pairs = np.array(sorted((r["h"], r["count"]) for r in found), np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``(id, fp, n, first)`` per row: the set's name, its size, and its prefix in the common order, rare shingles first."""
+    known, often = _frequent(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((known, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                names, sizes, firsts = [], [], []
+                for text in as_bytes(part.column("text")):
+                    s = shingle_set(text)
+                    names.append(set_name(s))
+                    sizes.append(len(s))
+                    if len(known) and len(s):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
+                    firsts.append(s[: prefix_length(len(s))] if len(s) else s)
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], names=["id", "fp", "n", "first"])
+
+    return rows.mapInArrow(run, "id long, fp long, n int, first array<long>")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and set: those of shingles that several sets have, once for each set."""
+    held: list[pa.RecordBatch] = []
+
+    def several(rows: pa.Table) -> pa.RecordBatch:
+        h, fp = rows.column("h").to_numpy(), rows.column("fp").to_numpy()
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])
+        h, fp, place = h[first], fp[first], rows.column("place").to_numpy()[first]
+        same = h[1:] == h[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(fp[keep]), pa.array(place[keep] >> 32), pa.array(place[keep] & 0xFFFFFFFF)], names=["h", "fp", "n", "pos"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = batch.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut or (held and held[-1].column("h")[-1].as_py() != h[0]):  # what is held ends here
+            if held or cut:
+                yield several(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield several(pa.Table.from_batches(held))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], star: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs in the buckets of one partition, sorted by shingle and size, that may be similar and are not joined yet.
+
+    ``shared`` counts the buckets a pair met in. ``star``: only with the bucket's leader, the text with the least of its own.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    h, fp, n, pos, known, comp = (whole.column(c).to_numpy() for c in ("h", "fp", "n", "pos", "known", "comp"))
+    n, pos, known = n.astype(np.int64), pos.astype(np.int64), known.astype(np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(h)) + 1, len(h)]
+    bucket = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    got: list[np.ndarray] = []
+    held_pairs = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal got, held_pairs
+        both = np.concatenate(got)
+        x, y = np.minimum(fp[both[:, 0]], fp[both[:, 1]]), np.maximum(fp[both[:, 0]], fp[both[:, 1]])
+        small = np.where(fp[both[:, 0]] == x, n[both[:, 0]], n[both[:, 1]])
+        large = n[both[:, 0]] + n[both[:, 1]] - small
+        o = np.lexsort((y, x))
+        x, y, small, large = x[o], y[o], small[o], large[o]
+        start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        times = np.diff(np.r_[start, len(x)])
+        got, held_pairs = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (x[start], y[start], small[start], large[start], times)], names=["a", "b", "n", "m", "shared"])
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held_pairs
+        # what both have before this shingle is among the shared ones of either; what they have after it is in the rest of either
+        most = np.minimum(known[i], known[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+        keep = may_be_similar(most, n[i], n[j]) & (comp[i] != comp[j])
+        if keep.any():
+            got.append(np.stack([i[keep], j[keep]], 1))
+            held_pairs += int(keep.sum())
+
+    if star:
+        order = np.lexsort((fp, pos - known, bucket))
+        leader = order[cuts[:-1]]
+        mates = np.arange(len(h))
+        take(leader[bucket][mates != leader[bucket]], mates[mates != leader[bucket]])
+    else:
+        i, step = np.arange(len(h)), 1
+        while len(i):
+            i = i[i + step < len(h)]
+            j = i + step
+            near = (bucket[i] == bucket[j]) & (DENOMINATOR * n[i] >= NUMERATOR * n[j])  # sizes ascend: no later row is nearer
+            i = i[near]
+            take(i, j[near])
+            step += 1
+            if held_pairs > HELD_PAIRS:
+                yield flush()
+    if got:
+        yield flush()
+
+
+def _candidates(postings: DataFrame, comps: DataFrame | None, star: bool) -> DataFrame:
+    """``(a, b, n, m)``: pairs of set names that no bound rules out."""
+    rows = postings.withColumn("comp", F.col("fp")) if comps is None else postings.join(comps, "fp", "left").withColumn("comp", F.coalesce("label", "fp")).drop("label")
+    dealt = rows.select("h", "fp", "n", "pos", "known", "comp").repartition(partitions_for(postings.sparkSession), "h").sortWithinPartitions("h", "n")
+    found = dealt.mapInArrow(lambda it: _pairs(it, star), "a long, b long, n long, m long, shared long").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("shared").alias("shared"))
+    # beyond the shared part of the prefixes, only what follows one of the prefixes can be shared
+    after = F.greatest(F.expr(f"({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}"), F.expr(f"({NUMERATOR} * m + {DENOMINATOR - 1}) div {DENOMINATOR}")) - 1
+    return found.where((NUMERATOR + DENOMINATOR) * (F.col("shared") + after) >= NUMERATOR * (F.col("n") + F.col("m"))).select("a", "b", "n", "m")
+
+
+def _sets_of(rows: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(fp, shingles)`` of every set that stands in a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE_BYTES):
+                sets = [shingle_set(t) for t in as_bytes(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    nodes = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "nodes")
+    ids = named.join(nodes, "fp").groupBy("fp").agg(F.min("id").alias("of")).select("of").distinct()
+    texts = rows.join(ids, rows["id"].eqNullSafe(ids["of"])).select("text")
+    # an id may stand on several rows: names say which of them are asked for
+    return texts.mapInArrow(run, "fp long, shingles array<long>").join(nodes, "fp").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        one, two = batch.column("one"), batch.column("two")
+        keep = []
+        for k in range(batch.num_rows):
+            x, y = one[k].values.to_numpy(), two[k].values.to_numpy()
+            keep.append(bool(may_be_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _links(rows: DataFrame, named: DataFrame, postings: DataFrame, comps: DataFrame | None, star: bool) -> DataFrame:
+    pairs = materialize(_candidates(postings, comps, star), "pairs")
+    sets = materialize(_sets_of(rows, named, pairs), "sets")
+    one = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("two"))
+    return materialize(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_verified, "a long, b long"), "links")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp, component_id)`` per row of ``docs``: texts linked by similarity, groups connected over links.
+
+    Two sets with Jaccard similarity of at least 4/5 share a shingle among the first fifth of each in any common
+    order, so sets are compared only where they meet in such a prefix; bounds on the overlap rule out most of these
+    pairs and the full sets decide the rest. A first round compares with one leader per shingle and joins most of a
+    large group; the second compares all that meet and are not yet in one group, so no link between groups is missed.
+    Equal sets are one class. Null and empty texts, and texts of blanks only, are one group; a row with a null id gets
+    the component of its class (null where the group has no other id); repeated rows stay repeated; an empty table
+    gives an empty result. Other columns of ``docs`` are not read. Shingles and sets are compared by 64-bit hashes.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    full = materialize(_named(rows), "named")
+    named = full.select("id", "fp")
+    classes = materialize(named.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    each = full.select("fp", "n", F.posexplode("first").alias("pos", "h")).select("h", "fp", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
+    met = each.repartition(partitions_for(docs.sparkSession), "h").sortWithinPartitions("h", "fp").mapInArrow(_met, "h long, fp long, n long, pos long")
+    known = F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1
+    postings = materialize(met.withColumn("known", known), "postings")
+    first = _links(rows, named, postings, None, True)
+    comps = connected_components(first).select(F.col("node").alias("fp"), "label")
+    links = materialize(first.union(_links(rows, named, postings, comps, False)), "links")
+    labels = connected_components(links)
+    linked = labels.join(classes, labels["node"] == classes["fp"]).select("fp", "label", "rep")
+    least = linked.groupBy("label").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "label").select("fp", "least")
+    found = classes.join(linked, "fp", "left").select(F.col("fp").alias("class_fp"), F.coalesce("least", "rep").alias("component_id"))
+    return named.join(found, named["fp"] == found["class_fp"]).select("id", "fp", "component_id")
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of its near-duplicate group; columns unchanged.
+
+    A null id is kept only where its group has no id. Of rows that repeat the kept id, all stay: exact
+    deduplication is the step that removes those.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col)
+    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__gone")).distinct()
+    gone = materialize(gone, "gone")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")

@@ -1,0 +1,74 @@
+"""Near duplicates of the pipeline: every pair with five-word shingle similarity 0.8 or more, against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from lexweave.llm import shingles
+
+SCHEMA = "doc_id long, text string, lang string, id string, keep_id long"
+WORDS = [f"w{i}" for i in range(300)]
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_components(texts):
+    sets, reach = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while reach[x] != x:
+            x = reach[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                reach[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Bases with copies from similarity 1 down to below 0.8, sets at the very bound, a common passage, awkward rows."""
+    rng = random.Random(11)
+    common = [rng.choice(WORDS) for _ in range(30)]
+    out = []
+    for base in range(6):
+        words = [rng.choice(WORDS) for _ in range(rng.choice([40, 150, 400]))] + common
+        for copy in range(25):
+            mine = list(words)
+            for _ in range(rng.randint(0, len(words) // 30)):
+                mine[rng.randrange(len(mine))] = f"x{rng.randrange(10**6)}"
+            if copy % 5 == 0:
+                mine = mine[rng.randint(0, 12) :]
+            out.append((len(out), " ".join(mine)))
+    out += [(500 + i, " ".join([f"q{k}" for k in range(k)])) for i, k in enumerate((12, 14, 84, 104, 105))]  # 8 of 10, 80 of 100, 80 of 101 shingles
+    rng.shuffle(out)
+    return out + [(900, None), (901, ""), (902, "  \n"), (903, "one"), (904, "One"), (905, "one two"), (None, out[0][1] + " more"), (3, "another text of the same id with words enough")]
+
+
+def test_groups_equal_brute_force(spark, rows):
+    found = shingles.near_duplicate_groups(spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], SCHEMA)).collect()
+    assert len(found) == len(rows)
+    groups = {}
+    for (i, t), g in zip(rows, brute_components([t for _, t in rows])):
+        groups.setdefault(g, []).append(i)
+    wanted = sorted((str(i), min(x for x in members if x is not None)) for members in groups.values() for i in members)
+    assert sorted((str(r.id), r.component_id) for r in found) == wanted
+
+
+def test_stage_drops_copies_at_similarity_above_four_fifths(spark):
+    words = [f"w{i}" for i in range(150)]
+    near = [*words[:60], "other", *words[61:120], "else", *words[121:]]  # 136 of 156 shingles: 0.87
+    far = [("y" if i % 30 == 7 else w) for i, w in enumerate(words)]  # 121 of 171: 0.71
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "x", 1) for i, t in enumerate((words, near, far))], SCHEMA)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_empty_table(spark):
+    assert shingles.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
