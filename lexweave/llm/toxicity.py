@@ -36,6 +36,8 @@ _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 _RUN = re.compile(r"(.)\1*", re.S)
 _DRAWN = re.compile(r"(.)\1\1").search
+_DOUBLED = re.compile(r"(.)\1").search
+_GAP = re.compile(r"[ .\-_*~]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*~]+){2,}\S(?!\S)")
 
 
@@ -87,32 +89,65 @@ class Decoder:
             return out if times == 1 else out + [(letter * 2, COST_LOOKALIKE) for letter in LOOKALIKES[mark]]
         return [("", COST_SEPARATOR)]
 
-    def viterbi(self, word: str) -> str:
-        """Best path through the lattice of a word; a state is the last two letters."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    def viterbi(self, word: str, breaks: bool = False) -> str:
+        """Best path through the lattice of a word; a state is the last two letters. ``breaks``: words may end anywhere in it.
+
+        A path is a chain of its steps, so that the work is linear in the length.
+        """
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for run in _RUN.finditer(word):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
-                for letters, cost in self.options(run[1], len(run[0])):
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            options = self.options(run[1], len(run[0]))
+            if breaks:
+                options = [*options, *((f"{o[0]} {o[1]}", cost) for o, cost in options if len(o) == 2)]
+                options += [(f" {o}", cost) for o, cost in options if o]
+            for (a, b), (score, chain) in paths.items():
+                for letters, cost in options:
+                    if not b and letters[:1] == " ":
+                        continue
                     x, y, total = a, b, score - cost
                     for letter in letters:
-                        z = _INDEX[letter]
+                        z = _INDEX.get(letter, 0)
                         total += self.model[x][y][z]
                         x, y = y, z
                     if (old := step.get((x, y))) is None or total > old[0]:
-                        step[x, y] = (total, text + letters)
+                        step[x, y] = (total, (chain, letters))
             paths = step
-        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in paths.items())[1]
+        ends = [(score + self.model[a][b][0], self._spelled(chain)) for (a, b), (score, chain) in paths.items()]
+        return max(ends)[1]
+
+    @staticmethod
+    def _spelled(chain: tuple | None) -> str:
+        out = []
+        while chain is not None:
+            chain, letters = chain
+            out.append(letters)
+        return "".join(reversed(out))
 
     def restore(self, word: str) -> str:
-        """A word without the marks around it; decoded if it still holds marks or drawn-out letters."""
+        """A word without the marks around it; decoded if it still holds marks or drawn-out letters besides two letters."""
         core = word.rstrip(".,;:!?\"'()[]{}<>*#%&|~-_$+").lstrip(".,;:?\"'()[]{}<>*#%&~-_")
         if not core or (_PLAIN(core) and not _DRAWN(core)):
             return core
-        if sum(c in _INDEX for c in core) < 2 or len(core) > 64:
+        if sum(c in _INDEX for c in core) < 2:
             return core
         return self.viterbi(core)
 
+    def forms(self, word: str) -> set[str]:
+        """What a word may mean: restored, and decoded where letters are doubled, lookalikes stand at its end or letters are few."""
+        out = {self.restore(word)}
+        wide = word.rstrip(".,;:?\"'()[]{}<>*#%&~-_").lstrip(".,;:?\"'()[]{}<>*#%&~-_")
+        core = wide.rstrip("!|$+")
+        for form in {wide, core}:
+            if form and (not _PLAIN(form) or _DOUBLED(form)):
+                out.add(self.viterbi(form))
+        if _PLAIN(core):
+            out.add(core)
+        return out
+
+    def features(self, word: str) -> set[str]:
+        return {f for form in self.forms(word) for f in word_features(form)}
+
     def words(self, text: str) -> list[str]:
         """Lower-case words; letters spaced apart are put together first."""
         text = text.lower()
@@ -121,8 +156,18 @@ class Decoder:
         return text.split()
 
     def joined(self, spaced: str) -> str:
-        letters = [c for c in spaced if c not in SEPARATORS]
-        return f"{spaced} {self.viterbi(''.join(letters))}" if 3 <= len(letters) <= 64 else spaced
+        """The run as written, as one word, and as words: gaps wider than the narrowest end a word, and the lattice ends others."""
+        letters = "".join(c for c in spaced if c not in SEPARATORS)
+        if len(letters) < 3:
+            return spaced
+        gaps = _GAP.findall(spaced)
+        narrow = min(map(len, gaps), default=0)
+        parts = _GAP.sub(lambda m: "\n" if len(m[0]) > narrow else "", spaced).split("\n")
+        found = [spaced, self.viterbi(letters)]
+        if len(parts) > 1:
+            found += [self.viterbi(p) for p in parts if len(p) > 1]
+        found += [self.viterbi(p, True) for p in parts if len(p) > 2]
+        return " ".join(found)
 
 
 def word_features(word: str) -> list[str]:
@@ -147,7 +192,7 @@ class _Found(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = tuple(i for f in word_features(self.decoder.restore(word)) if (i := self.features.get(f)) is not None)
+        found = tuple(i for f in sorted(self.decoder.features(word)) if (i := self.features.get(f)) is not None)
         if len(word) <= 64:
             self[word] = found
         return found
@@ -167,7 +212,7 @@ def _supported(sample: DataFrame, model: ToxicityModel) -> list[str]:
         decoder = Decoder(shared.value.language)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = {f for w in set(decoder.words(text or "")) for f in word_features(decoder.restore(w))}
+                found = {f for w in set(decoder.words(text or "")) for f in decoder.features(w)}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["feature"])
 
     rows = sample.where("label = 1").select("text").mapInArrow(run, "feature string").groupBy("feature").count()
