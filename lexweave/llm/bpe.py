@@ -23,6 +23,8 @@ REMEMBERED = 400_000
 #: A vocabulary larger than this is not broadcast but refused.
 MAX_VOCAB_BYTES = 64 << 20
 _SEED_SPACE = 1 << 16
+#: Patterns under which a text may be cut at blanks (see ``Codec.encode_joined``); under others the pattern alone cuts.
+CUT_AT_BLANKS = frozenset({r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"})
 
 
 @dataclass(frozen=True)
@@ -112,6 +114,7 @@ class Codec:
         self.text = {str(i): t for t, i in zip(v.tokens, v.ids)}
         self.inner = _Known(self, " ")
         self.blank_run = regex.compile(r" \s").search
+        self.cut_at_blanks = v.pattern in CUT_AT_BLANKS
 
     def whole(self, piece: bytes) -> int:
         """Id of a piece that is a token itself, else -1. Two hashes and one comparison."""
@@ -158,12 +161,13 @@ class Codec:
     def encode_joined(self, text: str) -> str:
         """Ids joined by commas.
 
-        Where no blank is followed by white space, every blank opens a new pre-token and what follows it up to the
-        next blank is cut the same way wherever it stands, so chunks are looked up as wholes.
+        Under a pattern of ``CUT_AT_BLANKS``, where no blank is followed by white space or ends a text after other white
+        space, every blank opens a new pre-token and what follows it up to the next blank is cut the same way wherever it
+        stands, so chunks are looked up as wholes. Any other text or pattern is cut by the pattern alone.
         """
         if not text:
             return ""
-        if self.blank_run(text):
+        if not self.cut_at_blanks or self.blank_run(text) or (text[-1] == " " and text[-2:-1].isspace()):
             return ",".join(map(str, self.encode_chunk(text)))
         first, *rest = text.split(" ")
         head = ",".join(map(str, self.encode_chunk(first)))
