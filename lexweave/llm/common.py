@@ -21,15 +21,17 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose only executor is the driver, takes a temporary folder; a cluster is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, text_slices
+from lexweave.llm.common import materialize, partitions_for, release, text_slices
 
 #: Letters of the character model; everything else is a word boundary. Fixed values.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -22,7 +23,7 @@ SEPARATORS = " .-_*~'"
 COST_LOOKALIKE, COST_DOUBLED, COST_DRAWN, COST_SEPARATOR = 1.0, 6.0, 0.5, 0.2
 #: Labelled rows that the classifier is fitted on, at most; chosen by hash of their id.
 MAX_LABELLED = 20_000
-#: A feature must stand in so many toxic texts of the sample; the model keeps so many features at most.
+#: Defaults of ``train``: a feature must stand in so many toxic texts of the sample; the model keeps so many features at most.
 MIN_SUPPORT, MAX_FEATURES = 5, 8192
 PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 300_000
@@ -35,10 +36,11 @@ for _i, _c in enumerate(LETTERS):
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 _RUN = re.compile(r"(.)\1*", re.S)
-_DRAWN = re.compile(r"(.)\1\1").search
 _DOUBLED = re.compile(r"(.)\1").search
 _GAP = re.compile(r"[ .\-_*~]+")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*~]+){2,}\S(?!\S)")
+#: Three or more single marks with gaps between. A mark is never a gap and no quantifier gives back, so a search reads each
+#: character a fixed number of times.
+_SPACED = re.compile(r"(?<![^\s.\-_*~])[^\s.\-_*~](?:[ .\-_*~]++[^\s.\-_*~](?![^\s.\-_*~])){2,}+")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -127,21 +129,17 @@ class Decoder:
     def restore(self, word: str) -> str:
         """A word without the marks around it; decoded if it still holds marks or drawn-out letters besides two letters."""
         core = word.rstrip(".,;:!?\"'()[]{}<>*#%&|~-_$+").lstrip(".,;:?\"'()[]{}<>*#%&~-_")
-        if not core or (_PLAIN(core) and not _DRAWN(core)):
+        if not core or (_PLAIN(core) and not any(len(m[0]) > 2 for m in _RUN.finditer(core))):
             return core
-        if sum(c in _INDEX for c in core) < 2:
-            return core
-        return self.viterbi(core)
+        return self.viterbi(core) if sum(c in _INDEX for c in core) > 1 else core
 
     def forms(self, word: str) -> set[str]:
-        """What a word may mean: restored, and decoded where letters are doubled, lookalikes stand at its end or letters are few."""
-        out = {self.restore(word)}
+        """What a word of any length may mean: without the marks around it as written, and decoded where it holds marks
+        (also ones at its end that may be lookalikes) or a letter twice in a row."""
         wide = word.rstrip(".,;:?\"'()[]{}<>*#%&~-_").lstrip(".,;:?\"'()[]{}<>*#%&~-_")
         core = wide.rstrip("!|$+")
-        for form in {wide, core}:
-            if form and (not _PLAIN(form) or _DOUBLED(form)):
-                out.add(self.viterbi(form))
-        if _PLAIN(core):
+        out = {self.viterbi(form) for form in {wide, core} if form and (not _PLAIN(form) or _DOUBLED(form))}
+        if _PLAIN(core) or sum(c in _INDEX for c in core) < 2:
             out.add(core)
         return out
 
@@ -149,12 +147,23 @@ class Decoder:
         return {f for form in self.forms(word) for f in word_features(form)}
 
     def words(self, text: str) -> list[str]:
-        """Lower-case words; letters spaced apart are put together first."""
+        """Lower-case words; letters spaced apart are put together first. Linear in the length of the text."""
         text = text.lower()
         if _SPACED.search(text):
-            text = _SPACED.sub(lambda m: self.joined(m[0]), text)
+            text = _SPACED.sub(lambda m: self._spaced(m[0], text, m.start(), m.end()), text)
         return text.split()
 
+    def _spaced(self, run: str, text: str, start: int, end: int) -> str:
+        """A run of single marks, of which those glued to a word on either side stay as they are."""
+        first, last = 0, len(run)
+        if start and not text[start - 1].isspace():
+            first = next((m.end() for m in _GAP.finditer(run) if m[0][-1] == " "), last)
+        if end < len(text) and not text[end].isspace():
+            last = max((m.start() for m in _GAP.finditer(run) if m[0][0] == " "), default=0)
+        if last - first < 5:  # fewer than three marks
+            return run
+        return run[:first] + self.joined(run[first:last]) + run[last:]
+
     def joined(self, spaced: str) -> str:
         """The run as written, as one word, and as words: gaps wider than the narrowest end a word, and the lattice ends others."""
         letters = "".join(c for c in spaced if c not in SEPARATORS)
@@ -182,6 +191,22 @@ class ToxicityModel:
     bias: float = 0.0
 
 
+class _Forms(dict):
+    """Features of a word."""
+
+    def __init__(self, decoder: Decoder):
+        super().__init__()
+        self.decoder = decoder
+
+    def __missing__(self, word: str) -> set[str]:
+        if len(self) >= REMEMBERED // 8:
+            self.clear()
+        found = self.decoder.features(word)
+        if len(word) <= 64:  # what is remembered is bounded; longer words are decoded each time
+            self[word] = found
+        return found
+
+
 class _Found(dict):
     """Numbers of the model's features in a word."""
 
@@ -204,43 +229,67 @@ class _Found(dict):
         return out
 
 
-def _supported(sample: DataFrame, model: ToxicityModel) -> list[str]:
-    """Features that stand in enough toxic texts of the sample, the most frequent ones first."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+def _lifted(sample: DataFrame, language: np.ndarray, max_features: int, min_support: int) -> list[str]:
+    """The features that part the labels best: those of at least ``min_support`` toxic texts, by how far their number of
+    toxic texts is from what the feature's frequency makes likely. Counted over the whole sample in one job."""
+    shared = sample.sparkSession.sparkContext.broadcast(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value.language)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = {f for w in set(decoder.words(text or "")) for f in decoder.features(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["feature"])
+        known = _Forms(Decoder(shared.value))
+        every, toxic = Counter(), Counter()
 
-    rows = sample.where("label = 1").select("text").mapInArrow(run, "feature string").groupBy("feature").count()
-    return [r.feature for r in rows.where(F.col("count") >= MIN_SUPPORT).orderBy(F.desc("count"), "feature").limit(16 * MAX_FEATURES).collect()]
+        def counted() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())], names=["feature", "n", "bad"])
+            every.clear(), toxic.clear()
+            return rows
 
-
-def _presence(sample: DataFrame, model: ToxicityModel) -> list[tuple[int, np.ndarray]]:
-    """Label and features of each sampled text; bounded by the size of the sample."""
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+                found = set().union(*map(known.__getitem__, set(known.decoder.words(text or ""))))
+                every.update(found)
+                if label:
+                    toxic.update(found)
+                if len(every) >= REMEMBERED:
+                    yield counted()
+        yield counted()
+
+    totals = sample.agg(F.count("*"), F.sum("label")).first()
+    share = (totals[1] or 0) / max(1, totals[0])
+    counts = sample.select("label", "text").mapInArrow(run, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    lift = F.abs(F.col("bad") - F.col("n") * F.lit(share)) / F.sqrt(F.col("n") * F.lit(share) + 1)
+    best = counts.where(F.col("bad") >= min_support).withColumn("lift", lift).where("lift >= 3").orderBy(F.desc("lift"), "feature").limit(max_features)
+    return [r.feature for r in best.collect()]
+
+
+def _presence(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label and number of features of each sampled text, and the features of one after the other; bounded by the sample.
+
+    One job; what it brings are packed arrays, a row per task.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Found(shared.value)
+        labels, sets = [], []
         for batch in batches:
-            sets = [sorted(found.of(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, pa.list_(pa.int32()))], names=["label", "found"])
+            sets += [np.array(sorted(found.of(t or "")), np.int32) for t in batch.column("text").to_pylist()]
+            labels.append(batch.column("label").to_numpy().astype(np.int8))
+        if sets:
+            packed = np.concatenate(labels), np.array([len(s) for s in sets], np.int32), np.concatenate(sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["labels", "sizes", "found"])
 
-    return [(r.label, np.array(r.found, np.int32)) for r in sample.select("label", "text").mapInArrow(run, "label int, found array<int>").toLocalIterator()]
+    rows = sample.select("label", "text").mapInArrow(run, "labels binary, sizes binary, found binary").collect()
+    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind) for c, kind in (("labels", np.int8), ("sizes", np.int32), ("found", np.int32)))
 
 
-def _fit(rows: list[tuple[int, np.ndarray]], n: int, penalty: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on feature presence with an L2 penalty, by accelerated gradient steps."""
-    y = np.array([label for label, _ in rows], np.float64)
-    sizes = np.array([len(f) for _, f in rows], np.int64)
-    owner, column = np.repeat(np.arange(len(rows)), sizes), np.concatenate([f for _, f in rows] or [np.zeros(0)]).astype(np.int64)
+def _fit(labels: np.ndarray, sizes: np.ndarray, found: np.ndarray, n: int, penalty: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on feature presence with an L2 penalty: steps per weight, shortened by the gradients seen so far."""
+    y = labels.astype(np.float64)
+    owner, column = np.repeat(np.arange(len(y)), sizes), found.astype(np.int64)
     w, bias = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     g2, gb2 = np.full(n, 1e-8), 1e-8
-    for _ in range(rounds):  # a step per weight, shortened by the gradients it has seen
-        z = np.bincount(owner, w[column], len(rows)) + bias
+    for _ in range(rounds):
+        z = np.bincount(owner, w[column], len(y)) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         grad, grad_b = np.bincount(column, error[owner], n) + penalty * w, error.sum()
         g2, gb2 = g2 + grad**2, gb2 + grad_b**2
@@ -248,33 +297,23 @@ def _fit(rows: list[tuple[int, np.ndarray]], n: int, penalty: float = 0.3, round
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, min_support: int = MIN_SUPPORT) -> ToxicityModel:
     """Model from ``docs(id, text)`` and ``labels(id, label)``.
 
-    The character model counts every text. The classifier is fitted on at most ``max_labelled`` labelled rows.
+    The character model counts every text. The classifier is fitted on at most ``max_labelled`` labelled rows, chosen by
+    hash of their id, and has at most ``max_features`` features, those that part their labels best, each of at least
+    ``min_support`` toxic texts: parameters that bound the model, not the texts it scores.
     """
-    model = ToxicityModel(language_model(trigram_counts(docs)))
+    language = language_model(trigram_counts(docs))
     chosen = labels.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    chosen = materialize(chosen, "toxicity-labels").withColumnRenamed("id", "l_id")
-    sample = docs.join(F.broadcast(chosen), docs["id"] == chosen["l_id"]).select("label", "text")  # bounded by the sample
-    sample = materialize(sample, "toxicity-sample").repartition(24)
-    names = _supported(sample, model)
-    wide = ToxicityModel(model.language, {f: i for i, f in enumerate(names)})
-    rows = _presence(sample, wide)
-    toxic, n_toxic = np.zeros(len(names)), sum(label for label, _ in rows)
-    every = np.zeros(len(names))
-    for label, found in rows:
-        every[found] += 1
-        toxic[found] += label
-    expected = every * n_toxic / max(1, len(rows))
-    lift = (toxic - expected) / np.sqrt(expected + 1)
-    best = np.argsort(-np.abs(lift), kind="stable")[:MAX_FEATURES]
-    best = best[np.abs(lift[best]) >= 3]
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    kept = [(label, (p := place[found])[p >= 0]) for label, found in rows]
-    weights, bias = _fit(kept, len(best))
-    return ToxicityModel(model.language, {names[i]: k for k, i in enumerate(best.tolist())}, weights, bias)
+    chosen = materialize(chosen.withColumnRenamed("id", "l_id"), "toxicity-labels")
+    sample = docs.join(F.broadcast(chosen), docs["id"] == chosen["l_id"]).select("label", "text")  # bounded by max_labelled
+    sample = materialize(sample.repartition(partitions_for(docs.sparkSession)), "toxicity-sample")
+    names = _lifted(sample, language, max_features, min_support)
+    model = ToxicityModel(language, {f: i for i, f in enumerate(names)})
+    weights, bias = _fit(*_presence(sample, model), len(names))
+    release(sample), release(chosen)
+    return ToxicityModel(language, model.features, weights, bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -298,7 +337,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels are learnt only from rows whose CRC-32 of the id as text is not a multiple of five; the score reads the
     text alone. Null and empty texts get the score of a text without features. A row with a null id is scored and
     not held out; a label counts once per id (the larger of several) and null labels do not count; repeated rows get
-    equal scores; an empty table gives an empty result; other columns are not read.
+    equal scores; an empty table gives an empty result; other columns are not read. Texts are read whole and in time linear
+    in their length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(HELD_OUT_FOLD))
