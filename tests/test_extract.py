@@ -16,8 +16,8 @@ REGISTRY = Registry([
 ])
 
 
-def numbers(text, law="self", number="80.1.2", roots=frozenset()):
-    return [(c.to_law_id, c.to_number) for c in extract.citations(text, law, number, REGISTRY, roots)]
+def numbers(text, law="self", article="80"):
+    return [(c.to_law_id, c.to_number) for c in extract.citations(text, law, article, REGISTRY)]
 
 
 @pytest.mark.parametrize("text,expected", [
@@ -33,6 +33,14 @@ def numbers(text, law="self", number="80.1.2", roots=frozenset()):
     ("энэ зүйлийн 2 дахь хэсэгт", [("self", "80.2")]),
     ("энэ зүйлийн 2 дахь хэсгийн 3 дахь заалтад", [("self", "80.2.3")]),
     ("ямар ч ишлэл алга 12.3", []),
+    ("Хөдөлмөрийн тухай хуулийн 7.1 дүгээр зүйлийн 2, 3 дахь хэсэгт", [(L, "7.1.2"), (L, "7.1.3")]),
+    ("Хөдөлмөрийн тухай хуулийн 5 дугаар зүйлийн 2 дахь заалтад", [(L, "5.2")]),
+    ("Хөдөлмөрийн тухай хуулийн 5 дугаар зүйл, 6.1-д, 7-д болон 8 дугаар зүйлд", [(L, "5"), (L, "6.1"), (L, "7"), (L, "8")]),
+    ("Хөдөлмөрийн тухай хуулийн 1-99 дүгээр зүйлд", [(L, "1"), (L, "99")]),
+    ("Хөдөлмөрийн тухай хуулийн 3.1.1 – 4.1.2-т", [(L, "3.1.1"), (L, "4.1.2")]),
+    ("Хөдөлмөрийн тухай хуулийн 15 цаг", [(L, None)]),
+    ("ХӨДӨЛМӨРИЙН  тухай\nхуулиас 5-д", [(L, "5")]),
+    ("энэ зүйлийн 1.2-1.4-т, 80.7-д", [("self", f"80.{k}") for k in ("1.2", "1.3", "1.4", "7")]),
 ])
 def test_citation_forms(text, expected):
     assert numbers(text) == expected
@@ -49,8 +57,19 @@ def test_unknown_law_gets_an_id_from_its_name():
     assert (f.name.kind, f.name.law_id) == ("unknown", "oin-tukhai-khuuli") and REGISTRY.find("Ойн тухай хуулийн", unknown=False) == []
 
 
-def test_chapter_numbered_code_counts_from_its_dotted_article():
-    assert numbers("энэ зүйлийн 1 дэх хэсэгт", number="7.1.2", roots=frozenset({"7.1"})) == [("self", "7.1.1")]
+def test_chapter_numbered_codes_count_from_two_parts(spark):
+    """Two parts where they are a number of the law and the first alone is not."""
+    rows = [("code", "7.1"), ("code", "7.1.2"), ("code", "8.1.1"), ("plain", "7"), ("plain", "7.1"), ("plain", "7.1.2")]
+    found = extract.with_article(spark.createDataFrame(rows, "law_id string, number string")).collect()
+    assert {(r.law_id, r.number): r.article for r in found} == {("code", "7.1"): "7.1", ("code", "7.1.2"): "7.1", ("code", "8.1.1"): "8", ("plain", "7"): "7", ("plain", "7.1"): "7", ("plain", "7.1.2"): "7"}
+    assert numbers("энэ зүйлийн 1 дэх хэсэгт", article="7.1") == [("self", "7.1.1")]
+
+
+def test_names_do_not_touch_and_need_whole_words():
+    taken = extract.Spans()
+    assert [taken.add(*x) for x in ((5, 9), (0, 5), (4, 6), (9, 12), (8, 9), (20, 30), (12, 20))] == [True, True, False, True, False, True, True]
+    assert REGISTRY.find("Иргэний хуультайгаа", unknown=False) == [] and REGISTRY.find("бИргэний хууль", unknown=False) == []
+    assert [f.name.law_id for f in REGISTRY.find("Иргэний хууль, Ажлын тухай хуулиар")] == ["irg", "aj"] and Registry([]).find("Иргэний хууль") == []
 
 
 def test_flags_are_joined(spark):
