@@ -134,9 +134,61 @@ def test_document_structure(spark):
     assert [(r.from_id, r.kind, r.target) for r in links] == [("1.1", "ref", "2.1")]
 
 
-def test_local_numbers_and_raised_articles():
-    r = structure.Reader("Арван ес1 дүгээр зүйл.Нэр\n1.Нэгдүгээр хэсэг\n2.Хоёрдугаар\n2.1.доторх".split("\n")).read()
-    assert [a["number"] for a in r.articles] == ["19¹"] and [p["id"] for p in r.provisions] == ["19¹.1", "19¹.2", "19¹.2.1"]
+def parsed(spark, text, web=False):
+    return structure.parse_structure(spark.createDataFrame([("l", text)], "law_id string, text string"), web).first()
+
+
+def test_local_numbers_and_raised_articles(spark):
+    r = parsed(spark, "Арван ес1 дүгээр зүйл.Нэр\n1.Нэгдүгээр хэсэг\n2.Хоёрдугаар\n2.1.доторх\n300.Он")
+    assert [a.number for a in r.articles] == ["19¹"] and [p.id for p in r.provisions] == ["19¹.1", "19¹.2", "19¹.2.1"]
+    assert r.provisions[2].text == "доторх 300.Он" and r.provisions[2].parent == "19¹.2"
+
+
+def test_articles_in_words_chapters_sections_and_divisions(spark):
+    text = "I ХЭСЭГ\nЕРӨНХИЙ АНГИЙН НЭР\nАРВАН НЭГДҮГЭЭР БҮЛЭГ\nнэр нь\nДООД МӨР\nНэгдүгээр дэд бүлэг\nДэд нэр\nХорин хоёрдугаар зүйл.Гарчиг\nүргэлжлэл\n1.Эхний\nХОЁРДУГААР БҮЛЭГ\nХоёр дахь\nХорин гуравдугаар зүйл.Дараагийн"
+    r = parsed(spark, text)
+    assert [(c.id, c.number, c.title) for c in r.chapters] == [("ch11", 11, "Нэр нь доод мөр"), ("ch2", 2, "Хоёр дахь")]
+    assert [(s.id, s.title, s.chapter) for s in r.sections] == [("ch11.sec1", "Дэд нэр", "ch11")]
+    assert [(a.number, a.title, a.chapter) for a in r.articles][:1] == [("22", "Гарчиг үргэлжлэл", "ch11")] and [p.id for p in r.provisions] == ["22.1"]
+
+
+def test_dotted_articles_and_inserted_ones(spark):
+    note = "/Энэ зүйлийг 2020 оны 3 дугаар сарын 4-ний өдрийн хуулиар нэмсэн./"
+    r = parsed(spark, f"7.1 дүгээр зүйл.Нэг\n1.хэсэг\n7.2.Хоёр\n{note}\n1.хэсэг")
+    assert [a.number for a in r.articles] == ["7.1", "7.2"] and [p.id for p in r.provisions] == ["7.1.1", "7.2.1"]
+    assert [(a.target, a.date, a.type) for a in r.amendments] == [("art7.2", "2020-03-04", "нэмсэн")]
+
+
+def test_missing_headings_slips_letters_and_notes(spark):
+    text = "1 дүгээр зүйл.А\n1.1.нэг\n1.1.а.эхний\n1.1.б.хоёр\n2.1.хоёрдугаар зүйлийнх\n3.1.гурав\n3.2 .дөрөв\n9.1.хэн ч биш\n3.3./Энэ хэсгийг 2021 оны 2 дугаар сарын 3-ны өдрийн хуулиар хүчингүй болсонд тооцсон./\n3.4.тав\n/Энэ хэсэгт 2021 оны 2 дугаар сарын 3-ны өдрийн хуулиар өөрчлөлт оруулсан./\nүргэлжлэл"
+    r = parsed(spark, text)
+    assert [(a.number, a.title) for a in r.articles] == [("1", "А"), ("2", ""), ("3", "")]
+    assert [(p.id, p.text, p.status) for p in r.provisions][:4] == [("1.1", "нэг а.эхний б.хоёр", "хүчинтэй"), ("2.1", "хоёрдугаар зүйлийнх", "хүчинтэй"), ("3.1", "гурав", "хүчинтэй"), ("3.2", "дөрөв 9.1.хэн ч биш", "хүчинтэй")]
+    assert (r.provisions[4].id, r.provisions[4].status) == ("3.3", "хүчингүй") and r.provisions[5].text == "тав үргэлжлэл"
+    assert [(a.target, a.type) for a in r.amendments] == [("3.4", "өөрчлөлт")]
+
+
+def test_web_pages_lack_dots_and_hold_running_heads(spark):
+    text = "1 дүгээр зүйл.А\nорох үг\n1.1.нэг\n1.1.1 доторх\nХУУДСЫН ТОЛГОЙ\n1.2 дэх хэсэг\n5.5.1 гадна"
+    r = parsed(spark, text, web=True)
+    assert [(p.id, p.text) for p in r.provisions] == [("1.1", "нэг"), ("1.1.1", "доторх 1.2 дэх хэсэг 5.5.1 гадна")]
+    assert (r.articles[0].title, r.articles[0].text) == ("А", "орох үг")
+
+
+def test_later_wording_wins_unless_repealed_and_empty_documents_stay(spark):
+    note = "/Энэ хэсгийг 2021 оны 2 дугаар сарын 3-ны өдрийн хуулиар хүчингүй болсонд тооцсон./"
+    rows = [("l", f"1 дүгээр зүйл.А\n1.1.анх\n1.1.дараа\n1.2.үлдэх\n1.2.хуучин\n{note}"), ("none", None), ("blank", " \n")]
+    got = structure.parse_structure(spark.createDataFrame(rows, "law_id string, text string"))
+    assert {r.law_id: len(r.provisions) for r in got.collect()} == {"l": 4, "none": 0, "blank": 0}
+    assert sorted((r.id, r.text) for r in structure.current_provisions(got).collect()) == [("1.1", "дараа"), ("1.2", "үлдэх")]
+
+
+@pytest.mark.parametrize("text,targets", [
+    ("энэ хуулийн 5, 6 дугаар зүйлд", ["art5", "art6"]), ("энэ хуулийн 3.1-3.3-т", ["3.1", "3.2", "3.3"]), ("энэ зүйлийн 2, 1.4-д", ["1.2", "1.4"]),
+    ("энэ хуулийн Арван нэгдүгээр бүлэг", ["Арван нэгдүгээр"]), ("Ойн тухай хуулиар, Иргэний хуульд", ["Ойн тухай хууль", "Иргэний хууль"]), ("энэ хуулиар", []),
+])
+def test_links(text, targets):
+    assert [t for _, t, _ in structure.links_of(text, "art1")] == targets
 
 
 def test_mentions_take_the_longest_first():
