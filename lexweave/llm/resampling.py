@@ -80,7 +80,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING
 
 
 def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``(id, grams, log_weight)``: the sum of the ratios of a text's n-grams; zero for a text without words."""
+    """``(id, grams, log_weight)`` and any further columns of ``docs``: the sum of the ratios of a text's n-grams; zero for a
+    text without words. The sum is that of the log ratio of two models of the whole text, so it is not divided by length."""
+    more = [f for f in docs.schema.fields if f.name not in ("id", "text")]
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +92,9 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 sums = np.concatenate([[0.0], np.cumsum(shared.value[grams])])
                 ends = np.cumsum(sizes)
                 weights = np.round(sums[ends] - sums[ends - sizes], 6)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(weights)], names=["id", "grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(weights), *(part.column(f.name) for f in more)], names=["id", "grams", "log_weight", *(f.name for f in more)])
 
-    return docs.mapInArrow(run, "id long, grams long, log_weight double")
+    return docs.mapInArrow(run, "id long, grams long, log_weight double" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in more))
 
 
 def gumbel(id_col: Column, seed: int) -> Column:
@@ -147,33 +149,47 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """``(id, grams, log_weight, gumbel_key, selected)`` per row of ``docs``.
 
     The raw model counts the n-grams of every text; the target model those of rows labelled 1 in one half of
-    ``max_labelled`` labelled rows. The other half, which the models have not seen, sets the rejection level. A text's log weight is the sum over its n-grams of the log ratio of the two models. The k rows
-    with the largest log weight plus Gumbel noise are selected; by default k is the number of texts at or above the
-    level that parts the labelled rows best while it keeps 99% of the good ones.
-
-    Null and empty texts weigh zero. A label counts once per id (the larger of several), null labels do not count;
-    without any label all rows are selected. Rows tied with the k-th are all selected, so repeated rows share a fate;
-    an empty table gives an empty result; other columns are not read.
+    ``max_labelled`` labelled ids. The other half, which the models have not seen, sets the rejection level. A text's log
+    weight is the sum over its n-grams of the log ratio of the two models. The k rows with the largest log weight plus
+    Gumbel noise are selected; by default k is the number of texts at or above the level that parts the labelled rows best
+    while it keeps 99% of the good ones.
+
+    Null and empty texts weigh zero. A label counts once per id (the larger of several), null labels do not count; of an
+    id that stands on several rows the least weight sets the level; without any label all rows are selected. Rows tied
+    with the k-th are all selected, so repeated rows share a fate; an empty table gives an empty result; other columns are
+    not read. Texts are read whole, whatever their length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return _resampled(rows, labels, id_col, label_col, max_labelled, k, seed)
+
+
+def _resampled(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_labelled: int, k: int | None, seed: int) -> DataFrame:
+    """``importance_resample`` on ``rows(id, text, ...)``; further columns are carried."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
-    sample = {r.id: r.good == 1 for r in marks.orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()}
-    fit_half = {r.id for r in marks.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0).orderBy(F.xxhash64("id"), "id").limit(max_labelled).select("id").collect()}
-    targets = np.array(sorted(i for i, good in sample.items() if good and i in fit_half), dtype=np.int64)
-    raw, target = gram_counts(rows, targets)
+    fits = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0
+    sample = {r.id: (r.good == 1, r.fits) for r in marks.withColumn("fits", fits).orderBy(F.xxhash64("id"), "id").limit(max_labelled).collect()}
+    targets = np.array(sorted(i for i, (good, fitted) in sample.items() if good and fitted), dtype=np.int64)
+    raw, target = gram_counts(rows.select("id", "text"), targets)
     scored = materialize(log_weights(rows, log_ratios(raw, target)), "weights")
     if k is None:
-        wanted = scored.sparkSession.createDataFrame([(i,) for i in sample if i not in fit_half], "l_id long")
-        fitted = scored.join(F.broadcast(wanted), scored["id"] == wanted["l_id"], "left_semi").select("id", "log_weight").limit(4 * max_labelled).collect()
-        level = rejection_level(np.array([r.log_weight for r in fitted]), np.array([sample[r.id] for r in fitted], dtype=bool)) if fitted else -np.inf
+        wanted = scored.sparkSession.createDataFrame([(i,) for i, (_, fitted) in sample.items() if not fitted], "l_id long")
+        seen = scored.join(F.broadcast(wanted), scored["id"] == wanted["l_id"], "left_semi").groupBy("id").agg(F.min("log_weight").alias("log_weight")).collect()  # at most max_labelled
+        level = rejection_level(np.array([r.log_weight for r in seen]), np.array([sample[r.id][0] for r in seen], dtype=bool)) if seen else -np.inf
         k = scored.where(F.col("log_weight") >= F.lit(float(level))).count()
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("id"), seed))
     cut = top_k_cut(keyed, "gumbel_key", k)
     return keyed.withColumn("selected", F.col("gumbel_key") >= F.lit(float(cut)))
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that the resampling rejects; columns unchanged."""
-    chosen = importance_resample(docs, labels, id_col=id_col, **options)
-    gone = materialize(chosen.where("NOT selected").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` without the rows that the resampling rejects; columns unchanged.
+
+    Rows go by id and text digest, so an id on several texts loses only those that are rejected. Null texts count as
+    empty, a null id is a value like any other, repeated rows share a fate, an empty table stays empty.
+    """
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), sha.alias("sha"))
+    chosen = _resampled(rows, labels, id_col, label_col, max_labelled, k, seed)
+    gone = materialize(chosen.where("NOT selected").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct(), "gone")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == F.col("__sha"))
+    return docs.join(gone.hint("merge"), same, "left_anti")  # by shuffle at every size: the rejected rows grow with the input
