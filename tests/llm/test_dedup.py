@@ -116,6 +116,26 @@ def test_drop_duplicates_keeps_one_row_of_each_text(spark, rows):
     assert len(texts) == len(set(texts)) == len({t or "" for _, t in rows})
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_runs_merge_over_several_rounds_and_ranges(spark, keep, monkeypatch):
+    monkeypatch.setattr(exact, "RUN_KEYS", 16)
+    rows = [(k, f"t{k % 37 if k % 3 else 0}") for k in range(600)] + [(None, "t0"), (None, "own")]
+    found = exact.exact_duplicates(table(spark, rows).repartition(40), keep=keep).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(i)
+    for r in found:
+        known = [i for i in groups[r.sha] if i is not None]
+        assert r.group_size == len(groups[r.sha]) and r.keep_id == ((min if keep == "smallest" else max)(known) if known else None)
+    assert len(found) == len(rows) and sum(r.kept for r in found) == len(groups)
+
+
+def test_a_merged_run_is_sorted_and_has_each_key_once(spark):
+    rows = exact.digests(table(spark, [(k, f"t{k % 5}") for k in range(60)]).repartition(7))
+    merged = exact.merge_runs(rows).collect()
+    assert len(merged) == 5 and sum(r.group_size for r in merged) == 60 and sorted(r.keep_id for r in merged) == [0, 1, 2, 3, 4]
+
+
 def test_exact_on_an_empty_table(spark):
     assert exact.exact_duplicates(table(spark, [])).count() == 0 and exact.drop_duplicates(table(spark, [])).count() == 0
 
