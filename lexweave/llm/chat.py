@@ -10,6 +10,8 @@ OPEN, TEXT, NEXT, CLOSE = "<s>[ROLE]", "[TEXT]", "[NEXT]", "[END]</s>"
 #: Escapes, in the order in which they are put in; they are taken out in reverse order.
 ESCAPES = (("~", "~0"), ("[", "~1"), ("<", "~2"))
 LOSS_ROLE = "assistant"
+#: Pieces whose places are summed in one go.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -52,10 +54,10 @@ def _segments(block: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, segments)`` from ``(conv_id, turn, role, text)``, one row per conversation.
+    """``(conv_id, formatted, loss_spans)`` from ``(conv_id, turn, role, text)``, one row per conversation.
 
-    Turns are ordered by turn number (null first), ties by role and text. ``segments`` are the pieces of ``formatted``
-    in order with their bit of the loss mask, which is set on assistant texts alone. Null roles and texts count as
+    Turns are ordered by turn number (null first), ties by role and text. ``loss_spans`` are the places and lengths, in
+    bytes of ``formatted`` as UTF-8, of the text under the loss mask: assistant texts alone, in order. Null roles and texts count as
     empty; rows with a null conv_id form one conversation; repeated rows are turns of their own; an empty table gives
     an empty result; other columns are not read. A conversation is one row of the result, so its turns meet in one
     task; everything after that is linear in its length.
@@ -64,7 +66,21 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     segments = F.flatten(F.transform(_blocks(F.col("turns")), _segments))
     pieces = grouped.select("conv_id", segments.alias("segments"))
-    return pieces.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    lengths = F.transform("segments", lambda s: F.octet_length(s["text"]))
+    spans = let(starts_of(lengths), lambda at: F.transform("segments", lambda s, i: F.struct(F.get(at, i).alias("start"), F.octet_length(s["text"]).alias("length"), s["loss"].alias("loss"))))
+    spans = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: s.dropFields("loss"))
+    return pieces.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def starts_of(lengths: Column) -> Column:
+    """Where each of consecutive pieces starts: sums within blocks, then over blocks, so that no long array is copied per piece."""
+
+    def summed(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(values, start, lambda a, x: F.struct((a["total"] + x).alias("total"), F.concat(a["starts"], F.array(a["total"])).alias("starts")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: summed(F.slice(lengths, b * BLOCK + 1, BLOCK)))
+    return let(blocks, lambda bs: let(summed(F.transform(bs, lambda b: b["total"]))["starts"], lambda before: F.flatten(F.transform(bs, lambda b, k: F.transform(b["starts"], lambda x: x + F.get(before, k))))))
 
 
 def read_back(formatted: Column) -> Column:
@@ -81,6 +97,7 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns_of))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, loss_spans: Column) -> Column:
+    """All text under the loss mask, cut from the formatted text, unescaped, nothing between."""
+    cut = let(formatted.cast("binary"), lambda raw: F.transform(loss_spans, lambda s: unescape(F.decode(F.substring(raw, s["start"] + 1, s["length"]), "UTF-8"))))
+    return F.array_join(cut, "")

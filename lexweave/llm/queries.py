@@ -39,7 +39,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-7, 0, "user", CONTROL_STRINGS), (-7, 1, "assistant", CONTROL_STRINGS)]
     extra = spark.range(2).select(*[F.when(F.col("id") == 0, F.lit(a)).otherwise(F.lit(b)).cast(turns.schema[c].dataType).alias(c) for c, a, b in zip(turns.columns, *rows)])
     done = chat.format_conversations(turns.unionByName(extra))
-    done = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
+    done = done.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

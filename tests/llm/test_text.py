@@ -125,7 +125,7 @@ def test_chat_round_trip(spark):
     rows = [(c, k, rng.choice(["user", "user", "assistant", "[TEXT]"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 5)))) for c in range(12) for k in range(rng.randint(1, 6))]
     rows += [(50, 0, None, None), (50, None, "assistant", "first"), (50, 0, "assistant", "tie"), (None, 1, "assistant", "nobody's"), (51, 0, "assistant", "same"), (51, 0, "assistant", "same")]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    done = chat.format_conversations(turns).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss_text", chat.loss_text(F.col("segments"))).collect()
+    done = chat.format_conversations(turns).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss_text", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
     by = defaultdict(list)
     for c, k, role, text in rows:
         by[c].append((k is not None, k or 0, role or "", text or ""))
@@ -134,7 +134,9 @@ def test_chat_round_trip(spark):
         expected = [(role, text) for _, _, role, text in sorted(by[r.conv_id])]
         assert [(t.role, t.text) for t in r.back] == expected
         assert r.loss_text == "".join(text for role, text in expected if role == "assistant")
-        assert r.formatted == "".join(s.text for s in r.segments)
+        raw = r.formatted.encode()
+        assert all(r.loss_spans[k].start + r.loss_spans[k].length <= r.loss_spans[k + 1].start for k in range(len(r.loss_spans) - 1))
+        assert not any(c in raw[x.start : x.start + x.length] for x in r.loss_spans for c in (b"[", b"<"))  # no control string under the mask
         assert r.formatted.count(chat.OPEN) == sum(1 for i, (role, _) in enumerate(expected) if i == 0 or expected[i - 1][0] != role)
     assert chat.format_conversations(turns.where("false")).count() == 0
 
@@ -169,3 +171,16 @@ def test_divergence_fails_symbols_and_spares_prose(spark):
     rows += [(100, " ".join(w + "***" for w in prose(300).split()), "en", "s"), (101, " ".join(rng.choice(rare) for _ in range(300)), "en", "s"), (102, "*** " + " ".join(rng.sample(rare, 11)), "en", "s")]
     kept = {r.id: r.kept for r in quality_rules.quality_rules(table(spark, rows)).collect()}
     assert all(kept[i] for i in range(60)) and not kept[100] and not kept[101] and kept[102]
+
+
+def test_places_of_many_pieces(spark):
+    lengths = [k * 7 % 11 for k in range(1000)]
+    (row,) = spark.createDataFrame([(lengths,)], "x array<int>").select(chat.starts_of(F.col("x")).alias("at")).collect()
+    assert row["at"] == [sum(lengths[:k]) for k in range(1000)]
+
+
+def test_a_long_conversation_reads_back(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"[é<{k}") for k in range(900)]
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    r = done.select(chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in r.back] == [(x[2], x[3]) for x in rows] and r.loss == "".join(x[3] for x in rows if x[2] == "assistant")
