@@ -24,7 +24,7 @@ from lexweave.llm.common import materialize, run_dir, text_slices
 #: Payload bytes (uncompressed) after which a task starts another package.
 PACKAGE_BYTES = 32 << 20
 ARCHIVE_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
-PAGE_ID, LENGTH = "X-Page-Id", "X-Payload-Length"
+PAGE_ID, LENGTH, REFERS_TO = "X-Page-Id", "X-Payload-Length", "X-Refers-To-Page-Id"
 #: Signatures and sizes of the ZIP format; fixed values.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_SIZE, LOCATOR_SIZE, END64_SIZE, ENTRY_SIZE, LOCAL_SIZE = 22, 20, 56, 46, 30
@@ -125,21 +125,26 @@ def _header(value: str) -> str:
     return " ".join(value.split())
 
 
+def record_id(page_id: int | None, url: str = "") -> str:
+    """Id of the record of a page, which those that revisit it name; without a page id, that of its address."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}' if page_id is not None else f'address:{url}')}>"
+
+
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC record. A revisit has the HTTP head but no body; length and digest are those of the whole payload."""
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{url}")
+    name = record_id(page_id, url)
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name}",
         f"WARC-Target-URI: {_header(url)}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"{LENGTH}: {len(payload)}", f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         lines.append(f"{PAGE_ID}: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"{REFERS_TO}: {refers_to}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -234,8 +239,8 @@ def _row(package: ZipDirectory, entry: dict) -> dict:
         payload = block.partition(b"\r\n\r\n")[2]
         if len(payload) != length or payload_digest(payload) != digest:
             raise ValueError(f"payload of {entry['url']} does not match its digest")
-    page, refers = headers.get(PAGE_ID.lower()), headers.get("warc-refers-to")
-    return {"page_id": int(page) if page else None, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": int(refers.removeprefix("<urn:page:").rstrip(">")) if refers else None}
+    page, refers = headers.get(PAGE_ID.lower()), headers.get(REFERS_TO.lower())
+    return {"page_id": int(page) if page else None, "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": int(refers) if refers else None}
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
