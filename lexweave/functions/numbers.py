@@ -23,14 +23,15 @@ def _col(c: Column | str) -> Column:
 
 
 def number_key(number: Column | str) -> Column:
-    """Sort key ``array<bigint>``: each part counts a hundred per unit plus its superscript; other parts count zero."""
+    """Sort key ``array<bigint>``: each part counts a hundred per unit of the digits it opens with plus its superscript;
+    parts that open with no digit count zero, and a number that is null or empty sorts last."""
 
     def part(p: Column) -> Column:
-        whole = F.regexp_extract(p, rf"^([0-9]+)([{SUPERSCRIPTS}]*)$", 1)
-        raised = F.translate(F.regexp_extract(p, rf"^([0-9]+)([{SUPERSCRIPTS}]*)$", 2), SUPERSCRIPTS, DIGITS)
-        return F.coalesce(whole.try_cast("bigint") * 100 + F.coalesce(raised.try_cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
+        opening = rf"^([0-9]+)([{SUPERSCRIPTS}]*)"
+        raised = F.translate(F.regexp_extract(p, opening, 2), SUPERSCRIPTS, DIGITS)
+        return F.coalesce(F.regexp_extract(p, opening, 1).try_cast("bigint") * 100 + F.coalesce(raised.try_cast("bigint"), F.lit(0)), F.lit(0).cast("bigint"))
 
-    number = _col(number)
+    number = F.nullif(_col(number), F.lit(""))
     return F.when(number.isNull(), F.array(F.lit(LAST_KEY).cast("bigint"))).otherwise(F.transform(F.split(number, r"\."), part))
 
 

@@ -47,9 +47,17 @@ def _array_of(name: str) -> str:
 
 
 def load_processed(spark: SparkSession, folder: str) -> GraphStore:
-    """The tables of a processed dataset; provisions flattened, derived columns added, absent files empty."""
+    """The tables of a processed dataset; provisions flattened, derived columns added, absent files empty.
+
+    Drafts, sources and links are read as ``write_processed`` leaves them, else from whole-file JSON.
+    """
     laws = read_jsonl(spark, f"{folder}/laws.jsonl", "laws").withColumn("text_available", F.coalesce("text_available", F.lit(True)))
     international = f"{folder}/international.json"
+
+    def written(name: str, whole: str, field: str | None = None) -> DataFrame:
+        lines = f"{folder}/{name}.jsonl"
+        return read_jsonl(spark, lines, name) if path_exists(spark, lines) else read_json(spark, whole, name, field)
+
     return GraphStore(
         laws=laws.drop("articles"),
         articles=flatten_articles(laws),
@@ -57,20 +65,21 @@ def load_processed(spark: SparkSession, folder: str) -> GraphStore:
         similar=read_jsonl(spark, f"{folder}/similar.jsonl", "similar"),
         relations=read_jsonl(spark, f"{folder}/relations.jsonl", "relations"),
         amendments=read_jsonl(spark, f"{folder}/amendments.jsonl", "amendments"),
-        drafts=read_json(spark, f"{folder}/drafts.json", "drafts"),
-        intl_sources=read_json(spark, international, "intl_sources", "sources"),
-        intl_links=read_json(spark, international, "intl_links", "links"),
+        drafts=written("drafts", f"{folder}/drafts.json"),
+        intl_sources=written("intl_sources", international, "sources"),
+        intl_links=written("intl_links", international, "links"),
     )
 
 
 def write_processed(store: GraphStore, folder: str, mode: str = "overwrite") -> None:
-    """One JSON-lines folder per table; provisions go back into their laws."""
+    """One JSON-lines folder per table, a table that is not there as an empty one; provisions go back into their laws."""
     provision = F.struct("number_key", "article_id", "number", "parent_number", "title", "text")
     nested = store.articles.groupBy("law_id").agg(F.sort_array(F.collect_list(provision)).alias("a"))
     laws = store.laws.join(nested, "law_id", "left").withColumn("articles", F.transform(F.coalesce("a", F.array().cast(nested.schema["a"].dataType)), lambda x: x.dropFields("number_key"))).drop("a")
     laws.write.mode(mode).json(f"{folder}/laws.jsonl")
     for name in ("refs", "similar", "relations", "amendments", "drafts", "intl_sources", "intl_links"):
-        getattr(store, name).write.mode(mode).json(f"{folder}/{name}.jsonl")
+        frame = getattr(store, name)
+        (empty(store.laws.sparkSession, name) if frame is None else frame).write.mode(mode).json(f"{folder}/{name}.jsonl")
 
 
 def save_tables(store: GraphStore, folder: str) -> None:
@@ -118,8 +127,10 @@ def without_tags(page: Column) -> Column:
     text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     text = F.regexp_replace(text, r'(?is)<p\b[^>]*display:\s*none[^>]*>.*?</p>', "")
     text = F.regexp_replace(text, r"(?i)</p>|<br\s*/?>|</div>|</tr>|</li>|</h[1-6]>|</title>", "\n")
+    text = F.regexp_replace(text, r"(?i)<sup\b[^>]*>\s*([0-9]+)(?:\s|&nbsp;|\x{a0})*</sup>", "\x02$1\x03")
     for plain, raised in zip("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"):
-        text = F.regexp_replace(text, rf"(?i)<sup\b[^>]*>\s*{plain}(?:\s|&nbsp;|\x{{a0}})*</sup>", raised)
+        text = F.regexp_replace(text, rf"{plain}(?=[0-9⁰¹²³⁴⁵⁶⁷⁸⁹]*\x03)", raised)
+    text = F.translate(text, "\x02\x03", "")
     text = F.regexp_replace(text, r"(?i)</?(?:span|b|i|u|strong|em|font|a|sup|sub|o:p)\b[^>]*>", "")
     return F.regexp_replace(text, r"<[^>]+>", " ")
 
@@ -167,7 +178,7 @@ def bill_page_lines(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def csv_text(rows: DataFrame) -> DataFrame:
-    """``rows`` as the lines of a CSV file with byte order mark, header and CRLF, ready for ``write.text``."""
+    """``rows`` as data lines of a CSV file; ``write_csv`` adds byte order mark, header and CRLF."""
     plain = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS])
 
     def quoted(c: str) -> Column:

@@ -210,6 +210,28 @@ def test_web_page_lines(spark):
     assert [r.line for r in rows] == ["Нэг & хоёр¹", "51"]
 
 
+def test_superscripts_of_several_digits(spark):
+    pages = spark.createDataFrame([(1, "<p>9<sup>12</sup>7, 3<sup> 421&nbsp;</sup>, x<sup>a1</sup></p>")], "id long, html string")
+    assert [r.line for r in files.html_lines(pages, "id", "html").collect()] == ["9¹²7, 3⁴²¹, xa1"]
+
+
+def test_a_dataset_survives_save_and_load(spark, tmp_path):
+    """Drafts, sources and links come back, and a table that is not there comes back empty."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "laws.jsonl").write_text('{"law_id":"a","name":"А","former_names":[],"short_names":[],"source_url":"https://a","articles":[{"article_id":"a:1","number":"1","text":"t"}]}\n')
+    (folder / "drafts.json").write_text('[{"draft_id":"d1","title":"x","target_law_id":"a","amended_article_ids":["a:1"],"cosubmitted_law_ids":[],"operations":[{"op":"repeal","law_id":"a","number":"1"}]},{"draft_id":"d2"}]')
+    (folder / "international.json").write_text('{"sources":[{"source_id":"s","title":"S"}],"links":[{"article_id":"a:1","source_id":"s","relevance":0.5}]}')
+    first = files.load_processed(spark, str(folder))
+    files.write_processed(first, str(tmp_path / "out"))
+    again = files.load_processed(spark, str(tmp_path / "out"))
+    for name in ("drafts", "intl_sources", "intl_links", "refs", "laws"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(first, name).collect())), name
+    assert (again.drafts.count(), again.intl_sources.count(), again.intl_links.count()) == (2, 1, 1)
+    files.write_processed(GraphStore(first.laws, first.articles, first.refs), str(tmp_path / "bare"))
+    assert files.load_processed(spark, str(tmp_path / "bare")).drafts.count() == 0
+
+
 def test_bills_are_split(spark):
     text = "Төсөл\nМОНГОЛ УЛСЫН ХУУЛЬ\nАЖЛЫН ТУХАЙ\nХУУЛЬД\n1 дүгээр зүйл.Нэг\nхоёр\nГАРЫН үсэг\nМОНГОЛ УЛСЫН ХУУЛЬ\nӨӨР ХУУЛЬ\n1 дүгээр зүйл.Гурав"
     rows = files.split_bills(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("bill").collect()

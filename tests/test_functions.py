@@ -80,3 +80,11 @@ def test_dates_in_words(spark):
 def test_normalize_number(spark):
     assert one(spark, T.normalize_number(F.lit("7.З. бичвэр"))) == "7.3. бичвэр"
     assert one(spark, T.normalize_number(F.lit("174.3 ./Энэ"))) == "174.3./Энэ"
+
+
+def test_numbers_without_or_beside_digits(spark):
+    from lexweave.functions import numbers
+
+    values = ["9", "9¹", "10", "12а", "x.2", "", None]
+    rows = spark.createDataFrame([(v,) for v in values], "n string").select("n", numbers.number_key("n").alias("k")).collect()
+    assert [list(r.k) for r in rows] == [[900], [901], [1000], [1200], [0, 200], [10**9], [10**9]]
