@@ -12,7 +12,7 @@ from lexweave.functions import text as T
 from lexweave.operators import build, extract, relational, services, similarity, structure, traverse
 from lexweave.operators.services import Change
 from lexweave.operators.store import GraphStore
-from lexweave.plans.corpus import derive, graph, with_derived
+from lexweave.plans.corpus import graph, with_derived
 from lexweave.plans.session import ship, table
 from lexweave.sources import files
 
@@ -259,7 +259,7 @@ def _impact(rows: DataFrame) -> DataFrame:
 
 def first_order(spark: SparkSession, sf_dir: str) -> str:
     """The order that is cited most, smallest first: a provision that is surely cited."""
-    row = derive(spark, sf_dir, "refs")["refs"].where("to_article_id IS NOT NULL").groupBy("to_article_id").count().orderBy(F.desc("count"), "to_article_id").first()
+    row = graph(spark, sf_dir).refs.where("to_article_id IS NOT NULL").groupBy("to_article_id").count().orderBy(F.desc("count"), "to_article_id").first()
     return row.to_article_id
 
 
@@ -417,7 +417,7 @@ vectors AS (SELECT id, bucket, sqrt(v) / sqrt(sum(v) OVER (PARTITION BY id)) AS
 
 @query("m_lexical_vectors", f"WITH {_VECTORS} SELECT id, count(*) AS n, round(sum(weight), 4) AS total, round(max(weight), 5) AS most FROM vectors GROUP BY id")
 def m_lexical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = similarity.lexical_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ())
+    vectors = similarity.lexical_vectors(table(ship(spark), sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ())
     return vectors.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.max("weight"), 5).alias("most"))
 
 
@@ -460,7 +460,7 @@ _ASKED_TEXT = "the and that with from"
 
 @query("m_text_query", f"WITH {_VECTORS.replace('FROM documents)', f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{_ASKED_TEXT}'))")} SELECT v.id, round(sum(v.weight * q.weight), 4) AS score FROM vectors v JOIN vectors q ON q.bucket = v.bucket AND q.id = -1 WHERE v.id <> -1 GROUP BY v.id ORDER BY sum(v.weight * q.weight) DESC, v.id LIMIT 10")
 def m_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = table(ship(spark), sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return similarity.text_query(texts, _ASKED_TEXT, 10, 0.0, ()).select("id", F.round("score", 4).alias("score"))
 
 

@@ -2,11 +2,20 @@
 
 The same SQL defines the derived tables for Spark and for DuckDB. Laws are nations; provisions are customers
 (``12``), their orders (``12.340``) and the order's lines (``12.340.1``); an order cites the next order with the same
-part. A tenth of the citations misses its target, a tenth names the whole law, a tenth uses an old name.
+part. A tenth of the citations misses its target, a tenth names the whole law, a tenth uses an old name. Every part is
+a source, every order is linked to one and has a suggested amendment, a third of them on a source that is not there.
+
+The derivation is the loading of a store, so it is done once per application and folder; queries read its tables.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +51,9 @@ _PAIRS = "FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 7 WHERE
 _IDS = "'law-' || CAST(a.c_nationkey AS STRING) || ':' || CAST(a.c_custkey AS STRING) AS a_id, 'law-' || CAST(b.c_nationkey AS STRING) || ':' || CAST(b.c_custkey AS STRING) AS b_id, a.c_custkey AS k"
 SIMILAR = f"SELECT least(a_id, b_id) AS a_article_id, greatest(a_id, b_id) AS b_article_id, (60 + k % 40) / 100.0 AS score, 'demo-ngram-v1' AS model FROM (SELECT {_IDS} {_PAIRS}) pairs"
 RELATIONS = f"SELECT least(a_id, b_id) AS a_article_id, greatest(a_id, b_id) AS b_article_id, CASE k % 3 WHEN 0 THEN 'conflict' WHEN 1 THEN 'overlap' ELSE 'consistent' END AS kind, (50 + k % 50) / 100.0 AS confidence, 'pair ' || CAST(k AS STRING) AS explanation, 'demo-heuristic' AS model FROM (SELECT {_IDS} {_PAIRS}) pairs"
-INTL_SOURCES = "SELECT 'src-' || CAST(p_partkey AS STRING) AS source_id, CASE WHEN p_size % 2 = 0 THEN 'treaty' ELSE 'foreign_law' END AS kind, p_brand AS country_or_org, p_name AS title, 'https://sources.example/' || CAST(p_partkey AS STRING) AS url, p_type AS summary, CAST(NULL AS STRING) AS provision FROM part WHERE p_partkey <= 50"
-INTL_LINKS = "SELECT law_id || ':' || number AS article_id, 'src-' || CAST(ok % 50 + 1 AS STRING) AS source_id, (ok % 97) / 97.0 AS relevance, 'link ' || CAST(ok AS STRING) AS explanation, 'demo' AS model FROM order_ids WHERE ok % 5 = 0"
-AMENDMENTS = "SELECT law_id || ':' || number AS article_id, 'reason ' || CAST(ok AS STRING) AS reason, 'text ' || CAST(ok AS STRING) AS suggested_text, 'src-' || CAST(ok % 60 + 1 AS STRING) AS base_1, law_id || ':' || CAST(ck AS STRING) AS base_2, 'demo' AS model, CASE WHEN ok % 2 = 0 THEN 0.7 END AS confidence FROM order_ids WHERE ok % 11 = 0"
+INTL_SOURCES = "SELECT 'src-' || CAST(p_partkey AS STRING) AS source_id, CASE WHEN p_size % 2 = 0 THEN 'treaty' ELSE 'foreign_law' END AS kind, p_brand AS country_or_org, p_name AS title, 'https://sources.example/' || CAST(p_partkey AS STRING) AS url, p_type AS summary, CAST(NULL AS STRING) AS provision FROM part"
+INTL_LINKS = "SELECT law_id || ':' || number AS article_id, 'src-' || CAST(ck + ok % 7 AS STRING) AS source_id, (ok % 97) / 97.0 AS relevance, 'link ' || CAST(ok AS STRING) AS explanation, 'demo' AS model FROM order_ids"
+AMENDMENTS = "SELECT law_id || ':' || number AS article_id, 'reason ' || CAST(ok AS STRING) AS reason, 'text ' || CAST(ok AS STRING) AS suggested_text, 'src-' || CAST(CASE WHEN ok % 3 = 0 THEN ok + 100000000 ELSE ck END AS STRING) AS base_1, law_id || ':' || CAST(ck AS STRING) AS base_2, 'demo' AS model, CASE WHEN ok % 2 = 0 THEN 0.7 END AS confidence FROM order_ids"
 #: Derived tables in order of dependence.
 DERIVED = {
     "laws": LAWS, "order_ids": ORDER_IDS, "articles": ARTICLES, "edges": EDGES, "refs": REFS, "similar_edges": SIMILAR, "relations": RELATIONS,
@@ -75,12 +84,11 @@ def derive(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def _placed(sql: str) -> str:
     """Table names as parameters of ``spark.sql``."""
-    import re
-
     return re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", sql).replace("{provisions}", "provisions").replace("{chains}", "chains")
 
 
-def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+def derived_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph as plans over the star-schema tables."""
     d = derive(spark, sf_dir)
     blank = F.array().cast("array<string>")
     laws = d["laws"].select("law_id", "name", F.array("former_name").alias("former_names"), blank.alias("short_names"), F.lit(None).cast("string").alias("adopted_date"), "source_url", "text_available")
@@ -90,3 +98,30 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
         amendments=double(d["amendments"], "confidence").withColumn("based_on_source_ids", F.array("base_1", "base_2")).drop("base_1", "base_2"),
         intl_sources=d["intl_sources"], intl_links=double(d["intl_links"], "relevance"),
     )
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """Where loaded tables go: the shared folder of a cluster, a temporary one of a local session, else nowhere."""
+    if spark.sparkContext.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="lexweave-graph-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        return path
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/lexweave-graph-{uuid.uuid4().hex}" if base else None
+
+
+#: Paths of the loaded tables by application and folder.
+_LOADED: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph over Parquet tables, written at the first call of an application; plans where no folder is shared."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        store, folder = derived_graph(spark, sf_dir), _folder(spark)
+        if folder is None:
+            return store
+        for name, frame in store.tables().items():
+            frame.write.parquet(f"{folder}/{name}")
+        _LOADED[key] = {name: f"{folder}/{name}" for name in store.tables()}
+    return GraphStore(**{name: spark.read.parquet(path) for name, path in _LOADED[key].items()})
