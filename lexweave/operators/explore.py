@@ -110,7 +110,7 @@ def repealed(x: Exploration) -> DataFrame:
 
 def external_laws(x: Exploration) -> DataFrame:
     """10: other laws that are cited, how often and where."""
-    return collected(x.external.select("target", "from_id").distinct(), ["target"], "from_id", ["from_id"]).orderBy(F.desc("n"), "target")
+    return collected(x.external.select("law_id", "target", "from_id").distinct(), ["target"], "from_id", ["from_id"]).orderBy(F.desc("n"), "target")
 
 
 def category_mentions(x: Exploration, category: str, limit: int = 10) -> DataFrame:

@@ -75,7 +75,7 @@ def _items(store: GraphStore, refs: DataFrame, side: str, explanation: Column |
     )
 
 
-def _suggestions(store: GraphStore, edges: DataFrame, confidence: str, score: Column, explanation: Column) -> DataFrame:
+def _suggestions(store: GraphStore, edges: DataFrame, confidence: str, score: Column, explanation: Column, extra: tuple[str, ...] = ()) -> DataFrame:
     rows = edges.where("NOT inside").withColumn("o_law", law_of("other")).withColumn("o_number", number_of("other"))
     texts = store.articles.select(F.col("article_id").alias("t_id"), F.col("text").alias("t_text"))
     rows = rows.join(texts, rows["other"] == texts["t_id"])  # a suggestion for a provision that is not there is left out
@@ -84,7 +84,7 @@ def _suggestions(store: GraphStore, edges: DataFrame, confidence: str, score: Co
         F.col("o_law").alias("law_id"), F.col("l_name").alias("law_name"), F.col("other").alias("article_id"), F.col("o_number").alias("number"),
         T.excerpt("t_text").alias("snippet"), article_url(F.col("o_number")).alias("source_url"), F.lit("suggestion").alias("type"), F.round(confidence, 3).alias("confidence"),
         F.lit(False).alias("uses_old_name"), F.lit(False).alias("target_missing"), number_of("mine").alias("anchor_number"), explanation.alias("explanation"),
-        *[F.lit(None).cast("string").alias(c) for c in ("raw_text", "matched_name", "current_number")], "model", score.alias("score"),
+        *[F.lit(None).cast("string").alias(c) for c in ("raw_text", "matched_name", "current_number")], "model", score.alias("score"), *extra,
     )
 
 
@@ -102,8 +102,7 @@ def relation_items(store: GraphStore, selection: DataFrame) -> DataFrame:
     scores = store.similar.select(pair[0].alias("p"), pair[1].alias("q"), F.col("score").alias("s_score")).dropDuplicates(["p", "q"])
     edges = store.relations_at(selection).where(F.col("kind").isin("conflict", "overlap")).withColumn("p", pair[0]).withColumn("q", pair[1])
     edges = edges.join(scores, ["p", "q"], "left")
-    parts = [_suggestions(store, edges.where(F.col("kind") == k), "confidence", F.col("s_score"), F.col("explanation")).withColumn("kind", F.lit(k)) for k in ("conflict", "overlap")]
-    return parts[0].unionByName(parts[1])
+    return _suggestions(store, edges, "confidence", F.col("s_score"), F.col("explanation"), ("kind",))
 
 
 def law_groups(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -118,23 +117,17 @@ LISTS = ("incoming", "outgoing", "former_name_refs", "missing_target_refs", "sim
 
 
 def _connections(store: GraphStore, selection: DataFrame, incoming: DataFrame, outgoing: DataFrame, limit: int | None) -> DataFrame:
-    """The seven lists in one table: ``list``, the item, and its rank within a list of suggestions."""
-    inc, out = _items(store, incoming, "incoming"), _items(store, outgoing, "outgoing")
-    both = inc.unionByName(out)
-    facts = {"incoming": inc, "outgoing": out, "former_name_refs": both.where("uses_old_name"), "missing_target_refs": both.where("target_missing")}
-    relations = relation_items(store, selection)
-    suggested = {"similar": similar_items(store, selection), "overlaps": relations.where("kind = 'overlap'").drop("kind"), "conflicts": relations.where("kind = 'conflict'").drop("kind")}
-    whole = None
-    for name in LISTS:
-        rows = facts[name] if name in facts else suggested[name]
-        rows = rows.withColumn("list", F.lit(name))
-        whole = rows if whole is None else whole.unionByName(rows)
-    rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("confidence"), "article_id", F.desc("score"), number_key("anchor_number")))
-    if limit is None:
-        return whole
-    facts_only = whole.where(F.col("list").isin(*LISTS[:4])).withColumn("rank", F.lit(None).cast("int"))
-    best = whole.where(F.col("list").isin(*LISTS[4:])).withColumn("rank", rank).where(F.col("rank") <= limit)
-    return facts_only.unionByName(best).drop("rank")
+    """The seven lists in one table, ``list`` and the item; facts are read once and stand in up to three of them."""
+    ends = {"incoming": incoming, "outgoing": outgoing}
+    inc, out = (_items(store, refs, side).withColumn("list", F.lit(side)) for side, refs in ends.items())
+    names = F.array("list", F.when(F.col("uses_old_name"), "former_name_refs"), F.when(F.col("target_missing"), "missing_target_refs"))
+    facts = inc.unionByName(out).withColumn("list", F.explode(F.array_compact(names)))
+    relations = relation_items(store, selection).withColumn("list", F.concat("kind", F.lit("s"))).drop("kind")
+    suggested = similar_items(store, selection).withColumn("list", F.lit("similar")).unionByName(relations)
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("confidence"), "article_id", F.desc("score"), number_key("anchor_number")))
+        suggested = suggested.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+    return facts.unionByName(suggested)
 
 
 def article_connections(store: GraphStore, id_: str) -> DataFrame:

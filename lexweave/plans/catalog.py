@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import numbers as N
 from lexweave.functions import text as T
-from lexweave.operators import build, extract, relational, services, similarity, structure, traverse
+from lexweave.operators import build, explore, extract, relational, services, similarity, structure, traverse
 from lexweave.operators.services import Change
 from lexweave.operators.store import GraphStore
-from lexweave.plans.corpus import graph, with_derived
+from lexweave.plans.corpus import explored, graph, with_derived, with_explored
 from lexweave.plans.session import ship, table
 from lexweave.sources import files
 
@@ -642,12 +642,6 @@ def x_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- exploration ---------------------------------------------------------------------------------------------------
 
 
-@query("s_top_degree", "SELECT to_article_id AS target, count(*) AS cited FROM refs WHERE to_article_id IS NOT NULL GROUP BY to_article_id ORDER BY cited DESC, target LIMIT 10", "refs")
-def s_top_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph(spark, sf_dir)
-    return g.refs.where("to_article_id IS NOT NULL").groupBy(F.col("to_article_id").alias("target")).agg(F.count("*").alias("cited")).orderBy(F.desc("cited"), "target").limit(10)
-
-
 @query("s_comention", "SELECT user_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
 def s_comention(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
@@ -662,17 +656,122 @@ def s_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("day", "type", "n", F.array_join(F.col("values").cast("array<string>"), " ").alias("articles"))
 
 
-@query("s_chapters", "SELECT n_nationkey AS chapter, n_name AS title, count(c_custkey) AS articles FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
-def s_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    counts = c.groupBy("c_nationkey").agg(F.count("*").alias("articles"))
-    return n.join(counts, n["n_nationkey"] == counts["c_nationkey"], "left").select(F.col("n_nationkey").alias("chapter"), F.col("n_name").alias("title"), F.coalesce("articles", F.lit(0)).alias("articles"))
+def explore_query(name: str, sql: str, *tables: str) -> Callable[[Query], Query]:
+    """Register a query over the exploration graph."""
+    return query(name, with_explored(sql, *tables))
+
+
+_NODES = "nodes AS (SELECT law_id, id, 'Article' AS label, number, title, text FROM x_articles UNION ALL SELECT law_id, id, 'Provision', number, NULL, text FROM x_provisions UNION ALL SELECT law_id, id, 'Chapter', CAST(number AS STRING), title, NULL FROM x_chapters)"
+_NODE_TABLES = ("x_articles", "x_provisions", "x_chapters")
+
+
+@explore_query("c_chapter_sizes", """SELECT c.number, c.title, n.articles FROM x_chapters c LEFT JOIN (
+SELECT coalesce(s.chapter, a.chapter) AS chapter, count(*) AS articles FROM x_articles a LEFT JOIN x_sections s ON s.law_id = a.law_id AND s.id = a.chapter WHERE a.law_id = 'law-3' GROUP BY 1) n ON n.chapter = c.id WHERE c.law_id = 'law-3'""", "x_chapters", "x_sections", "x_articles")
+def c_chapter_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.chapter_sizes(explored(spark, sf_dir), "law-3")
+
+
+@explore_query("c_article_tree", f"SELECT id, number, parent, text FROM x_provisions WHERE article = 'art{ASKED}'", "x_provisions")
+def c_article_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    law = asked_id(spark, sf_dir).partition(":")[0]
+    return explore.article_tree(explored(spark, sf_dir), law, f"art{ASKED}").select("id", "number", "parent", "text")
+
+
+@explore_query("c_prohibitions", "SELECT number, text FROM x_provisions p WHERE said = 'хориглол' AND EXISTS (SELECT 1 FROM x_mentions m WHERE m.law_id = p.law_id AND from_id = p.id AND to_id = 'actor-3')", "x_provisions", "x_mentions")
+def c_prohibitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.provisions_that(explored(spark, sf_dir), "хориглол", "actor-3")
+
+
+@explore_query("c_first_prohibitions", f"SELECT number, text FROM x_provisions p WHERE said = 'хориглол' AND EXISTS (SELECT 1 FROM x_mentions m WHERE m.law_id = p.law_id AND from_id = p.id AND to_id = 'actor-5') ORDER BY {KEY.format('number')}, number LIMIT 25", "x_provisions", "x_mentions")
+def c_first_prohibitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.provisions_that(explored(spark, sf_dir), "хориглол", "actor-5", 25)
+
+
+@explore_query("c_term_usage", "SELECT name, defined_in, count(m.to_id) AS mentioned, definition FROM x_terms t LEFT JOIN x_mentions m ON m.law_id = t.law_id AND m.to_id = t.id GROUP BY t.law_id, t.id, name, defined_in, definition", "x_terms", "x_mentions")
+def c_term_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.term_usage(explored(spark, sf_dir))
+
+
+@explore_query("c_most_cited", f"""SELECT coalesce(number, title) AS target, label, cited FROM (SELECT law_id, to_id AS id, count(*) AS cited FROM x_refs GROUP BY ALL) c JOIN (SELECT * FROM (WITH {_NODES} SELECT * FROM nodes)) n USING (law_id, id)
+ORDER BY cited DESC, label, {KEY.format('number')}, target LIMIT 10""", "x_refs", *_NODE_TABLES)
+def c_most_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.most_cited(explored(spark, sf_dir))
+
+
+@explore_query("c_citation_paths", """SELECT array_to_string(p, ' > ') AS path, n AS length FROM (
+WITH e AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM x_refs WHERE law_id = 'law-3'), s AS (SELECT min(from_id) AS id FROM x_refs WHERE law_id = 'law-3'),
+p1 AS (SELECT src, dst AS a FROM e JOIN s ON src = id), p2 AS (SELECT p1.src, a, dst AS b FROM p1 JOIN e ON e.src = a), p3 AS (SELECT p2.src, a, b, dst AS c FROM p2 JOIN e ON e.src = b)
+SELECT [src, a] AS p, 1 AS n FROM p1 UNION ALL SELECT [src, a, b], 2 FROM p2 UNION ALL SELECT [src, a, b, c], 3 FROM p3)""", "x_refs")
+def c_citation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = explored(spark, sf_dir)
+    start = x.refs.where("law_id = 'law-3'").agg(F.min("from_id")).first()[0]
+    return explore.citation_paths(x, "law-3", start).select(F.array_join("path", " > ").alias("path"), "length")
+
+
+@explore_query("c_history", "SELECT date, type, count(*) AS n, string_agg(target, ' ' ORDER BY encode(target)) AS targets FROM x_amended GROUP BY date, type", "x_amended")
+def c_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.history(explored(spark, sf_dir)).select("date", "type", "n", F.array_join("values", " ").alias("targets"))
+
+
+@explore_query("c_repealed", "SELECT number, text FROM x_provisions WHERE status = 'хүчингүй'", "x_provisions")
+def c_repealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.repealed(explored(spark, sf_dir))
+
+
+@explore_query("c_external_laws", "SELECT target, count(*) AS n, string_agg(from_id, ' ' ORDER BY encode(from_id)) AS places FROM (SELECT DISTINCT law_id, target, from_id FROM x_external) GROUP BY target", "x_external")
+def c_external_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.external_laws(explored(spark, sf_dir)).select("target", "n", F.array_join("values", " ").alias("places"))
+
+
+@explore_query("c_category_mentions", "SELECT name, count(*) AS n, array_to_string(list_slice(list(from_id ORDER BY encode(from_id)), 1, 10), ' ') AS places FROM x_mentions JOIN x_actors ON id = to_id WHERE category = 'state' GROUP BY name", "x_mentions", "x_actors")
+def c_category_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.category_mentions(explored(spark, sf_dir), "state").select("name", "n", F.array_join("values", " ").alias("places"))
+
+
+@explore_query("c_co_mentions", "SELECT number, text FROM x_provisions p JOIN (SELECT law_id, from_id FROM x_mentions WHERE to_id IN (SELECT 'actor-' || CAST(min(l_suppkey) AS STRING) FROM lineitem WHERE l_partkey = 10 UNION SELECT 'term-10') GROUP BY law_id, from_id HAVING count(DISTINCT to_id) = 2) m ON m.law_id = p.law_id AND from_id = id", "x_provisions", "x_mentions")
+def c_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actor = table(spark, sf_dir, "lineitem").where("l_partkey = 10").agg(F.min("l_suppkey")).first()[0]
+    return explore.co_mentions(explored(spark, sf_dir), [f"actor-{actor}", "term-10"])
+
+
+@explore_query("c_retrieval_context", f"""SELECT a.number AS article_number, a.title, u.text AS parent_text, p.number, p.text, coalesce(c.cites, '') AS cites, h.score FROM x_similar h JOIN x_provisions p ON p.law_id = h.law_id AND p.id = h.a
+JOIN x_articles a ON a.law_id = p.law_id AND a.id = p.article LEFT JOIN x_provisions u ON u.law_id = p.law_id AND u.id = p.parent
+LEFT JOIN (SELECT law_id, from_id, string_agg(DISTINCT coalesce(number, title), ' ' ORDER BY coalesce(number, title)) AS cites FROM x_refs r JOIN (SELECT law_id, id AS to_id, number, title FROM (WITH {_NODES} SELECT * FROM nodes)) n USING (law_id, to_id) GROUP BY ALL) c ON c.law_id = p.law_id AND c.from_id = p.id""", "x_similar", "x_refs", *_NODE_TABLES)
+def c_retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = explored(spark, sf_dir)
+    hits = x.similar.select("law_id", F.col("a").alias("id"), "score")
+    return explore.retrieval_context(x, hits).withColumn("cites", F.array_join("cites", " "))
+
+
+@explore_query("c_topic_articles", "SELECT name, size, count(*) AS n, array_to_string(list_slice(list(number || ' ' || title ORDER BY encode(number), encode(number || ' ' || title)), 1, 6), '|') AS first FROM x_topics t JOIN x_articles a ON a.law_id = t.law_id AND a.id = t.article GROUP BY name, size", "x_topics", "x_articles")
+def c_topic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.topic_articles(explored(spark, sf_dir)).select("name", "size", "n", F.array_join("values", "|").alias("first"))
+
+
+@explore_query("c_neighbours", "SELECT p.number, score, p.text FROM (SELECT law_id, min(a) AS asked FROM x_similar WHERE law_id = 'law-3' GROUP BY law_id) o JOIN (SELECT law_id, a AS asked, b AS id, score FROM x_similar UNION ALL SELECT law_id, b, a, score FROM x_similar) e USING (law_id, asked) JOIN x_provisions p USING (law_id, id)", "x_similar", "x_provisions")
+def c_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = explored(spark, sf_dir)
+    return explore.neighbours(x, "law-3", x.similar.where("law_id = 'law-3'").agg(F.min("a")).first()[0])
+
+
+@explore_query("c_norms_between", "SELECT p.number, action, n.condition FROM x_norms n JOIN x_provisions p USING (law_id, id) WHERE kind = 'duty' AND bearer = '1-URGENT' AND towards = 'actor 2'", "x_norms", "x_provisions")
+def c_norms_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.norms_between(explored(spark, sf_dir), "duty", "1-URGENT", "actor 2")
+
+
+@explore_query("c_actor_matrix", "SELECT bearer, CASE kind WHEN 'right' THEN 'HAS_RIGHT' WHEN 'duty' THEN 'HAS_DUTY' ELSE 'IS_PROHIBITED' END AS edge, towards, count(*) AS n FROM x_norms WHERE towards IS NOT NULL GROUP BY ALL", "x_norms")
+def c_actor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.actor_matrix(explored(spark, sf_dir))
+
+
+@explore_query("c_refs_with_role", f"SELECT p.number, p.text, n.number AS to_number FROM x_refs r JOIN x_provisions p ON p.law_id = r.law_id AND p.id = from_id LEFT JOIN (SELECT * FROM (WITH {_NODES} SELECT * FROM nodes)) n ON n.law_id = r.law_id AND n.id = to_id WHERE role = 'exception'", "x_refs", *_NODE_TABLES)
+def c_refs_with_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.refs_with_role(explored(spark, sf_dir), "exception")
 
 
-@query("s_actor_matrix", "SELECT a.c_mktsegment AS bearer, o_orderstatus AS edge, o_orderpriority AS towards, count(*) AS n FROM orders JOIN customer a ON o_custkey = a.c_custkey GROUP BY ALL")
-def s_actor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("bearer"), F.col("o_orderstatus").alias("edge"), F.col("o_orderpriority").alias("towards")).agg(F.count("*").alias("n"))
+@explore_query("c_histogram", f"SELECT label, count(*) AS n FROM (WITH {_NODES} SELECT label FROM nodes) GROUP BY label UNION ALL SELECT 'REFERS_TO', count(*) FROM x_refs UNION ALL SELECT 'AMENDED_BY', count(*) FROM x_amended", "x_refs", "x_amended", *_NODE_TABLES)
+def c_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.histogram_of_labels(explored(spark, sf_dir))
 
 
 def store(spark: SparkSession, sf_dir: str) -> GraphStore:

@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.operators.explore import Exploration
 from lexweave.operators.store import GraphStore, with_keys
 from lexweave.plans.session import table
 
@@ -125,3 +126,49 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
             frame.write.parquet(f"{folder}/{name}")
         _LOADED[key] = {name: f"{folder}/{name}" for name in store.tables()}
     return GraphStore(**{name: spark.read.parquet(path) for name, path in _LOADED[key].items()})
+
+
+# ---- the exploration graph -----------------------------------------------------------------------------------------
+
+#: Tables of the exploration graph, ids local to a law: chapters are the customers' segments, articles the customers,
+#: provisions their orders and the orders' lines, actors the suppliers, terms the parts, topics the price bands.
+EXPLORED = {
+    "x_chapters": "SELECT DISTINCT 'law-' || CAST(c_nationkey AS STRING) AS law_id, 'ch-' || c_mktsegment AS id, length(c_mktsegment) AS number, c_mktsegment AS title FROM customer",
+    "x_sections": "SELECT DISTINCT 'law-' || CAST(c_nationkey AS STRING) AS law_id, 'sec-' || CAST(c_custkey % 3 AS STRING) || '-' || c_mktsegment AS id, 'ch-' || c_mktsegment AS chapter FROM customer",
+    "x_articles": "SELECT 'law-' || CAST(c_nationkey AS STRING) AS law_id, 'art' || CAST(c_custkey AS STRING) AS id, CAST(c_custkey AS STRING) AS number, c_name AS title, c_mktsegment || ' account' AS text, CASE WHEN c_custkey % 4 = 3 THEN 'ch-' || c_mktsegment ELSE 'sec-' || CAST(c_custkey % 3 AS STRING) || '-' || c_mktsegment END AS chapter FROM customer",
+    "x_provisions": """SELECT law_id, number AS id, number, 'art' || CAST(ck AS STRING) AS article, CAST(NULL AS STRING) AS parent, o_orderpriority || ' status ' || o_orderstatus AS text, CASE o_orderstatus WHEN 'P' THEN 'хүчингүй' ELSE 'хүчинтэй' END AS status, CASE o_orderstatus WHEN 'F' THEN 'үүрэг' WHEN 'O' THEN 'эрх' END AS said FROM order_ids
+UNION ALL SELECT law_id, number || '.' || CAST(l_linenumber AS STRING), number || '.' || CAST(l_linenumber AS STRING), 'art' || CAST(ck AS STRING), number, l_returnflag || ' ' || l_linestatus || ' line', 'хүчинтэй', CASE l_returnflag WHEN 'R' THEN 'хориглол' END FROM lineitem JOIN order_ids ON l_orderkey = ok""",
+    "x_refs": "SELECT f.law_id, f.number AS from_id, CASE WHEN dst % 5 = 0 THEN 'art' || CAST(t.ck AS STRING) ELSE t.number END AS to_id, CASE src % 3 WHEN 0 THEN 'exception' WHEN 1 THEN 'basis' END AS role FROM edges JOIN order_ids f ON src = f.ok JOIN order_ids t ON dst = t.ok WHERE f.law_id = t.law_id",
+    "x_external": "SELECT f.law_id, f.number AS from_id, t.law_id AS target FROM edges JOIN order_ids f ON src = f.ok JOIN order_ids t ON dst = t.ok WHERE f.law_id <> t.law_id",
+    "x_amended": "SELECT law_id, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS type, number AS target FROM order_ids",
+    "x_mentions": "SELECT law_id, number || '.' || CAST(l_linenumber AS STRING) AS from_id, 'actor-' || CAST(l_suppkey AS STRING) AS to_id FROM lineitem JOIN order_ids ON l_orderkey = ok UNION ALL SELECT law_id, number || '.' || CAST(l_linenumber AS STRING), 'term-' || CAST(l_partkey AS STRING) FROM lineitem JOIN order_ids ON l_orderkey = ok",
+    "x_terms": "SELECT 'law-' || CAST(p_partkey % 25 AS STRING) AS law_id, 'term-' || CAST(p_partkey AS STRING) AS id, p_name || ' ' || CAST(p_partkey AS STRING) AS name, CAST(p_size AS STRING) AS defined_in, p_type AS definition FROM part",
+    "x_actors": "SELECT 'actor-' || CAST(s_suppkey AS STRING) AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN 'state' ELSE 'person' END AS category FROM supplier",
+    "x_norms": "SELECT law_id, number || '.' || CAST(l_linenumber AS STRING) AS id, CASE l_returnflag WHEN 'R' THEN 'prohibition' WHEN 'A' THEN 'duty' ELSE 'right' END AS kind, o_orderpriority AS bearer, CASE WHEN l_linenumber < 5 THEN 'actor ' || CAST(l_linenumber AS STRING) END AS towards, 'act ' || CAST(l_partkey AS STRING) AS action, l_linestatus AS condition FROM lineitem JOIN order_ids ON l_orderkey = ok",
+    "x_topics": "SELECT 'law-' || CAST(c_nationkey AS STRING) AS law_id, 'art' || CAST(c_custkey AS STRING) AS article, c_mktsegment AS name, length(c_mktsegment) AS size FROM customer",
+    "x_similar": "SELECT f.law_id, f.number AS a, t.number AS b, (src + dst) % 100 / 100.0 AS score FROM edges JOIN order_ids f ON src = f.ok JOIN order_ids t ON dst = t.ok WHERE f.law_id = t.law_id",
+}
+EXPLORED_SOURCES = ("customer", "lineitem", "part", "supplier")
+
+
+def with_explored(sql: str, *names: str) -> str:
+    """A DuckDB query over tables of the exploration graph."""
+    return with_derived(", ".join(["WITH " + f"{names[0]} AS ({EXPLORED[names[0]]})", *[f"{n} AS ({EXPLORED[n]})" for n in names[1:]]]) + " " + sql.strip(), "order_ids", "edges")
+
+
+def explored(spark: SparkSession, sf_dir: str) -> Exploration:
+    """The exploration graph over the star-schema tables, loaded once like the store."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#explored")
+    names = {"x_" + f: f for f in ("chapters", "sections", "articles", "provisions", "refs", "external", "mentions", "terms", "actors", "norms", "topics", "similar")} | {"x_amended": "amendments"}
+    if key not in _LOADED:
+        known = derive(spark, sf_dir, "order_ids", "edges") | {t: table(spark, sf_dir, t) for t in EXPLORED_SOURCES}
+        frames, folder = {n: spark.sql(_placed(sql), **known) for n, sql in EXPLORED.items()}, _folder(spark)
+        said = F.when(F.col("said").isNull(), F.array().cast("array<string>")).otherwise(F.array("said"))
+        frames["x_provisions"] = frames["x_provisions"].withColumn("modality", said).drop("said")
+        frames["x_similar"] = frames["x_similar"].withColumn("score", F.col("score").cast("double"))
+        if folder is None:
+            return Exploration(**{names[n]: frame for n, frame in frames.items()})
+        for name, frame in frames.items():
+            frame.write.parquet(f"{folder}/{name}")
+        _LOADED[key] = {names[n]: f"{folder}/{n}" for n in frames}
+    return Exploration(**{name: spark.read.parquet(path) for name, path in _LOADED[key].items()})
