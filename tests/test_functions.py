@@ -88,3 +88,30 @@ def test_numbers_without_or_beside_digits(spark):
     values = ["9", "9¹", "10", "12а", "x.2", "", None]
     rows = spark.createDataFrame([(v,) for v in values], "n string").select("n", numbers.number_key("n").alias("k")).collect()
     assert [list(r.k) for r in rows] == [[900], [901], [1000], [1200], [0, 200], [10**9], [10**9]]
+
+
+def test_python_stems_equal_the_column(spark):
+    from lexweave.functions import text as T
+
+    words = ["хөдөлмөрийн", "хуулиар", "ажилтанд", "цагаас", "зүйлүүд", "ажлын", "она", "12.3", "нн", "дддддд", "abcт", "гаараар", "ынхынх", "a"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.stem("w").alias("s")).collect()
+    assert {r.w: r.s for r in rows} == {w: T.stem_of(w) for w in words}
+
+
+def test_lexical_vectors_by_hand(spark):
+    import hashlib
+    import math
+
+    from lexweave.operators.similarity import lexical_vectors
+
+    def bucket(f):
+        d = hashlib.md5(f.encode()).digest()
+        return (d[0] + 256 * d[1]) % 1024
+
+    sums = {}
+    for f, v in [("w:abcd", 2.0), ("c:#ab", 0.6), ("c:abc", 0.6), ("c:bcd", 0.6), ("c:cd#", 0.6), ("w:xyz", 1.0), ("c:#xy", 0.3), ("c:xyz", 0.3), ("c:yz#", 0.3)]:
+        sums[bucket(f)] = sums.get(bucket(f), 0) + v
+    rows = spark.createDataFrame([(1, "abcd xyz 12 ab ABCD"), (2, ""), (3, None), (4, "12 of")], "id long, text string")
+    found = {(r.id, r.bucket): r.weight for r in lexical_vectors(rows, ()).collect()}
+    assert found.keys() == {(1, b) for b in sums}
+    assert all(math.isclose(found[1, b], math.sqrt(v / sum(sums.values()))) for b, v in sums.items())
