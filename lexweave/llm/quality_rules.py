@@ -34,26 +34,34 @@ def _without(text: Column, characters: str) -> Column:
 def repeated_words(words: Column) -> Column:
     """Number of words inside windows of five that stand twice or more in the text, the first ones included.
 
-    Equal windows have equal hashes, so a text whose window hashes are all different repeats none. Any other is sorted
-    by hash and, among equal hashes, by the words themselves: windows whose words equal a neighbour's are repeated, and
-    what they cover is summed over the gaps of their places, so time is n log n whatever the text repeats.
+    Equal windows have equal hashes, so a text whose window hashes are all different repeats none. In any other the
+    windows whose hash stands twice are found by a sort of the hashes; these alone are sorted by hash and words, and
+    those whose words equal a neighbour's are repeated. What they cover is summed over the gaps of their places, so
+    time is n log n whatever the text repeats.
     """
 
     def windows(h: Column) -> Column:
         return F.when(F.size(h) < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
-    def places(s: Column) -> Column:
-        equal = lambda i, j: (F.get(s, j)["x"] == F.get(s, i)["x"]) & (F.get(s, j)["w"] == F.get(s, i)["w"])
-        same = lambda i: equal(i, i - 1) | equal(i, i + 1)
-        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), same), lambda i: F.get(s, i)["i"]))
+    def like_a_neighbour(s: Column, *fields: str) -> Column:
+        def equal(i: Column, j: Column) -> Column:
+            found = F.lit(True)
+            for name in fields:
+                found = found & (F.get(s, j)[name] == F.get(s, i)[name])
+            return found
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: equal(i, i - 1) | equal(i, i + 1)), lambda i: F.get(s, i)["i"])
 
     def covered(p: Column) -> Column:
         gaps = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     def count(w: Column) -> Column:
-        ordered = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("x"), F.slice(words, i + 1, WINDOW).alias("w"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(let(let(ordered, places), covered))
+        by_hash = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        suspects = let(by_hash, lambda s: like_a_neighbour(s, "x"))
+        by_words = F.array_sort(F.transform(suspects, lambda i: F.struct(F.get(w, i).alias("x"), F.slice(words, i + 1, WINDOW).alias("w"), i.alias("i"))))
+        places = let(by_words, lambda s: F.sort_array(like_a_neighbour(s, "x", "w")))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(let(places, covered))
 
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)
 
