@@ -11,6 +11,11 @@ surroundings of equal anchors only, about one place in eighteen.
 3. ``_sorted_matches``: by anchor, the suffixes that start at the anchors are merge-sorted; two suffixes are compared
    by binary search over the polynomial hashes of their prefixes. Where the sorted suffixes share enough on the right
    and equal bytes on the left, windows are equal; all but those of the smallest document are matched, byte by byte.
+   A task holds ``TASK_ROWS`` surroundings and sorts groups of ``SORT_ROWS``. What is larger is settled in parts, and
+   the windows still open are dealt anew by a longer string than the anchor: by the bytes that all windows of the
+   lower half of its places share, and by those of the upper half (``_refined``). Equal windows share that string, so
+   they meet again; the halves end at single places, where a whole window is the string and a part of a group keeps
+   those of its smallest document only. Rounds end when no group is left over.
 4. ``_apply``: each document loses what its matched windows cover.
 
 What travels are packed, compressed arrays keyed by a hash bucket or a bucket of document ids; their numbers follow the
@@ -39,6 +44,10 @@ LEFT = PLACES - 1
 WIDTH = LEFT + LENGTH
 #: Bytes of text per bucket of documents, anchors per bucket of hashes, rows that are sorted in one go.
 BUCKET_BYTES, BUCKET_ANCHORS, SORT_ROWS = 24 << 20, 1 << 20, 1 << 16
+#: Surroundings that a task holds at a time, and those that are cut out of texts in one go.
+TASK_ROWS, CUT_ROWS = 1 << 20, 1 << 19
+#: Rounds of dealing anew. Halving ends after six; the last one takes groups whole.
+ROUNDS = 10
 _BLOCK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
 _M1, _M2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x5851F42D4C957F2D)
@@ -122,6 +131,13 @@ def _stack(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*blobs)]
 
 
+def _drained(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The blobs stacked; the list lets go of them."""
+    out = _stack(blobs)
+    blobs.clear()
+    return out
+
+
 def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The arrays cut by bucket and packed."""
     order = np.argsort(bucket, kind="stable")
@@ -270,7 +286,8 @@ def _with_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np
 
 def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     """Of documents (id, uid, text, shared codes): kind 2, surroundings of shared anchors by hash bucket; kind 3,
-    windows that are settled here (id, uid, place, mask) by bucket of ids."""
+    windows that are settled here (see ``_matched``). The last arrays of kind 2 are the windows still open and, per
+    row, the first and last place of those windows that its hash stands for and ``again``."""
     data, limits = _joined([t for _, _, t, _ in part])
     place, hashes = anchors(data, limits)
     code, _ = _codes(hashes, buckets)
@@ -279,25 +296,30 @@ def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int,
     for (_, _, _, tags), s, e in zip(part, [0, *cuts[:-1]], cuts):
         shared[s:e] = np.isin(code[s:e], tags)
     place, code = place[shared], code[shared]
-    if not len(place):
-        return
-    owner = np.searchsorted(limits, place, side="right")
     starts = np.concatenate([[0], limits[:-1]])
-    left, right = np.minimum(place - starts[owner], LEFT).astype(np.uint8), np.minimum(limits[owner] - place, LENGTH).astype(np.uint8)
     padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[place]
-    edge = np.flatnonzero((left < LEFT) | (right < LENGTH))
-    column = np.arange(WIDTH)
-    rows[edge] *= (column >= LEFT - left[edge, None].astype(np.int64)) & (column < LEFT + right[edge, None].astype(np.int64))
-    ids, uids = np.array([p[0] for p in part], np.int64)[owner], np.array([p[1] for p in part], np.int64)[owner]
-    at = place - starts[owner]
-    leader = _classes(code, ids, rows, left, right)
-    settled = ids > ids[leader]
-    if settled.any():
-        mask = _full_mask(left[settled], right[settled])
-        yield from _routed(3, _by_bucket(np.mod(ids[settled], doc_buckets), ids[settled], uids[settled], at[settled], mask))
-    rest = ~settled
-    yield from _routed(2, _by_bucket((code[rest] & _POSITION).astype(np.int64), code[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest]))
+    windows, column = np.lib.stride_tricks.sliding_window_view(padded, WIDTH), np.arange(WIDTH)
+    all_ids, all_uids = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
+    for cut in range(0, len(place), CUT_ROWS):
+        spot, tag = place[cut : cut + CUT_ROWS], code[cut : cut + CUT_ROWS]
+        owner = np.searchsorted(limits, spot, side="right")
+        left, right = np.minimum(spot - starts[owner], LEFT).astype(np.uint8), np.minimum(limits[owner] - spot, LENGTH).astype(np.uint8)
+        rows = windows[spot]
+        edge = np.flatnonzero((left < LEFT) | (right < LENGTH))
+        rows[edge] *= (column >= LEFT - left[edge, None].astype(np.int64)) & (column < LEFT + right[edge, None].astype(np.int64))
+        ids, uids, at = all_ids[owner], all_uids[owner], spot - starts[owner]
+        leader = _classes(tag, ids, rows, left, right)
+        settled = ids > ids[leader]
+        if settled.any():
+            yield from _matched(ids[settled], uids[settled], at[settled], _full_mask(left[settled], right[settled]), np.zeros(int(settled.sum()), np.uint8), doc_buckets)
+        rest = ~settled
+        whole = (0, LEFT)
+        yield from _routed(2, _by_bucket((tag[rest] & _POSITION).astype(np.int64), tag[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest], _full_mask(left[rest], right[rest]), np.full((int(rest.sum()), 3), (*whole, 0), np.uint8)))
+
+
+def _matched(ids: np.ndarray, uids: np.ndarray, at: np.ndarray, mask: np.ndarray, again: np.ndarray, doc_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 3: windows that go (id, uid, place, mask, whether their like in the same text go too) by bucket of ids."""
+    yield from _routed(3, _by_bucket(np.mod(ids, doc_buckets), ids, uids, at, mask, again))
 
 
 def _gather(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, step: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -442,20 +464,97 @@ def match_rows(code: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.nd
     return mask
 
 
-def _sorted_matches(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Kind 3 rows (id, uid, place, mask) by bucket of ids."""
-    for code, ids, uids, at, left, right, rows in _per_bucket(batches):
-        order = np.argsort(code, kind="stable")
-        ordered = code[order]
+def _interval_mask(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    one = np.uint64(1)
+    return (one << (last.astype(np.uint64) + one)) - (one << first.astype(np.uint64))
+
+
+def _refined(arrays: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Kind 2 rows whose open windows are dealt by halves of their places: the hash is that of the string which all
+    windows of a half share. At a single place one row stands for those of the same text with the same window."""
+    _, ids, uids, at, left, right, rows, wanted, span = arrays
+    first, last = span[:, 0].astype(np.int64), span[:, 1].astype(np.int64)
+    middle = (first + last) // 2
+    column = np.arange(WIDTH)
+    for low, high, some in ((first, middle, np.ones(len(ids), bool)), (middle + 1, last, first < last)):
+        keep = wanted & _interval_mask(low, np.maximum(low, high))
+        at_all = np.flatnonzero(some & (keep > 0))
+        if not len(at_all):
+            continue
+        a, b = low[at_all], high[at_all]
+        string = rows[at_all] * ((column >= (LEFT - a)[:, None]) & (column < (LEFT + LENGTH - b)[:, None]))
+        h = _row_hashes(string, a.astype(np.uint8), b.astype(np.uint8))
+        h = (h ^ (h >> np.uint64(32))) * _M2
+        h ^= h >> np.uint64(29)
+        again = span[at_all, 2].copy()
+        single = a == b
+        if single.any():
+            order = np.lexsort((uids[at_all], ids[at_all], h))
+            x = at_all[order]
+            like = single[order][1:] & single[order][:-1] & (h[order][1:] == h[order][:-1]) & (ids[x][1:] == ids[x][:-1]) & (uids[x][1:] == uids[x][:-1]) & (string[order][1:] == string[order][:-1]).all(1)
+            again[order[:-1][like]] = 1
+            again[order[1:][like]] = 1
+            stays = np.sort(order[np.concatenate([[True], ~like])])
+            at_all, a, b, h, again = at_all[stays], a[stays], b[stays], h[stays], again[stays]
+        code, bucket = _codes(h, buckets)
+        yield from _routed(2, _by_bucket(bucket, code, ids[at_all], uids[at_all], at[at_all], left[at_all], right[at_all], rows[at_all], keep[at_all], np.stack([a, b, again], 1).astype(np.uint8)))
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The arrays of one bucket, and whether they are whole: a bucket of more than ``limit`` rows comes in pieces."""
+    key, blobs, rows, whole = None, [], 0, True
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+            if bucket != key:
+                if blobs:
+                    yield _drained(blobs), whole
+                key, rows, whole = bucket, 0, True
+            arrays = _unpack(blob.as_py())
+            if limit is not None and rows + len(arrays[0]) > limit and blobs:
+                whole, rows = False, 0
+                yield _drained(blobs), whole
+            rows += len(arrays[0])
+            blobs.append(arrays)
+    if blobs:
+        yield _drained(blobs), whole
+
+
+def _sorted_matches(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, sort_rows: int, task_rows: int | None) -> Iterator[pa.RecordBatch]:
+    """Kind 3 for the windows that are matched here, kind 2 for the open windows of groups that are too large.
+
+    Whether a group is too large hangs on its rows alone, so all its pieces agree: its bucket has more than
+    ``task_rows`` rows, or the group itself more than ``sort_rows``. Without ``task_rows`` every group is taken whole.
+    """
+    for arrays, whole in _bounded(batches, task_rows):
+        order = np.argsort(arrays[0], kind="stable")
+        code, ids, uids, at, left, right, rows, wanted, span = arrays = [a[order] for a in arrays]
+        begin, end = np.searchsorted(code, code), np.searchsorted(code, code, side="right")
+        large = np.full(len(code), not whole) if task_rows is not None else np.zeros(len(code), bool)
+        if task_rows is not None:
+            large |= end - begin > sort_rows
         s = 0
-        while s < len(order):
-            e = min(s + SORT_ROWS, len(order))
-            e = int(np.searchsorted(ordered, ordered[e - 1], side="right"))  # a group is not cut
-            part = order[s:e]
-            mask = match_rows(code[part], ids[part], left[part], right[part], rows[part])
-            hit = part[mask > 0]
-            yield from _routed(3, _by_bucket(np.mod(ids[hit], doc_buckets), ids[hit], uids[hit], at[hit], mask[mask > 0]))
+        while s < len(code):
+            e = min(s + sort_rows, len(code))
+            if not large[e - 1]:
+                e = int(end[e - 1])  # a group is cut only if it is dealt anew
+            found = match_rows(code[s:e], ids[s:e], left[s:e], right[s:e], rows[s:e]) & wanted[s:e]
+            hit = s + np.flatnonzero(found)
+            yield from _matched(ids[hit], uids[hit], at[hit], found[hit - s], span[hit, 2], doc_buckets)
+            wanted[s:e] &= ~found
             s = e
+        if large.any():
+            yield from _refined([a[large] for a in arrays], buckets)
+
+
+def like_windows(text: bytes, place: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and masks of all windows of a text that equal one of these, each window a place with the first bit."""
+    found: list[int] = []
+    for window in {text[p - k : p - k + LENGTH] for p, m in zip(place.tolist(), mask.tolist()) for k in range(PLACES) if m >> k & 1}:
+        at = text.find(window)
+        while at >= 0:
+            found.append(at)
+            at = text.find(window, at + 1)
+    return np.array(found, np.int64), np.ones(len(found), np.uint64)
 
 
 def covered(n: int, place: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -474,13 +573,13 @@ _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Remove from every document what its matched windows cover."""
-    last, ids, uids, place, mask = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    last, ids, uids, place, mask, again = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint8)
     for found, blob in _with_documents(batches):
         if found is None:
             ids = ids[:0]
         elif found is not last:
             order = np.lexsort((found[1], found[0]))
-            ids, uids, place, mask = (a[order] for a in found)
+            ids, uids, place, mask, again = (a[order] for a in found)
         last, out = found, []
         for doc, null, uid, text in _documents(blob):
             s, e = np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right")
@@ -489,7 +588,9 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
             rest = text
             if e > s and not null:
                 data = np.frombuffer(text, np.uint8)
-                gone = covered(len(data), place[s:e], mask[s:e])
+                more = s + np.flatnonzero(again[s:e])
+                at, bits = like_windows(text, place[more], mask[more])
+                gone = covered(len(data), np.concatenate([place[s:e], at]), np.concatenate([mask[s:e], bits]))
                 rest, removed = data[~gone].tobytes(), int(gone.sum())
                 spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
             out.append({"id": None if null else doc, "n_bytes": len(text), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept": rest if with_text else None})
@@ -502,13 +603,14 @@ def _prime_from(n: int) -> int:
     return n
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, sort_rows: int = SORT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` per row of ``docs``; ``kept`` is null unless asked for.
 
     Every byte goes that lies in a 50-byte string which also starts in a document of smaller id; strings are judged on
     the input. Texts are UTF-8 bytes, null counts as empty. A row with a null id loses nothing and counts for no
     other; rows of one id do not count against each other, whether their texts are equal or not; an empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. ``sort_rows`` and ``task_rows`` bound what a task sorts and holds;
+    the result does not depend on them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
@@ -527,9 +629,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = met.mapInArrow(lambda it: _gather(it, buckets, doc_buckets), "kind int, bucket long, blob binary")
     met = materialize(met, "surroundings", free=True)
     release(wanted)
-    dealt = met.where("kind = 2").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(lambda it: _sorted_matches(it, doc_buckets), "kind int, bucket long, blob binary")
-    found = materialize(met.where("kind = 3").union(found), "matches", free=True)
-    release(met)
-    cut = found.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    for k in range(1, ROUNDS + 1):
+        dealt = met.where("kind = 2").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        held = task_rows if k < ROUNDS else None
+        found = dealt.mapInArrow(lambda it, held=held: _sorted_matches(it, buckets, doc_buckets, sort_rows, held), "kind int, bucket long, blob binary")
+        found = materialize(met.where("kind = 3").union(found), "matches", free=True)
+        release(met)
+        met = found
+        if met.where("kind = 2").isEmpty():
+            break
+    cut = met.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
     return cut.mapInArrow(lambda it: _apply(it, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -186,6 +186,30 @@ def test_repeats_equal_brute_force(spark, seed):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in found)
 
 
+@pytest.mark.parametrize(("sort_rows", "task_rows"), [(4, 10), (7, 100_000), (3, 3)])
+def test_repeats_of_groups_beyond_the_bounds(spark, sort_rows, task_rows):
+    """One string stands in all texts amid bytes that differ, agree in part or agree in whole; texts repeat themselves."""
+    rng = random.Random(sort_rows)
+    short = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    hot, halves = "=" * 16 + "common" * 3, [short(30) for _ in range(3)]
+    rows = [(i, short(rng.randint(0, 60)) + rng.choice(halves) + hot + rng.choice(halves) + short(rng.randint(0, 60))) for i in range(90)]
+    rows += [(200 + i, short(20) + ("-" * 70 + short(1)) * rng.randint(1, 6)) for i in range(15)]
+    rows += [(300 + i, (halves[0] + hot + halves[1] + " ") * 8) for i in range(3)] + [(400, (short(55) + " ") * 9)] * 2
+    rows += [(500, "own " + "only-here-" * 30), (500, "only-here-" * 20), (None, hot * 4), (-3, None), (-4, "")]
+    rng.shuffle(rows)
+    found = substrings.remove_repeats(table(spark, rows).repartition(7), with_text=True, sort_rows=sort_rows, task_rows=task_rows).collect()
+    expected = brute_removed([(i, (t or "").encode()) for i, t in rows])
+    assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found), key=str) == expected
+
+
+def test_repeats_of_a_text_that_fills_many_pieces(spark):
+    """A text of megabytes with itself shifted: what its second copy has goes, wherever pieces are cut."""
+    rng = np.random.default_rng(8)
+    long = rng.integers(97, 123, 3 << 20).astype(np.uint8).tobytes().decode()
+    found = {r.id: r for r in substrings.remove_repeats(table(spark, [(1, long), (2, "x" * 40 + long[100:] + "y" * 60), (3, None)])).collect()}
+    assert (found[1].n_removed, found[2].n_removed, found[2].n_spans) == (0, len(long) - 100, 1)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
