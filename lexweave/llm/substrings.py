@@ -19,7 +19,7 @@ surroundings of equal anchors only, about one place in eighteen.
 4. ``_apply``: each document loses what its matched windows cover.
 
 What travels are packed, compressed arrays keyed by a hash bucket or a bucket of document ids; their numbers follow the
-size of the input, so a task holds about the same at any scale. A passage that very many documents share enters each
+size of the input and each bucket is a task of its own, so a task holds about the same at any scale. A passage that very many documents share enters each
 round once per batch, not once per document.
 """
 
@@ -620,17 +620,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_buckets = _prime_from(max(fewest, total // BUCKET_BYTES + 1))
     named = rows.where("id IS NOT NULL AND octet_length(text) >= 50")
     tags = materialize(named.select("id", "text").mapInArrow(lambda it: _tag_batches(it, buckets, doc_buckets), "kind int, bucket long, blob binary"), "tags")
-    dealt = tags.where("kind = 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = tags.where("kind = 0").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     across = dealt.mapInArrow(lambda it: _shared_tags(it, doc_buckets), "kind int, bucket long, blob binary")
     wanted = materialize(tags.where("kind = 1").union(across), "shared-tags", free=True)
     release(tags)
     docs = rows.mapInArrow(lambda it: _doc_blobs(it, doc_buckets), "kind int, bucket long, blob binary")
-    met = wanted.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    met = wanted.union(docs).repartitionById(doc_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
     met = met.mapInArrow(lambda it: _gather(it, buckets, doc_buckets), "kind int, bucket long, blob binary")
     met = materialize(met, "surroundings", free=True)
     release(wanted)
     for k in range(1, ROUNDS + 1):
-        dealt = met.where("kind = 2").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        dealt = met.where("kind = 2").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         held = task_rows if k < ROUNDS else None
         found = dealt.mapInArrow(lambda it, held=held: _sorted_matches(it, buckets, doc_buckets, sort_rows, held), "kind int, bucket long, blob binary")
         found = materialize(met.where("kind = 3").union(found), "matches", free=True)
@@ -638,5 +638,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met = found
         if met.where("kind = 2").isEmpty():
             break
-    cut = met.union(docs).repartition(doc_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    cut = met.union(docs).repartitionById(doc_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
     return cut.mapInArrow(lambda it: _apply(it, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
