@@ -19,10 +19,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import materialize, run_dir, text_slices
+from lexweave.llm.common import materialize, partitions_for, run_dir, text_slices
 
 #: Payload bytes (uncompressed) after which a task starts another package.
 PACKAGE_BYTES = 32 << 20
+#: Packages that a reading task takes at most, once there are more than shuffle partitions.
+PACKAGES_PER_TASK = 16
 ARCHIVE_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 PAGE_ID, LENGTH, REFERS_TO = "X-Page-Id", "X-Payload-Length", "X-Refers-To-Page-Id"
 #: Signatures and sizes of the ZIP format; fixed values.
@@ -272,5 +274,6 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     folder = f"{run_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     written = materialize(write_packages(with_revisits(rows, least_bytes), folder), "packages")
-    packages = written.repartition(max(1, min(written.count(), 4096)), "path")
-    return read_packages(packages, folder)
+    n = written.count()
+    tasks = max(1, min(n, partitions_for(spark)), -(-n // PACKAGES_PER_TASK))
+    return read_packages(written.repartitionByRange(tasks, "path"), folder)  # a hash of few paths leaves tasks without any
