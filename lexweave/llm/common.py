@@ -65,6 +65,34 @@ def cleanup() -> None:
         _CREATED.pop(path, None)
 
 
+class scratch:
+    """Frees the tables that ``materialize`` writes inside a ``with`` block when the block ends, but for those told to stay.
+
+    Blocks may nest: a table that stays belongs to the block outside. An operator's result is written inside by ``keep``, so
+    that no plan reads a freed table.
+    """
+
+    _open: list[scratch] = []
+
+    def __enter__(self) -> scratch:
+        self.tables: list[tuple[SparkSession, str]] = []
+        scratch._open.append(self)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written as a table that outlives this block."""
+        scratch._open.remove(self)
+        try:
+            return materialize(df, label)
+        finally:
+            scratch._open.append(self)
+
+    def __exit__(self, *_) -> None:
+        scratch._open.remove(self)
+        for spark, path in self.tables:
+            delete_path(spark, path)
+
+
 def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -76,6 +104,8 @@ def materialize(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if scratch._open:
+        scratch._open[-1].tables.append((spark, path))
     _PATHS[id(out)] = (weakref.ref(out), path)
     if free:
         for _ in range(2):  # the first collection may come before Spark's listeners have let go of the plan

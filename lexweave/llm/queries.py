@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, chat, exact, mixing, quality_rules, resampling, simhash, substrings, toxicity, warc
+from lexweave.llm import bpe, chat, divergence, exact, mixing, quality_rules, resampling, simhash, substrings, target_resampling, toxicity, warc
 from lexweave.plans.session import ship, table
 
 #: Rank file of the registered encoding query.
@@ -77,6 +77,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = target_resampling.target_resample(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -88,4 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_target_resampling": op11_target_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
