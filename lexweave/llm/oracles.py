@@ -167,4 +167,24 @@ ranked AS (
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
 """
 
-ORACLES = {"op8_suffix_dedup": OP8, "op5_warc": OP5, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9, "op13_source_divergence": OP13}
+# Classes of equal sets first; links between classes by shared shingles, then reachability by a recursive union.
+OP12 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words),
+classes AS (SELECT s, CAST(len(s) AS BIGINT) AS n, min(doc_id) AS node FROM sets GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS g FROM classes WHERE n > 0),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.seen = l.a),
+least AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT d.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN d.doc_id ELSE coalesce(l.label, c.node) END AS component_id,
+       CASE WHEN c.n = 0 THEN true ELSE d.doc_id = coalesce(l.label, c.node) END AS kept
+FROM sets d JOIN classes c ON d.s = c.s LEFT JOIN least l ON l.node = c.node
+"""
+
+ORACLES = {"op8_suffix_dedup": OP8, "op5_warc": OP5, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op2_mixing": OP2, "op9_exact_dedup": OP9, "op12_minhash": OP12, "op13_source_divergence": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bpe, chat, divergence, exact, mixing, quality_rules, resampling, simhash, substrings, target_resampling, toxicity, warc
+from lexweave.llm import bpe, chat, divergence, exact, minhash, mixing, quality_rules, resampling, simhash, substrings, target_resampling, toxicity, warc
 from lexweave.plans.session import ship, table
 
 #: Rank file of the registered encoding query.
@@ -82,6 +82,10 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_groups(table(ship(spark), sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(ship(spark), sf_dir, "documents"))
 
@@ -98,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_target_resampling": op11_target_resampling,
+    "op12_minhash": op12_minhash,
     "op13_source_divergence": op13_source_divergence,
 }
