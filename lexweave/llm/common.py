@@ -11,7 +11,7 @@ import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One word as every contract here reads it: a run of characters other than blanks and the five ASCII controls 9-13.
@@ -147,6 +147,35 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text in UTF-8; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and text digest stand in the written table ``gone(id, sha)``; columns unchanged.
+
+    A null id is a value like any other. By shuffle at every size, as the dropped rows grow with the input.
+    """
+    id_name, sha_name = free_name("gone_id", docs), free_name("gone_sha", docs)
+    gone = gone.select(F.col("id").alias(id_name), F.col("sha").alias(sha_name))
+    same = docs[quoted(id_col)].cast("long").eqNullSafe(gone[id_name]) & (text_digest(docs[quoted(text_col)]) == gone[sha_name])
+    return docs.join(gone.hint("merge"), same, "left_anti")
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def handed() -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in groups.items():
-            columns = [pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()).cast(pa.string())]
+            columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.binary()).cast(pa.string())]
             counts = [pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + counts, names=["lang", "source", "term", "n", "docs"])
         groups.clear()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.chat import let
-from lexweave.llm.common import materialize, release
+from lexweave.llm.common import materialize, quoted, release, text_digest, without_rows
 
 #: Runs that one merge takes, as a power of two, and keys of a range.
 FAN_IN_BITS, RUN_KEYS = 3, 8192
@@ -96,17 +96,14 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exchanged. Null texts count as empty; a null id stays only where its group has no other; an empty table stays empty.
     """
     marked = materialize(exact_duplicates(docs, id_col, text_col, keep), "marked")
-    fates = marked.groupBy(F.col("id").alias("__id"), F.unhex("sha").alias("__sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+    fates = marked.groupBy("id", F.unhex("sha").alias("sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
     fates = materialize(fates.where("NOT stays OR rows > 1"), "fates")
     release(marked)
-    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    # by shuffle at every size: the side of dropped rows grows with the input
-    out = docs.join(fates.hint("merge"), same, "left_anti")
-    again = fates.where("stays").select("__id", "__sha")
+    out = without_rows(docs, fates, id_col, text_col)
+    again = fates.where("stays").select("id", "sha")
     if again.isEmpty():
         return out
-    row = F.struct(*[docs[c] for c in docs.columns])
-    repeated = docs.join(again, same).select("__id", "__sha", row.alias("__row"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("__hash"))
-    repeated = repeated.groupBy("__id", "__sha").agg(F.min_by("__row", "__hash").alias("__row"))
-    return out.unionByName(repeated.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+    own = [docs[quoted(c)] for c in docs.columns]
+    rows = docs.select(docs[quoted(id_col)].cast("long").alias("row_id"), text_digest(docs[quoted(text_col)]).alias("row_sha"), F.struct(*own).alias("row"), F.xxhash64(*own).alias("hash"))
+    repeated = rows.join(again, rows["row_id"].eqNullSafe(again["id"]) & (rows["row_sha"] == again["sha"])).groupBy("id", "sha").agg(F.min_by("row", "hash").alias("row"))
+    return out.unionByName(repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

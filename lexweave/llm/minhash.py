@@ -22,7 +22,7 @@ BINS, BAND = 448, 7
 #: Sets smaller than this reach 80 percent with equal sets only and need no sketch: 4 of 5 is the first such pair.
 LEAST_SET = 4
 #: Rows of a star that one task compares with its centre, and rows and bytes of a tile of what the stars leave open.
-STAR_ROWS, TILE_ROWS, TILE_BYTES = 4096, 1024, 16 << 20
+STAR_ROWS, TILE_ROWS, TILE_BYTES = 1024, 1024, 16 << 20
 _SEED = 42
 
 
@@ -206,7 +206,7 @@ def linked_components(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col
        many copies derive from looks like. Candidates are the edges between a centre and its bucket: never more than
        nodes times bands. Whole sets confirm, for each node the edge to its most popular centre first, then those that
        still lead between components.
-    2. Buckets whose rows, but for the centre, still lie in several components are joined to families. Tiles of a family
+    2. Components that still meet in a bucket, beside its centre, are joined to families. Tiles of a family
        are compared pair by pair inside tasks, rows that share a bucket only, and tell a spanning forest of links. So no
        pair that shares a bucket stays undecided, and none but links leaves a task.
     """
@@ -233,13 +233,13 @@ def linked_components(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col
     labels = materialize(_contract(labels, materialize(confirmed(apart, sets, percent, star_rows), "links")), "labels")
 
     left = _at_labels(spokes.where("node <> star").select("key", "node", F.col("node").alias("comp")), labels, "comp")
-    open_ = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high")
-    left = materialize(left.join(open_.select("key", "first"), "key"), "left")
+    open_ = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    left = materialize(left.join(open_.select("key", "low"), "key"), "left")
     if left.isEmpty():
         return labels
-    family = connected_components(left.select(F.col("first").alias("a"), F.col("node").alias("b")))
-    family = materialize(family.select("node", F.col("label").alias("family")), "families")
-    members = left.select("node", "comp").distinct().join(family, "node").join(sizes, "node")
+    family = connected_components(left.where("low <> comp").select(F.col("low").alias("a"), F.col("comp").alias("b")).distinct())
+    family = family.select(F.col("node").alias("of_comp"), F.col("label").alias("family"))
+    members = left.select("node", "comp").distinct().join(family, F.col("comp") == F.col("of_comp")).drop("of_comp").join(sizes, "node")
     tiles = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("int").alias("tiles"))
     members = members.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     members = members.join(of_node.dropDuplicates(["node"]), "node").join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import WORD, materialize
+from lexweave.llm.common import WORD, materialize, quoted
 
 #: Hex digits of the random key that name a range; 16 ** 3 ranges per source.
 RANGE_DIGITS = 3
@@ -42,21 +42,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     return rows.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select("skey", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, carry: bool = True) -> DataFrame:
-    """Every row of ``docs`` with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_taken``.
-
-    Within a source the rows are ordered by a hash-random key. The first digits of the key name a range; word counts
-    are summed per range, the ranges' prefix sums are taken over at most 16 ** 3 rows per source, and a second
-    window sums within each range: no task sees a source. A source's budget is its target rounded down: whole
-    epochs of all its rows, then rows in order up to the exact word, so the last row may be taken in part.
-    ``carry=False`` leaves out the columns of ``docs`` other than the id.
-
-    A null text has size zero and is never taken; null sources are one source, last in order; a null id is ordered
-    by the key of an empty id; repeated rows are counted one by one; an empty table gives an empty result.
-    """
-    skey = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
-    key = random_key(F.col(id_col), seed)
-    lean = docs.select(F.col(id_col).alias("id"), skey.alias("skey"), F.substring(key, 1, RANGE_DIGITS).alias("range"), key.alias("key"), word_count(F.col(text_col)).alias("size"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
+def _placed(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, id_col: str, source_col: str, text_col: str, seed: int, carry: bool) -> DataFrame:
+    """``(id, size, source_size, target, taken)`` per row of ``docs`` and, if ``carry``, the row itself as a struct."""
+    source, id_ = docs[quoted(source_col)], docs[quoted(id_col)]
+    skey = F.when(source.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), source))
+    key = random_key(id_, seed)
+    lean = docs.select(id_.alias("id"), skey.alias("skey"), F.substring(key, 1, RANGE_DIGITS).alias("range"), key.alias("key"), word_count(docs[quoted(text_col)]).alias("size"), *([F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row")] if carry else []))
     sizes = lean.select("id", "skey", "range", "key", "size")
     sizes = materialize(sizes, "sizes")  # words are counted once
     if not carry:
@@ -73,19 +64,42 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS LONG) DIV source_size")).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("epochs", epochs).withColumn("left", budget - epochs * F.col("source_size"))
     taken = F.col("epochs") * F.col("size") + F.least("size", F.greatest(F.lit(0).cast("long"), F.col("left") - F.col("before")))
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns] if carry else [F.col("id").alias(id_col)]
-    return placed.select(*own, F.col("size").alias(f"{_IN}_size"), F.col("source_size").alias(f"{_IN}_source_size"), F.col("target").alias(f"{_IN}_target"), taken.alias(f"{_IN}_taken"))
+    return placed.select("id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))
+
+
+def _row(docs: DataFrame, besides: Sequence[str] = ()) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``, but for those named."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in besides]
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, carry: bool = True) -> DataFrame:
+    """Every row of ``docs`` with ``__mix_size``, ``__mix_source_size``, ``__mix_target`` and ``__mix_taken``.
+
+    Within a source the rows are ordered by a hash-random key. The first digits of the key name a range; word counts
+    are summed per range, the ranges' prefix sums are taken over at most 16 ** 3 rows per source, and a second
+    window sums within each range: no task sees a source. A source's budget is its target rounded down: whole
+    epochs of all its rows, then rows in order up to the exact word, so the last row may be taken in part.
+    ``carry=False`` leaves out the columns of ``docs`` other than the id.
+
+    A null text has size zero and is never taken; null sources are one source, last in order; a null id is ordered
+    by the key of an empty id; repeated rows are counted one by one; an empty table gives an empty result. A column of
+    ``docs`` that has the name of one of the four is replaced by it.
+    """
+    placed = _placed(docs, weights, share, max_epochs, id_col, source_col, text_col, seed, carry)
+    marks = {f"{_IN}_{c}": c for c in ("size", "source_size", "target", "taken")}
+    return placed.select(*(_row(docs, tuple(marks)) if carry else [F.col("id").alias(id_col)]), *[F.col(c).alias(name) for name, c in marks.items()])
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a row per epoch of a document, the last one cut to its words.
 
-    A text cut in part keeps its first words and the white space before them.
+    A text cut in part keeps its first words and the white space before them. Null texts and texts without words are
+    never taken; null sources, null ids, repeated rows and empty tables are as in ``mix``; columns of any name are carried.
     """
-    columns = docs.columns
-    rows = mix(docs, text_col=text_col, **options).where(f"{_IN}_taken > 0")
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col(f"{_IN}_part").cast("int")), "")
-    rows = rows.withColumn(f"{_IN}_part", F.explode(F.expr(f"transform(sequence(1L, CAST(ceil({_IN}_taken / {_IN}_size) AS LONG)), i -> least({_IN}_size, {_IN}_taken - (i - 1) * {_IN}_size))")))
-    whole = F.when(F.col(f"{_IN}_part") == F.col(f"{_IN}_size"), F.col(text_col)).otherwise(cut)
-    return rows.withColumn(text_col, whole).select(*columns)
+    rows = _placed(docs, weights, share, max_epochs, id_col, source_col, text_col, seed, True).where("taken > 0")
+    rows = rows.withColumn("part", F.explode(F.expr("transform(sequence(1L, CAST(ceil(taken / size) AS LONG)), i -> least(size, taken - (i - 1) * size))")))
+    text = F.col("row").getField(text_col)
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
+    whole = F.when(F.col("part") == F.col("size"), text).otherwise(cut)
+    return rows.select(*[whole.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

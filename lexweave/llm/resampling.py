@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import as_bytes, materialize, text_slices
+from lexweave.llm.common import as_bytes, materialize, quoted, text_digest, text_slices, without_rows
 
 #: Buckets that words and word pairs are hashed into; both models hold a count for each, whatever the corpus.
 BUCKETS = 1 << 15
@@ -187,9 +187,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Rows go by id and text digest, so an id on several texts loses only those that are rejected. Null texts count as
     empty, a null id is a value like any other, repeated rows share a fate, an empty table stays empty.
     """
-    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), sha.alias("sha"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"), text_digest(F.col(quoted(text_col))).alias("sha"))
     chosen = _resampled(rows, labels, id_col, label_col, max_labelled, k, seed)
-    gone = materialize(chosen.where("NOT selected").select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct(), "gone")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == F.col("__sha"))
-    return docs.join(gone.hint("merge"), same, "left_anti")  # by shuffle at every size: the rejected rows grow with the input
+    gone = materialize(chosen.where("NOT selected").select("id", "sha").distinct(), "gone")
+    return without_rows(docs, gone, id_col, text_col)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import as_bytes, connected_components, materialize, partitions_for, release, text_slices
+from lexweave.llm.common import as_bytes, connected_components, materialize, partitions_for, quoted, release, text_digest, text_slices, without_rows
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -481,7 +481,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts, and texts of blanks only, are one class; repeated rows stay repeated; a null id is a row like
     any other; an empty table gives an empty result; other columns are not read. A text of any length is read whole.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _sha(F.col(text_col)).alias("sha"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_digest(F.col(quoted(text_col))).alias("sha"))
     named = materialize(_named(rows), "named")
     classes = named.groupBy("node").agg(F.first("n").alias("n"), F.first("ones").alias("ones"), F.first("fp").alias("fp")).where("n > 0")
     classes = materialize(classes.withColumn("comp", F.col("node")), "classes")
@@ -519,10 +519,6 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, rows["node"] == F.col("l_node"), "left").select("node", "n", "ones", "fp", F.coalesce("label", "node").alias("comp"))
 
 
-def _sha(text: Column) -> Column:
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-
-
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of ``similar_groups``, that with the smallest id; columns unchanged.
 
@@ -533,8 +529,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = materialize(similar_groups(docs, id_col, text_col), "groups")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "sha")
     least = groups.groupBy("component").agg(F.min(rank).alias("least"))
-    gone = groups.join(least, "component").where(~rank.eqNullSafe(F.col("least"))).select(F.col("id").alias("__id"), F.col("sha").alias("__sha")).distinct()
+    gone = groups.join(least, "component").where(~rank.eqNullSafe(F.col("least"))).select("id", "sha").distinct()
     gone = materialize(gone, "gone")
     release(groups)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (_sha(docs[text_col]) == F.col("__sha"))
-    return docs.join(gone.hint("merge"), same, "left_anti")  # by shuffle at every size: the dropped rows grow with the input
+    return without_rows(docs, gone, id_col, text_col)
