@@ -99,8 +99,10 @@ def citation_paths(x: Exploration, law: str, start: str, length: int = 3) -> Dat
 
 
 def history(x: Exploration) -> DataFrame:
-    """8: what was amended when and how."""
-    return collected(x.amendments, ["date", "type"], "target", ["target"]).orderBy("date", "type")
+    """8: what was amended when and how: the numbers of the provisions, in order."""
+    numbered = x.amendments.join(nodes(x).select("law_id", F.col("id").alias("target"), "number"), ["law_id", "target"])
+    rows = numbered.withColumn("key", number_key("number"))
+    return collected(rows, ["date", "type"], "number", ["key", "number"]).orderBy("date", "type")
 
 
 def repealed(x: Exploration) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as T
 from lexweave.functions.numbers import ancestors_and_self, article_id, law_of, number_key, number_of, under
 from lexweave.operators.store import GraphStore
-from lexweave.operators.traverse import first_witness, indirect_refs
+from lexweave.operators.textindex import TextIndex, build_index
+from lexweave.operators.traverse import first_witness, indirect_refs, labelled_reach
 
 SELF_NAMES = ("энэ хууль", "энэ зүйл")
 DEFAULT_URL = "https://legalinfo.mn/mn"
@@ -117,17 +118,23 @@ LISTS = ("incoming", "outgoing", "former_name_refs", "missing_target_refs", "sim
 
 
 def _connections(store: GraphStore, selection: DataFrame, incoming: DataFrame, outgoing: DataFrame, limit: int | None) -> DataFrame:
-    """The seven lists in one table, ``list`` and the item; facts are read once and stand in up to three of them."""
+    """The seven lists in one table, ``list`` and the item; facts are read once and stand in up to three of them.
+
+    ``place`` is a suggestion's rank in its list, strongest first (similar provisions by score, judged ones by confidence),
+    then by provision, score and anchor; facts have none. A list of suggestions is one window's: it is of one provision or law.
+    """
     ends = {"incoming": incoming, "outgoing": outgoing}
     inc, out = (_items(store, refs, side).withColumn("list", F.lit(side)) for side, refs in ends.items())
     names = F.array("list", F.when(F.col("uses_old_name"), "former_name_refs"), F.when(F.col("target_missing"), "missing_target_refs"))
     facts = inc.unionByName(out).withColumn("list", F.explode(F.array_compact(names)))
     relations = relation_items(store, selection).withColumn("list", F.concat("kind", F.lit("s"))).drop("kind")
     suggested = similar_items(store, selection).withColumn("list", F.lit("similar")).unionByName(relations)
+    strength = F.when(F.col("list") == "similar", F.col("score")).otherwise(F.col("confidence"))
+    order = Window.partitionBy("list").orderBy(F.desc(strength), "article_id", F.desc("score"), number_key("anchor_number"))
+    suggested = suggested.withColumn("place", F.row_number().over(order))
     if limit is not None:
-        rank = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("confidence"), "article_id", F.desc("score"), number_key("anchor_number")))
-        suggested = suggested.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
-    return facts.unionByName(suggested)
+        suggested = suggested.where(F.col("place") <= limit)
+    return facts.withColumn("place", F.lit(None).cast("int")).unionByName(suggested)
 
 
 def article_connections(store: GraphStore, id_: str) -> DataFrame:
@@ -247,28 +254,29 @@ def draft_gap(store: GraphStore, draft: dict) -> DataFrame:
 
     ``draft`` is one record of the drafts table. A law met directly is covered if it is submitted with the draft, else
     missing; one met only indirectly is for review. The amended provisions that exist are examined two levels deep,
-    each for itself; a draft that renames its law is examined as such.
+    each for itself but all in one search; a draft that renames its law is examined as such.
     """
     target, together = draft["target_law_id"], list(draft["cosubmitted_law_ids"] or [])
     if draft.get("new_name"):
         items = impact(store, Change(law_id=target, new_name=draft["new_name"], depth=2)).select("law_id", "law_name", "depth")
     else:
         amended = list(draft["amended_article_ids"] or [])
-        items = gap_items(store, amended) if amended else impact(store, Change(law_id=target, depth=2)).select("law_id", "law_name", "depth")
+        items = gap_items(store, amended).select("law_id", "law_name", "depth") if amended else impact(store, Change(law_id=target, depth=2)).select("law_id", "law_name", "depth")
     nearest = items.where(F.col("law_id") != target).groupBy("law_id").agg(F.max("law_name").alias("law_name"), F.min("depth").alias("depth"))
     status = F.when(F.col("law_id").isin(*together) if together else F.lit(False), "covered").when(F.col("depth") == 1, "missing").otherwise("review")
     return nearest.select("law_id", "law_name", status.alias("status"))
 
 
 def gap_items(store: GraphStore, amended: list[str]) -> DataFrame:
-    """Items of the impact of each existing amended provision, two levels deep, as one plan per provision."""
-    out = None
-    for id_ in dict.fromkeys(amended):
-        seed = store.article(id_)
-        items = impact(store, Change(article_id=id_, new_text=" ", depth=2)).select("law_id", "law_name", "depth")
-        items = items.join(seed.select(F.lit(True).alias("there")).limit(1), F.lit(True), "left_semi")
-        out = items if out is None else out.unionByName(items)
-    return out
+    """``(seed, article_id, law_id, law_name, depth)``: the impact of each amended provision that exists, two levels deep.
+
+    One plan for all of them: a search whose rows carry the provision they start from.
+    """
+    asked = store.laws.sparkSession.createDataFrame([(i, i.partition(":")[0]) for i in dict.fromkeys(amended)], "seed string, law string")
+    there = store.articles.select(F.col("article_id").alias("seed"), F.col("law_id").alias("law"))
+    seeds = asked.join(there, ["seed", "law"], "left_semi").select("seed")
+    found = labelled_reach(store.refs, seeds, 2).withColumn("law_id", law_of("article_id"))
+    return _with_law(store, found, "law_id").select("seed", "article_id", "law_id", F.col("l_name").alias("law_name"), "depth")
 
 
 def best_links(store: GraphStore, id_: str) -> DataFrame:
@@ -312,23 +320,35 @@ def list_laws(store: GraphStore, query: str | None = None) -> DataFrame:
     return laws.orderBy(F.desc("text_available"), F.desc("article_count"), "name")
 
 
-def search(store: GraphStore, query: str, names: DataFrame | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
+def search(store: GraphStore, query: str, index: TextIndex | None = None, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Provisions for a query: ``(article_id, number, law_id, law_name, exact, matched, snippet)`` in order of rank.
 
     Every word stands in the law's names or in the text, in either direction of prefix; a query without a number needs
-    a word in the text; a number limits to it and what is below. A report of the best ``limit``.
+    a word in the text; a number limits to it and what is below. A report of the best ``limit``. ``index`` is one of
+    ``provision_index``: with it only the terms asked for are read, else every text is stemmed for the query.
     """
     words, numbers = query_words(store, query)
-    laws = store.laws.withColumn("law_bag", T.stems(_all_names()))
-    rows = store.articles.join(laws.select("law_id", F.col("name").alias("law_name"), "law_bag"), "law_id").withColumn("bag", T.stems(F.concat_ws(" ", "title", "text")))
-    in_text = [T.prefix_match(F.col("bag"), F.lit(w)) for w in words]
+    laws = store.laws.withColumn("law_bag", T.stems(_all_names())).select("law_id", F.col("name").alias("law_name"), "law_bag")
+    named = _any([under("number", F.lit(n)) for n in numbers]) if numbers else F.lit(True)
+    if index is None:
+        rows = store.articles.where(named).withColumn("bag", T.stems(F.concat_ws(" ", "title", "text")))
+        in_text = [T.prefix_match(F.col("bag"), F.lit(w)) for w in words]
+    else:
+        hits = None
+        for k, w in enumerate(words):
+            part = index.opening(w).select("id", F.lit(k).alias("k"))
+            hits = part if hits is None else hits.unionByName(part)
+        rows = store.articles.where(named)
+        if hits is not None:
+            found = hits.groupBy(F.col("id").alias("hit_id")).agg(F.collect_set("k").alias("hit"))  # a number per word of the query
+            rows = rows.join(found, rows["article_id"] == found["hit_id"], "left" if numbers else "inner")
+        in_text = [F.coalesce(F.array_contains("hit", k), F.lit(False)) for k in range(len(words))]
+    rows = rows.join(laws, "law_id")
     hit = [t | T.prefix_match(F.col("law_bag"), F.lit(w)) for t, w in zip(in_text, words)]
     keep = F.lit(bool(words or numbers))
     for h in hit:
         keep = keep & h
-    if numbers:
-        keep = keep & _any([under("number", F.lit(n)) for n in numbers])
-    elif words:
+    if words and not numbers:
         keep = keep & _any(in_text)
     matched = sum([t.cast("int") for t in in_text], F.lit(0))
     exact = F.col("number").isin(*numbers) if numbers else F.lit(False)
@@ -336,6 +356,11 @@ def search(store: GraphStore, query: str, names: DataFrame | None = None, limit:
     return rows.orderBy(F.desc("exact"), F.desc("matched"), "number_key", "law_name", "article_id").limit(limit).drop("number_key")
 
 
+def provision_index(store: GraphStore, folder: str) -> TextIndex:
+    """The stored index of stems of all titles and texts that ``search`` reads."""
+    return build_index(store.articles.select(F.col("article_id").alias("id"), F.concat_ws(" ", "title", "text").alias("text")), folder, stemmed=True)
+
+
 def search_laws(store: GraphStore, query: str) -> DataFrame:
     """Laws in whose names every word of the query stands."""
     words, numbers = query_words(store, query)

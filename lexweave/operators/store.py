@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.numbers import ancestors_and_self, article_id, law_of, number_key, number_of
@@ -36,6 +37,8 @@ class GraphStore:
     intl_links: DataFrame | None = None
     dataset: str = "real"
     backend: str = "spark"
+    #: Number of buckets of laws that ``articles`` lies in, in a column ``law_bucket``; 0 where it does not.
+    law_buckets: int = 0
 
     def tables(self) -> dict[str, DataFrame]:
         return {k: v for k, v in vars(self).items() if isinstance(v, DataFrame)}
@@ -48,12 +51,17 @@ class GraphStore:
     def law(self, law_id: str) -> DataFrame:
         return self.laws_with_counts().where(F.col("law_id") == law_id)
 
+    def _of_law(self, law_id: str) -> Column:
+        """Condition for the provisions of a law; where they lie in buckets, the one bucket's files are all that is read."""
+        own = F.col("law_id") == law_id
+        return own & (F.col("law_bucket") == crc32(law_id.encode()) % self.law_buckets) if self.law_buckets else own
+
     def articles_of(self, law_id: str) -> DataFrame:
-        return self.articles.where(F.col("law_id") == law_id).orderBy("number_key", "article_id")
+        return self.articles.where(self._of_law(law_id)).orderBy("number_key", "article_id")
 
     def article(self, id_: str) -> DataFrame:
         """Provision by id; the law is part of the id and is filtered on too, so a clustered scan can skip files."""
-        return self.articles.where((F.col("law_id") == id_.partition(":")[0]) & (F.col("article_id") == id_))
+        return self.articles.where(self._of_law(id_.partition(":")[0]) & (F.col("article_id") == id_))
 
     def articles_by_id(self, ids: DataFrame) -> DataFrame:
         return self.articles.join(ids.select("article_id").distinct(), "article_id", "left_semi")
@@ -107,4 +115,4 @@ class GraphStore:
 
     def subtree(self, id_: str) -> DataFrame:
         """A provision and all below it."""
-        return self.articles.where((F.col("law_id") == id_.partition(":")[0]) & F.array_contains("ancestor_ids", id_))
+        return self.articles.where(self._of_law(id_.partition(":")[0]) & F.array_contains("ancestor_ids", id_))

@@ -34,6 +34,64 @@ def indirect_refs(refs: DataFrame, frontier: DataFrame, seeds: DataFrame, max_de
     return out if out is not None else refs.limit(0).withColumn("via_article_id", F.lit(None).cast("string")).withColumn("depth", F.lit(None).cast("int"))
 
 
+def labelled_reach(refs: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """``(seed, article_id, depth)``: the provisions that cite each of ``seeds(seed)``, or what contains it, directly or over others.
+
+    One search for any number of seeds: every row carries the seed that it belongs to, and what a seed has reached is not
+    reached by it again. Depth is the smallest; a seed does not reach itself.
+    """
+    edges = refs.where("to_article_id IS NOT NULL").select(F.col("from_article_id").alias("article_id"), F.col("to_article_id").alias("target")).distinct()
+    level = seeds.select("seed", F.col("seed").alias("article_id")).distinct()
+    seen, out = level, None
+    for depth in range(1, max_depth + 1):
+        up = F.transform(ancestors_and_self(number_of("article_id")), lambda n: article_id(law_of("article_id"), n))
+        targets = level.select("seed", F.explode(up).alias("target")).distinct()
+        level = edges.join(targets, "target").select("seed", "article_id").distinct().join(seen, ["seed", "article_id"], "left_anti")
+        seen = seen.union(level)
+        found = level.select("seed", "article_id", F.lit(depth).alias("depth"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def recursive_paths(edges: DataFrame, starts: DataFrame, max_length: int) -> DataFrame:
+    """``(path array<string>, length)`` as ``paths`` gives them, by Spark's recursive common table expression.
+
+    The length is a parameter of one plan instead of a join per level; each row carries the edges it has used.
+    """
+    spark = edges.sparkSession
+    return spark.sql(
+        """WITH RECURSIVE walk(path, at, used, length) AS (
+             SELECT array(id), id, CAST(array() AS ARRAY<STRING>), 0 FROM {starts}
+             UNION ALL
+             SELECT array_append(path, dst), dst, array_append(used, concat_ws('\u0001', src, dst)), length + 1 FROM walk JOIN {edges} ON at = src
+             WHERE length < {most} AND NOT array_contains(used, concat_ws('\u0001', src, dst)))
+           SELECT path, length FROM walk WHERE length > 0""",
+        starts=starts.select("id"), edges=edges.select("src", "dst"), most=max_length,
+    )
+
+
+def recursive_refs(refs: DataFrame, frontier: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """What ``indirect_refs`` finds, by Spark's recursive common table expression; ``max_depth`` is a parameter of one plan.
+
+    Walks go from a provision to what cites it, or what contains it, and carry what they have visited; the least depth of
+    a provision over all walks is its depth. Walks of equal length to one provision are told once each, so this is for
+    shallow searches from few seeds: Spark stops at ``spark.sql.cteRecursionRowLimit`` rows with an error.
+    """
+    ends = refs.where("to_article_id IS NOT NULL").join(seeds.select(F.col("article_id").alias("from_article_id")).distinct(), "from_article_id", "left_anti")
+    hops = with_ancestors(refs.select(F.col("from_article_id").alias("article_id")).distinct()).join(ends.select(F.col("to_article_id").alias("article_id"), F.col("from_article_id").alias("dst")), "article_id").select(F.col("via").alias("src"), "dst").distinct()
+    walked = refs.sparkSession.sql(
+        """WITH RECURSIVE walk(at, depth, seen) AS (
+             SELECT article_id, 1, array(article_id) FROM {frontier}
+             UNION ALL
+             SELECT dst, depth + 1, array_append(seen, dst) FROM walk JOIN {hops} ON at = src WHERE depth < {most} AND NOT array_contains(seen, dst))
+           SELECT at, min(depth) AS depth FROM walk GROUP BY at""",
+        frontier=frontier.select("article_id").distinct(), hops=hops, most=max_depth,
+    )
+    before = with_ancestors(walked.select(F.col("at").alias("article_id"))).join(walked.select(F.col("at").alias("via"), (F.col("depth") + 1).alias("depth")), "via")
+    hits = refs.join(before.select(F.col("article_id").alias("to_article_id"), F.col("via").alias("via_article_id"), "depth"), "to_article_id")
+    return hits.join(walked.select(F.col("at").alias("from_article_id"), "depth"), ["from_article_id", "depth"]).select(*refs.columns, "via_article_id", "depth")
+
+
 def first_witness(found: DataFrame) -> DataFrame:
     """One reference per provision and depth: that with the first target number, then the first via."""
     order = Window.partitionBy("depth", "from_article_id").orderBy(number_key("to_number"), "via_article_id", "to_article_id")

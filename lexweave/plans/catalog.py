@@ -12,7 +12,7 @@ from lexweave.functions import text as T
 from lexweave.operators import build, explore, extract, relational, services, similarity, structure, traverse
 from lexweave.operators.services import Change
 from lexweave.operators.store import GraphStore
-from lexweave.plans.corpus import explored, graph, with_derived, with_explored
+from lexweave.plans.corpus import derive, document_index, explored, graph, graph_index, with_derived, with_explored
 from lexweave.plans.session import ship, table
 from lexweave.sources import files
 
@@ -149,11 +149,17 @@ w3 AS (SELECT r.*, via FROM refs r JOIN up ON r.to_article_id = up.id JOIN d2 ON
 found AS (SELECT 2 AS depth, * FROM w2 UNION ALL SELECT 3, * FROM w3)"""
 
 
-def _bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cited_tree(spark: SparkSession, sf_dir: str) -> tuple[GraphStore, DataFrame, DataFrame]:
+    """The graph, the asked subtree and the provisions that cite it directly."""
     g = graph(spark, sf_dir)
     seeds = g.subtree(asked_id(spark, sf_dir)).select("article_id")
     into = g.refs.join(seeds.withColumnRenamed("article_id", "to_article_id"), "to_article_id", "left_semi").join(seeds.withColumnRenamed("article_id", "from_article_id"), "from_article_id", "left_anti")
-    return traverse.indirect_refs(g.refs, into.select(F.col("from_article_id").alias("article_id")).distinct(), seeds, 3)
+    return g, seeds, into.select(F.col("from_article_id").alias("article_id")).distinct()
+
+
+def _bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, seeds, frontier = _cited_tree(spark, sf_dir)
+    return traverse.indirect_refs(g.refs, frontier, seeds, 3)
 
 
 @query("t_bfs_depth3", f"{_LEVELS} SELECT depth, from_article_id, to_article_id, via AS via_article_id FROM found", "articles", "refs")
@@ -161,6 +167,31 @@ def t_bfs_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bfs(spark, sf_dir).select("depth", "from_article_id", "to_article_id", "via_article_id")
 
 
+@query("t_bfs_recursive", f"{_LEVELS} SELECT depth, from_article_id, to_article_id, via AS via_article_id FROM found", "articles", "refs")
+def t_bfs_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, seeds, frontier = _cited_tree(spark, sf_dir)
+    return traverse.recursive_refs(g.refs, frontier, seeds, 3).select("depth", "from_article_id", "to_article_id", "via_article_id")
+
+
+#: So many orders, the first ones, are each the seed of a search.
+_SEEDED = 500
+_LABELLED = f"""seeds AS (SELECT law_id || ':' || number AS seed FROM order_ids ORDER BY ok LIMIT {_SEEDED}),
+t1 AS (SELECT seed, unnest([seed, split_part(seed, '.', 1)]) AS target FROM seeds), d1 AS (SELECT DISTINCT seed, from_article_id AS id FROM refs JOIN t1 ON to_article_id = target WHERE from_article_id <> seed),
+t2 AS (SELECT seed, unnest([id, split_part(id, '.', 1)]) AS target FROM d1),
+d2 AS (SELECT DISTINCT seed, from_article_id AS id FROM refs JOIN t2 ON to_article_id = target WHERE from_article_id <> seed AND NOT EXISTS (SELECT 1 FROM d1 WHERE d1.seed = t2.seed AND d1.id = from_article_id)),
+reached AS (SELECT seed, id, 1 AS depth FROM d1 UNION ALL SELECT seed, id, 2 FROM d2)"""
+
+
+def _seeds(spark: SparkSession, sf_dir: str) -> list[str]:
+    rows = derive(spark, sf_dir, "order_ids")["order_ids"].orderBy("ok").limit(_SEEDED)
+    return [r.id for r in rows.select(F.concat("law_id", F.lit(":"), "number").alias("id")).collect()]
+
+
+@query("t_labelled_reach", f"WITH {_LABELLED} SELECT seed, id AS article_id, depth FROM reached", "refs")
+def t_labelled_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.gap_items(graph(spark, sf_dir), _seeds(spark, sf_dir)).select("seed", "article_id", "depth")
+
+
 @query("t_bfs_min_witness", f"""{_LEVELS} SELECT depth, from_article_id, to_article_id, via_article_id FROM (SELECT depth, from_article_id, to_article_id, via AS via_article_id,
 row_number() OVER (PARTITION BY depth, from_article_id ORDER BY {KEY.format('to_number')}, via, to_article_id) AS n FROM found) WHERE n = 1""", "articles", "refs")
 def t_bfs_min_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +210,14 @@ def t_paths_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.paths(edges, starts, 3).select(F.array_join("path", " > ").alias("path"), "length")
 
 
+@query("t_paths_recursive", ORACLES["t_paths_3"])
+def t_paths_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    edges = g.refs.where("to_article_id IS NOT NULL").select(F.col("from_article_id").alias("src"), F.col("to_article_id").alias("dst")).distinct()
+    starts = g.subtree(asked_id(spark, sf_dir)).select(F.col("article_id").alias("id"))
+    return traverse.recursive_paths(edges, starts, 3).select(F.array_join("path", " > ").alias("path"), "length")
+
+
 @query("t_next_chain", "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM conversations")
 def t_next_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("article_id", F.col("turn"))
@@ -246,6 +285,16 @@ def q_law_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("list IN ('incoming', 'outgoing')").groupBy("list", "law_id").agg(F.count("*").alias("n"))
 
 
+@query("q_law_suggestions", f"""WITH {ME}, s AS (SELECT 'similar' AS list, a_article_id AS a, b_article_id AS b, score, score AS strength FROM similar_edges
+  UNION ALL SELECT r.kind || 's', r.a_article_id, r.b_article_id, s.score, r.confidence FROM relations r LEFT JOIN similar_edges s USING (a_article_id, b_article_id) WHERE r.kind IN ('conflict', 'overlap')),
+ends AS (SELECT list, CASE WHEN split_part(a, ':', 1) = law THEN b ELSE a END AS other, split_part(CASE WHEN split_part(a, ':', 1) = law THEN a ELSE b END, ':', 2) AS anchor, score, strength
+  FROM s, me WHERE (split_part(a, ':', 1) = law) <> (split_part(b, ':', 1) = law))
+SELECT * FROM (SELECT list, row_number() OVER (PARTITION BY list ORDER BY strength DESC, other, score DESC, {KEY.format('anchor')}) AS place, other AS article_id, anchor AS anchor_number FROM ends) WHERE place <= 200""", "articles", "similar_edges", "relations")
+def q_law_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = services.law_connections(graph(spark, sf_dir), asked_id(spark, sf_dir).partition(":")[0])
+    return rows.where("place IS NOT NULL").select("list", "place", "article_id", "anchor_number")
+
+
 _IMPACT = "SELECT depth, from_article_id AS article_id, from_law_id AS law_id, uses_old_name, target_missing, to_number AS anchor_number FROM "
 _SECOND = f"""w2 AS (SELECT r.*, via FROM src r JOIN up ON r.to_article_id = up.id JOIN d1 ON via = d1.from_article_id WHERE r.from_article_id NOT IN (SELECT id FROM seeds UNION SELECT from_article_id FROM d1)),
 d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_article_id ORDER BY {KEY.format('to_number')}, via, to_article_id) AS n FROM w2) WHERE n = 1)"""
@@ -315,6 +364,15 @@ def q_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.draft_gap(graph(spark, sf_dir), draft).select("law_id", "status")
 
 
+@query("q_gap_many", f"""WITH {_LABELLED}, own AS (SELECT law_id AS law FROM order_ids ORDER BY ok LIMIT 1)
+SELECT split_part(id, ':', 1) AS law_id, CASE WHEN split_part(id, ':', 1) IN ('law-1', 'law-2', 'law-3') THEN 'covered' WHEN min(depth) = 1 THEN 'missing' ELSE 'review' END AS status
+FROM reached, own WHERE split_part(id, ':', 1) <> law GROUP BY 1""", "refs")
+def q_gap_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amended = _seeds(spark, sf_dir)
+    draft = {"target_law_id": amended[0].partition(":")[0], "cosubmitted_law_ids": ["law-1", "law-2", "law-3"], "new_name": None, "amended_article_ids": [*amended, "law-0:none"]}
+    return services.draft_gap(graph(spark, sf_dir), draft).select("law_id", "status")
+
+
 @query("q_best_link", f"""WITH {ME}, {TREE} SELECT source_id, article_id, round(CAST(relevance AS DOUBLE), 6) AS relevance, kind FROM (
 SELECT l.*, s.kind, row_number() OVER (PARTITION BY source_id ORDER BY relevance DESC, {KEY.format("split_part(article_id, ':', 2)")}, article_id) AS n
 FROM intl_links l JOIN intl_sources s USING (source_id) WHERE article_id IN (SELECT article_id FROM tree)) WHERE n = 1""", "articles", "intl_links", "intl_sources")
@@ -348,6 +406,35 @@ def q_search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return services.search(graph(spark, sf_dir), "build").select("article_id", "number")
 
 
+_TOKENS = r"regexp_extract_all(lower({0}), '[0-9]+(?:\\.[0-9]+)*|[а-яөүёa-z]+')"
+_BAG = "coalesce(title || ' ', '') || text"
+
+
+def _opens(bag: str, word: str) -> str:
+    return f"len(list_filter({_TOKENS.format(bag)}, lambda t: starts_with(t, '{word}') OR (length(t) >= 4 AND starts_with('{word}', t)))) > 0"
+
+
+_FOUND = f"""SELECT article_id, exact, matched FROM (SELECT article_id, exact, matched FROM hits ORDER BY exact DESC, matched DESC, {KEY.format('number')}, name, article_id LIMIT 60)"""
+
+
+@query("q_search_number", f"""WITH hits AS (SELECT a.article_id, a.number, l.name, a.number = '{ASKED}' AS exact, CAST(({_opens(_BAG, 'status')}) AS INT) AS matched FROM articles a JOIN laws l USING (law_id)
+WHERE (a.number = '{ASKED}' OR starts_with(a.number, '{ASKED}.')) AND ({_opens(_BAG, 'status')} OR {_opens("l.name || ' ' || former_name", 'status')})) {_FOUND}""", "articles", "laws")
+def q_search_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.search(graph(spark, sf_dir), f"status {ASKED}", graph_index(spark, sf_dir)).select("article_id", "exact", "matched")
+
+
+@query("q_search_law_name", f"""WITH hits AS (SELECT a.article_id, a.number, l.name, false AS exact, CAST(({_opens(_BAG, 'nation')}) AS INT) + CAST(({_opens(_BAG, 'urgent')}) AS INT) AS matched FROM articles a JOIN laws l USING (law_id)
+WHERE ({_opens(_BAG, 'nation')} OR {_opens("l.name || ' ' || former_name", 'nation')}) AND ({_opens(_BAG, 'urgent')} OR {_opens("l.name || ' ' || former_name", 'urgent')}) AND ({_opens(_BAG, 'nation')} OR {_opens(_BAG, 'urgent')})) {_FOUND}""", "articles", "laws")
+def q_search_law_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.search(graph(spark, sf_dir), "nation urgent", graph_index(spark, sf_dir)).select("article_id", "exact", "matched")
+
+
+@query("q_search_two_words", f"""WITH hits AS (SELECT a.article_id, a.number, l.name, false AS exact, CAST(({_opens(_BAG, 'furn')}) AS INT) + CAST(({_opens(_BAG, 'accounts')}) AS INT) AS matched FROM articles a JOIN laws l USING (law_id)
+WHERE {_opens(_BAG, 'furn')} AND {_opens(_BAG, 'accounts')}) {_FOUND}""", "articles", "laws")
+def q_search_two_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return services.search(graph(spark, sf_dir), "furn accounts", graph_index(spark, sf_dir)).select("article_id", "exact", "matched")
+
+
 @query("q_export_rows", f"""WITH {_SIDES} SELECT relationship, count(*) AS n, count(*) FILTER (anchor_number IS NOT NULL) AS with_anchor FROM lists JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in services.RELATIONSHIPS.items())}) t(list, relationship) USING (list) GROUP BY relationship""", *_ALL)
 def q_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = services.export_rows(services.article_connections(graph(spark, sf_dir), asked_id(spark, sf_dir)))
@@ -430,9 +517,21 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS D
 
 @query("m_similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE {_DOT} >= 0.3")
 def m_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _embedded(spark, sf_dir)
-    vectors = rows.select("id", F.posexplode("vec").alias("bucket", "w")).select("id", "bucket", F.col("w").cast("double").alias("weight"))
-    return similarity.similar_pairs(vectors, rows.select("id", "group"), 0.3).select("a", "b", F.round("score", 5).alias("score"))
+    return similarity.similar_pairs(_embedded(spark, sf_dir), 0.3).select("a", "b", F.round("score", 5).alias("score"))
+
+
+#: Lowest lexical similarity of the registered pairs of documents.
+_ALIKE = 0.95
+_DENSE = f"""WITH {_VECTORS}, dense AS (SELECT d.id, list(coalesce(v.weight, 0.0::DOUBLE) ORDER BY t.bucket)::DOUBLE[1024] AS v
+FROM (SELECT DISTINCT id FROM vectors) d CROSS JOIN range(1024) t(bucket) LEFT JOIN vectors v ON v.id = d.id AND v.bucket = t.bucket GROUP BY d.id),
+rows AS (SELECT id, v, source FROM dense JOIN documents ON doc_id = id)"""
+
+
+@query("m_lexical_pairs", f"""{_DENSE} SELECT a.id AS a, b.id AS b, round(array_inner_product(a.v, b.v), 4) AS score
+FROM rows a JOIN rows b ON a.id < b.id AND a.source <> b.source WHERE array_inner_product(a.v, b.v) >= {_ALIKE}""")
+def m_lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(ship(spark), sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group"), "text")
+    return similarity.similar_pairs(similarity.lexical_rows(texts, ()), _ALIKE).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("m_topk_either", """SELECT a_article_id, b_article_id, CAST(score AS DOUBLE) AS score FROM (
@@ -442,10 +541,27 @@ def m_topk_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.top_k_either(graph(spark, sf_dir).similar, 1).select("a_article_id", "b_article_id", "score")
 
 
-@query("m_knn", f"SELECT id, other, score, rank FROM (SELECT a.vec_id AS id, b.vec_id AS other, round({_DOT}, 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label <> b.label WHERE a.vec_id % 50 = 0) WHERE rank <= 3")
+_NEAR = f"""SELECT a.vec_id AS id, b.vec_id AS other, {_DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.label <> b.label"""
+
+
+@query("m_knn", f"SELECT id, other, round(score, 5) AS score, rank FROM ({_NEAR}) WHERE rank <= 3")
 def m_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _embedded(spark, sf_dir)
-    return similarity.nearest(rows.where("id % 50 = 0"), rows, 3, same_group=False).select("id", "other", F.round("score", 5).alias("score"), "rank")
+    return similarity.nearest(rows, rows, 3, same_group=False).select("id", "other", F.round("score", 5).alias("score"), "rank")
+
+
+@query("m_neighbour_edges", f"SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(score), 4) AS score FROM ({_NEAR}) WHERE rank <= 3 AND score >= 0.35 GROUP BY ALL")
+def m_neighbour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.neighbour_edges(_embedded(spark, sf_dir), 3, 0.35)
+
+
+@query("m_centroid_edges", """WITH m AS (SELECT label AS g, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL),
+c AS (SELECT g, i, m / sqrt(sum(m * m) OVER (PARTITION BY g)) AS m FROM m), s AS (SELECT a.g AS id, b.g AS other, sum(a.m * b.m) AS score FROM c a JOIN c b ON a.i = b.i AND a.g <> b.g GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM s)
+SELECT least(id, other) AS a, greatest(id, other) AS b, round(max(score), 4) AS score FROM n WHERE rank <= 3 AND score >= -0.2 GROUP BY ALL""")
+def m_centroid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.centroid_edges(_embedded(spark, sf_dir).select("group", "vec"), 3, -0.2)
 
 
 @query("m_centroids", """WITH m AS (SELECT label AS g, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL)
@@ -494,6 +610,31 @@ def m_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.full_text(texts, ["idiot", "reading"]).select("id", F.round("score", 5).alias("score"))
 
 
+def _bm25(words: dict[str, str]) -> str:
+    """BM25 in SQL: a condition on ``term`` for each word of the query."""
+    said = " ".join(f"WHEN {rule} THEN '{word}'" for word, rule in words.items())
+    return f"""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:\\.[0-9]+)*|[а-яөүёa-z]+')) AS term FROM documents),
+size AS (SELECT id, count(*) AS size FROM t GROUP BY id), stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM documents) AS mean),
+tf AS (SELECT id, CASE {said} END AS word, count(*) AS tf FROM t GROUP BY ALL HAVING word IS NOT NULL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+scored AS (SELECT tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (word) JOIN size ON size.id = tf.id, stats GROUP BY tf.id)
+SELECT id, round(score, 5) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 50"""
+
+
+@query("m_index_terms", "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:\\.[0-9]+)*|[а-яөүёa-z]+')) AS term FROM documents)) WHERE starts_with(term, 'thi') GROUP BY term")
+def m_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_index(spark, sf_dir).postings_from("thi").groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("m_index_search", _bm25({"idiot": "term = 'idiot'", "reading": "term = 'reading'"}))
+def m_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_index(spark, sf_dir).full_text(["idiot", "reading"], limit=50).select("id", F.round("score", 5).alias("score"))
+
+
+@query("m_index_fuzzy", _bm25({"idoit": "levenshtein(term, 'idoit') <= 2"}))
+def m_index_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_index(spark, sf_dir).full_text(["idoit"], edits=2, limit=50).select("id", F.round("score", 5).alias("score"))
+
+
 # ---- scalar functions ----------------------------------------------------------------------------------------------
 
 
@@ -708,7 +849,8 @@ def c_citation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.citation_paths(x, "law-3", start).select(F.array_join("path", " > ").alias("path"), "length")
 
 
-@explore_query("c_history", "SELECT date, type, count(*) AS n, string_agg(target, ' ' ORDER BY encode(target)) AS targets FROM x_amended GROUP BY date, type", "x_amended")
+@explore_query("c_history", f"""SELECT date, type, count(*) AS n, string_agg(number, ' ' ORDER BY {KEY.format('number')}, encode(number)) AS targets
+FROM x_amended JOIN (SELECT law_id, id AS target, number FROM (WITH {_NODES} SELECT * FROM nodes)) n USING (law_id, target) GROUP BY date, type""", "x_amended", *_NODE_TABLES)
 def c_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.history(explored(spark, sf_dir)).select("date", "type", "n", F.array_join("values", " ").alias("targets"))
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import shutil
 import tempfile
 import uuid
 
@@ -20,10 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.operators.explore import Exploration
+from lexweave.operators.services import provision_index
 from lexweave.operators.store import GraphStore, with_keys
+from lexweave.operators.textindex import TextIndex, build_index
 from lexweave.plans.session import table
+from lexweave.sources.warehouse import Warehouse, load_store
 
 SOURCES = ("nation", "customer", "orders", "lineitem", "part")
+#: Buckets that the laws of the derived graph lie in.
+LAW_BUCKETS = 16
 LAWS = "SELECT 'law-' || CAST(n_nationkey AS STRING) AS law_id, n_name AS name, 'old ' || n_name AS former_name, 'https://laws.example/' || CAST(n_nationkey AS STRING) AS source_url, n_nationkey < 20 AS text_available FROM nation"
 ORDER_IDS = """
 SELECT o_orderkey AS ok, 'law-' || CAST(c_nationkey AS STRING) AS law_id, c_custkey AS ck, CAST(c_custkey AS STRING) || '.' || CAST(o_orderkey AS STRING) AS number,
@@ -74,12 +78,13 @@ def with_derived(sql: str, *names: str) -> str:
     return f"{head}, {body[5:]}" if body.startswith("WITH ") else f"{head} {body}"
 
 
-def derive(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Derived tables as plans; session-wide names are not used, so queries do not meet."""
+def derive(spark: SparkSession, sf_dir: str, *names: str, known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Derived tables as plans; session-wide names are not used, so queries do not meet. ``known`` ones are taken as they are."""
     frames = {t: table(spark, sf_dir, t) for t in SOURCES}
-    out: dict[str, DataFrame] = {}
+    out: dict[str, DataFrame] = dict(known or {})
     for name, sql in DERIVED.items():
-        out[name] = spark.sql(_placed(sql), **frames, **{k: v for k, v in out.items()})
+        if name not in out:
+            out[name] = spark.sql(_placed(sql), **frames, **out)
     return {k: out[k] for k in (names or DERIVED)}
 
 
@@ -88,9 +93,9 @@ def _placed(sql: str) -> str:
     return re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", sql).replace("{provisions}", "provisions").replace("{chains}", "chains")
 
 
-def derived_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+def derived_graph(spark: SparkSession, sf_dir: str, known: dict[str, DataFrame] | None = None) -> GraphStore:
     """The graph as plans over the star-schema tables."""
-    d = derive(spark, sf_dir)
+    d = derive(spark, sf_dir, known=known)
     blank = F.array().cast("array<string>")
     laws = d["laws"].select("law_id", "name", F.array("former_name").alias("former_names"), blank.alias("short_names"), F.lit(None).cast("string").alias("adopted_date"), "source_url", "text_available")
     double = lambda frame, *cs: frame.withColumns({c: F.col(c).cast("double") for c in cs})
@@ -101,31 +106,80 @@ def derived_graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     )
 
 
-def _folder(spark: SparkSession) -> str | None:
-    """Where loaded tables go: the shared folder of a cluster, a temporary one of a local session, else nowhere."""
-    if spark.sparkContext.master.startswith("local"):
+def _folder(spark: SparkSession) -> str:
+    """Where loaded tables go: the shared folder of a cluster, a temporary one of a local session. Removed when the driver ends."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         path = tempfile.mkdtemp(prefix="lexweave-graph-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        return path
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/lexweave-graph-{uuid.uuid4().hex}" if base else None
+    else:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{base.rstrip('/')}/lexweave-graph-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
 
 
-#: Paths of the loaded tables by application and folder.
-_LOADED: dict[tuple[str, str], dict[str, str]] = {}
+_FOLDERS: list[tuple[SparkSession, str]] = []
 
 
-def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The graph over Parquet tables, written at the first call of an application; plans where no folder is shared."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+@atexit.register
+def cleanup() -> None:
+    """Best-effort removal of all that was loaded."""
+    for spark, path in _FOLDERS:
+        try:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM may be gone already at interpreter exit
+            pass
+    _FOLDERS.clear()
+
+
+#: Folders of what is loaded, by application, folder and kind.
+_LOADED: dict[tuple[str, str, str], str] = {}
+#: Tables that others are derived from and that are worth writing first.
+_FIRST = ("order_ids", "edges")
+
+
+def _first(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables that most others are derived from, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "first")
     if key not in _LOADED:
-        store, folder = derived_graph(spark, sf_dir), _folder(spark)
-        if folder is None:
-            return store
-        for name, frame in store.tables().items():
+        folder = _folder(spark)
+        for name, frame in derive(spark, sf_dir, *_FIRST).items():
             frame.write.parquet(f"{folder}/{name}")
-        _LOADED[key] = {name: f"{folder}/{name}" for name in store.tables()}
-    return GraphStore(**{name: spark.read.parquet(path) for name, path in _LOADED[key].items()})
+        _LOADED[key] = folder
+    return {name: spark.read.parquet(f"{_LOADED[key]}/{name}") for name in _FIRST}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph as it is loaded into a warehouse at the first call of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "graph")
+    if key not in _LOADED:
+        folder = _folder(spark)
+        load_store(Warehouse(spark, folder, LAW_BUCKETS), derived_graph(spark, sf_dir, _first(spark, sf_dir)))
+        _LOADED[key] = folder
+    return Warehouse(spark, _LOADED[key], LAW_BUCKETS).store()
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of all documents, built at the first call of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "documents")
+    if key not in _LOADED:
+        folder = _folder(spark)
+        build_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), folder)
+        _LOADED[key] = folder
+    return TextIndex(spark, _LOADED[key])
+
+
+def graph_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of all provisions, built at the first call of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "provisions")
+    if key not in _LOADED:
+        folder = _folder(spark)
+        provision_index(graph(spark, sf_dir), folder)
+        _LOADED[key] = folder
+    return TextIndex(spark, _LOADED[key])
 
 
 # ---- the exploration graph -----------------------------------------------------------------------------------------
@@ -158,17 +212,15 @@ def with_explored(sql: str, *names: str) -> str:
 
 def explored(spark: SparkSession, sf_dir: str) -> Exploration:
     """The exploration graph over the star-schema tables, loaded once like the store."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}#explored")
+    key = (spark.sparkContext.applicationId, sf_dir, "explored")
     names = {"x_" + f: f for f in ("chapters", "sections", "articles", "provisions", "refs", "external", "mentions", "terms", "actors", "norms", "topics", "similar")} | {"x_amended": "amendments"}
     if key not in _LOADED:
-        known = derive(spark, sf_dir, "order_ids", "edges") | {t: table(spark, sf_dir, t) for t in EXPLORED_SOURCES}
+        known = _first(spark, sf_dir) | {t: table(spark, sf_dir, t) for t in EXPLORED_SOURCES}
         frames, folder = {n: spark.sql(_placed(sql), **known) for n, sql in EXPLORED.items()}, _folder(spark)
         said = F.when(F.col("said").isNull(), F.array().cast("array<string>")).otherwise(F.array("said"))
         frames["x_provisions"] = frames["x_provisions"].withColumn("modality", said).drop("said")
         frames["x_similar"] = frames["x_similar"].withColumn("score", F.col("score").cast("double"))
-        if folder is None:
-            return Exploration(**{names[n]: frame for n, frame in frames.items()})
         for name, frame in frames.items():
             frame.write.parquet(f"{folder}/{name}")
-        _LOADED[key] = {names[n]: f"{folder}/{n}" for n in frames}
-    return Exploration(**{name: spark.read.parquet(path) for name, path in _LOADED[key].items()})
+        _LOADED[key] = folder
+    return Exploration(**{field: spark.read.parquet(f"{_LOADED[key]}/{name}") for name, field in names.items()})

@@ -184,7 +184,7 @@ def test_later_wording_wins_unless_repealed_and_empty_documents_stay(spark):
 
 
 @pytest.mark.parametrize("text,targets", [
-    ("энэ хуулийн 5, 6 дугаар зүйлд", ["art5", "art6"]), ("энэ хуулийн 3.1-3.3-т", ["3.1", "3.2", "3.3"]), ("энэ зүйлийн 2, 1.4-д", ["1.2", "1.4"]),
+    ("энэ хуулийн 5, 6 дугаар зүйлд", ["art5", "art6"]), ("энэ хуулийн 3.1-3.3-т", ["3.1", "3.3", "3:1:3"]), ("энэ зүйлийн 2, 1.4-д", ["1.2", "1.4"]),
     ("энэ хуулийн Арван нэгдүгээр бүлэг", ["Арван нэгдүгээр"]), ("Ойн тухай хуулиар, Иргэний хуульд", ["Ойн тухай хууль", "Иргэний хууль"]), ("энэ хуулиар", []),
 ])
 def test_links(text, targets):
