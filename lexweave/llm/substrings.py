@@ -14,8 +14,9 @@ surroundings of equal anchors only, about one place in eighteen.
    A task holds ``TASK_ROWS`` surroundings and sorts groups of ``SORT_ROWS``. What is larger is settled in parts, and
    the windows still open are dealt anew by a longer string than the anchor: by the bytes that all windows of the
    lower half of its places share, and by those of the upper half (``_refined``). Equal windows share that string, so
-   they meet again; the halves end at single places, where a whole window is the string and a part of a group keeps
-   those of its smallest document only. Rounds end when no group is left over.
+   they meet again; after six halvings a whole window is the string. The number of buckets follows the rows still open
+   in each round. Single windows are not sorted at all: the smallest document of each is a minimum over all rows that
+   have its bytes, summed up in every task before it is exchanged (``_single``). So no group is ever taken whole.
 4. ``_apply``: each document loses what its matched windows cover.
 
 What travels are packed, compressed arrays keyed by a hash bucket or a bucket of document ids; their numbers follow the
@@ -42,12 +43,13 @@ LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1
 LEFT = PLACES - 1
 WIDTH = LEFT + LENGTH
-#: Bytes of text per bucket of documents, anchors per bucket of hashes, rows that are sorted in one go.
-BUCKET_BYTES, BUCKET_ANCHORS, SORT_ROWS = 24 << 20, 1 << 20, 1 << 16
-#: Surroundings that a task holds at a time, and those that are cut out of texts in one go.
+#: Bytes of text per bucket of documents, rows that are sorted in one go.
+BUCKET_BYTES, SORT_ROWS = 24 << 20, 1 << 16
+#: Surroundings that a task holds at a time, those of a bucket on average, and those that are cut out of texts in one go.
 TASK_ROWS, CUT_ROWS = 1 << 20, 1 << 19
-#: Rounds of dealing anew. Halving ends after six; the last one takes groups whole.
-ROUNDS = 10
+BUCKET_ANCHORS = TASK_ROWS // 2
+#: Halvings after which every open window is single, and buckets that open windows are packed by until their number is known.
+ROUNDS, PACKED = (PLACES - 1).bit_length(), 61
 _BLOCK = 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
 _M1, _M2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x5851F42D4C957F2D)
@@ -138,27 +140,28 @@ def _drained(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The arrays cut by bucket and packed."""
+def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """The arrays cut by bucket and packed: bucket, number of rows, blob."""
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else []
     for s, e in zip(cuts, [*cuts[1:], len(ordered)]):
         part = order[s:e]
-        yield int(ordered[s]), _pack(*[a[part] for a in arrays])
+        yield int(ordered[s]), len(part), _pack(*[a[part] for a in arrays])
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
 
 
-_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary())])
+_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+_ROUTED_SPARK = "kind int, bucket long, n long, blob binary"
 
 
-def _routed(kind: int, pairs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    rows = list(pairs)
+def _routed(kind: int, packed: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    rows = list(packed)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=_ROUTED)
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary())], schema=_ROUTED)
 
 
 def _tag_batches(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -258,7 +261,7 @@ def _doc_blobs(batches: Iterator[pa.RecordBatch], doc_buckets: int) -> Iterator[
             for bucket in np.unique(buckets).tolist():
                 rows = np.flatnonzero(buckets == bucket)
                 data, _ = _joined([texts[i] for i in rows])
-                blobs.append((bucket, _pack(ids[rows], none[rows].astype(np.uint8), uids[rows], np.array([len(texts[i]) for i in rows], np.int64), data)))
+                blobs.append((bucket, len(rows), _pack(ids[rows], none[rows].astype(np.uint8), uids[rows], np.array([len(texts[i]) for i in rows], np.int64), data)))
             yield from _routed(4, iter(blobs))
 
 
@@ -287,7 +290,7 @@ def _with_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np
 def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int, doc_buckets: int) -> Iterator[pa.RecordBatch]:
     """Of documents (id, uid, text, shared codes): kind 2, surroundings of shared anchors by hash bucket; kind 3,
     windows that are settled here (see ``_matched``). The last arrays of kind 2 are the windows still open and, per
-    row, the first and last place of those windows that its hash stands for and ``again``."""
+    row, the first and last place of those windows that its hash stands for."""
     data, limits = _joined([t for _, _, t, _ in part])
     place, hashes = anchors(data, limits)
     code, _ = _codes(hashes, buckets)
@@ -314,7 +317,7 @@ def _surroundings(part: list[tuple[int, int, bytes, np.ndarray]], buckets: int,
             yield from _matched(ids[settled], uids[settled], at[settled], _full_mask(left[settled], right[settled]), np.zeros(int(settled.sum()), np.uint8), doc_buckets)
         rest = ~settled
         whole = (0, LEFT)
-        yield from _routed(2, _by_bucket((tag[rest] & _POSITION).astype(np.int64), tag[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest], _full_mask(left[rest], right[rest]), np.full((int(rest.sum()), 3), (*whole, 0), np.uint8)))
+        yield from _routed(2, _by_bucket((tag[rest] & _POSITION).astype(np.int64), tag[rest], ids[rest], uids[rest], at[rest], left[rest], right[rest], rows[rest], _full_mask(left[rest], right[rest]), np.full((int(rest.sum()), 2), whole, np.uint8)))
 
 
 def _matched(ids: np.ndarray, uids: np.ndarray, at: np.ndarray, mask: np.ndarray, again: np.ndarray, doc_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -469,35 +472,51 @@ def _interval_mask(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (one << (last.astype(np.uint64) + one)) - (one << first.astype(np.uint64))
 
 
-def _refined(arrays: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+def _halves(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Kind 2 rows whose open windows are dealt by halves of their places: the hash is that of the string which all
-    windows of a half share. At a single place one row stands for those of the same text with the same window."""
+    windows of a half share. Where a half is one place the window itself goes on as kind 5."""
     _, ids, uids, at, left, right, rows, wanted, span = arrays
     first, last = span[:, 0].astype(np.int64), span[:, 1].astype(np.int64)
     middle = (first + last) // 2
     column = np.arange(WIDTH)
     for low, high, some in ((first, middle, np.ones(len(ids), bool)), (middle + 1, last, first < last)):
         keep = wanted & _interval_mask(low, np.maximum(low, high))
-        at_all = np.flatnonzero(some & (keep > 0))
-        if not len(at_all):
+        open_ = some & (keep > 0)
+        single = np.flatnonzero(open_ & (low == high))
+        yield from _windows(ids[single], uids[single], at[single], rows[single], low[single])
+        x = np.flatnonzero(open_ & (low < high))
+        if not len(x):
             continue
-        a, b = low[at_all], high[at_all]
-        string = rows[at_all] * ((column >= (LEFT - a)[:, None]) & (column < (LEFT + LENGTH - b)[:, None]))
+        a, b = low[x], high[x]
+        string = rows[x] * ((column >= (LEFT - a)[:, None]) & (column < (LEFT + LENGTH - b)[:, None]))
         h = _row_hashes(string, a.astype(np.uint8), b.astype(np.uint8))
         h = (h ^ (h >> np.uint64(32))) * _M2
         h ^= h >> np.uint64(29)
-        again = span[at_all, 2].copy()
-        single = a == b
-        if single.any():
-            order = np.lexsort((uids[at_all], ids[at_all], h))
-            x = at_all[order]
-            like = single[order][1:] & single[order][:-1] & (h[order][1:] == h[order][:-1]) & (ids[x][1:] == ids[x][:-1]) & (uids[x][1:] == uids[x][:-1]) & (string[order][1:] == string[order][:-1]).all(1)
-            again[order[:-1][like]] = 1
-            again[order[1:][like]] = 1
-            stays = np.sort(order[np.concatenate([[True], ~like])])
-            at_all, a, b, h, again = at_all[stays], a[stays], b[stays], h[stays], again[stays]
-        code, bucket = _codes(h, buckets)
-        yield from _routed(2, _by_bucket(bucket, code, ids[at_all], uids[at_all], at[at_all], left[at_all], right[at_all], rows[at_all], keep[at_all], np.stack([a, b, again], 1).astype(np.uint8)))
+        packed = ((h & _POSITION) % np.uint64(PACKED)).astype(np.int64)
+        yield from _routed(2, _by_bucket(packed, h, ids[x], uids[x], at[x], left[x], right[x], rows[x], keep[x], np.stack([a, b], 1).astype(np.uint8)))
+
+
+def _windows(ids: np.ndarray, uids: np.ndarray, at: np.ndarray, rows: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Kind 5: open single windows (id, uid, place of the anchor, place of the window before it, its bytes); of a text's
+    like windows the first stands for all."""
+    if not len(ids):
+        return
+    start = LEFT - place
+    window = np.take_along_axis(rows, start[:, None] + np.arange(LENGTH), 1)
+    h = _row_hashes(np.pad(window, ((0, 0), (0, WIDTH - LENGTH))), np.zeros(len(ids), np.uint8), np.zeros(len(ids), np.uint8))
+    order = np.lexsort((at, h, uids, ids))
+    own = [a[order] for a in (ids, uids, h)]
+    like = np.logical_and.reduce([a[1:] == a[:-1] for a in own]) & (window[order][1:] == window[order][:-1]).all(1)
+    stays = order[np.concatenate([[True], ~like])]
+    yield from _routed(5, iter([(0, len(stays), _pack(ids[stays], uids[stays], at[stays], place[stays].astype(np.uint8), window[stays]))]))
+
+
+def _dealt_anew(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed kind 2 rows cut by the buckets of their round."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            arrays = _unpack(blob.as_py())
+            yield from _routed(2, _by_bucket(((arrays[0] & _POSITION) % np.uint64(buckets)).astype(np.int64), *arrays))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[list[np.ndarray], bool]]:
@@ -519,19 +538,18 @@ def _bounded(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[t
         yield _drained(blobs), whole
 
 
-def _sorted_matches(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets: int, sort_rows: int, task_rows: int | None) -> Iterator[pa.RecordBatch]:
-    """Kind 3 for the windows that are matched here, kind 2 for the open windows of groups that are too large.
+def _sorted_matches(batches: Iterator[pa.RecordBatch], doc_buckets: int, sort_rows: int, task_rows: int) -> Iterator[pa.RecordBatch]:
+    """Kind 3 for the windows that are matched here, kinds 2 and 5 for the open windows of groups that are too large.
 
     Whether a group is too large hangs on its rows alone, so all its pieces agree: its bucket has more than
-    ``task_rows`` rows, or the group itself more than ``sort_rows``. Without ``task_rows`` every group is taken whole.
+    ``task_rows`` rows, which buckets of half as many on average have only where a group is large, or the group itself
+    more than ``sort_rows``.
     """
     for arrays, whole in _bounded(batches, task_rows):
         order = np.argsort(arrays[0], kind="stable")
         code, ids, uids, at, left, right, rows, wanted, span = arrays = [a[order] for a in arrays]
         begin, end = np.searchsorted(code, code), np.searchsorted(code, code, side="right")
-        large = np.full(len(code), not whole) if task_rows is not None else np.zeros(len(code), bool)
-        if task_rows is not None:
-            large |= end - begin > sort_rows
+        large = np.full(len(code), not whole) | (end - begin > sort_rows)
         s = 0
         while s < len(code):
             e = min(s + sort_rows, len(code))
@@ -539,21 +557,62 @@ def _sorted_matches(batches: Iterator[pa.RecordBatch], buckets: int, doc_buckets
                 e = int(end[e - 1])  # a group is cut only if it is dealt anew
             found = match_rows(code[s:e], ids[s:e], left[s:e], right[s:e], rows[s:e]) & wanted[s:e]
             hit = s + np.flatnonzero(found)
-            yield from _matched(ids[hit], uids[hit], at[hit], found[hit - s], span[hit, 2], doc_buckets)
+            yield from _matched(ids[hit], uids[hit], at[hit], found[hit - s], np.zeros(len(hit), np.uint8), doc_buckets)
             wanted[s:e] &= ~found
             s = e
         if large.any():
-            yield from _refined([a[large] for a in arrays], buckets)
+            yield from _halves([a[large] for a in arrays])
+
+
+def _single(open_: DataFrame, doc_buckets: int) -> DataFrame:
+    """Kind 3 for the single windows of kind 5 that a smaller document has too.
+
+    The smallest document of a window is a minimum by its bytes, which tasks take before the exchange; it goes back by an
+    ordinary join, whose hot keys Spark splits.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                ids, uids, at, place, window = _unpack(blob.as_py())
+                held = pa.Array.from_buffers(pa.binary(LENGTH), len(window), [None, pa.py_buffer(np.ascontiguousarray(window))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(uids), pa.array(at), pa.array(place.astype(np.int64)), held], names=["id", "uid", "at", "place", "window"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, uids, at, place = (batch.column(c).to_numpy() for c in ("id", "uid", "at", "place"))
+            yield from _matched(ids, uids, at, np.uint64(1) << place.astype(np.uint64), np.ones(len(ids), np.uint8), doc_buckets)
+
+    rows = open_.mapInArrow(flat, "id long, uid long, at long, place long, window binary")
+    least = rows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("window").alias("w"), "least")
+    later = rows.join(least, (F.col("window") == F.col("w")) & (F.col("id") > F.col("least"))).select("id", "uid", "at", "place")
+    return later.mapInArrow(packed, _ROUTED_SPARK)
+
+
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``LENGTH`` bytes from each place on."""
+    words = _u64_at_every_byte(data)
+    n = len(data) - LENGTH + 1
+    h = np.zeros(n, np.uint64)
+    for k, offset in enumerate((*range(0, LENGTH - 8, 8), LENGTH - 8)):
+        h = (h ^ words[offset : offset + n]) * (_M1 + np.uint64(2 * k))
+        h ^= h >> np.uint64(31)
+    return h
 
 
 def like_windows(text: bytes, place: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and masks of all windows of a text that equal one of these, each window a place with the first bit."""
-    found: list[int] = []
-    for window in {text[p - k : p - k + LENGTH] for p, m in zip(place.tolist(), mask.tolist()) for k in range(PLACES) if m >> k & 1}:
-        at = text.find(window)
-        while at >= 0:
-            found.append(at)
-            at = text.find(window, at + 1)
+    """Places and masks of all windows of a text that equal one of these, each window a place with the first bit.
+
+    One pass over the text however many windows there are; what the hashes find is held against the bytes."""
+    wanted = {text[p - k : p - k + LENGTH] for p, m in zip(place.tolist(), mask.tolist()) for k in range(PLACES) if m >> k & 1}
+    if not wanted:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    data, found = np.frombuffer(text, np.uint8), []
+    known = np.unique(_window_hashes(np.frombuffer(b"".join(wanted), np.uint8))[::LENGTH])
+    for at in range(0, len(data) - LENGTH + 1, _BLOCK):
+        part = data[at : at + _BLOCK + LENGTH - 1]
+        near = at + np.flatnonzero(np.isin(_window_hashes(part), known))
+        found += [p for p in near.tolist() if text[p : p + LENGTH] in wanted]
     return np.array(found, np.int64), np.ones(len(found), np.uint64)
 
 
@@ -619,24 +678,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = _prime_from(max(fewest, total // 18 // BUCKET_ANCHORS + 1))
     doc_buckets = _prime_from(max(fewest, total // BUCKET_BYTES + 1))
     named = rows.where("id IS NOT NULL AND octet_length(text) >= 50")
-    tags = materialize(named.select("id", "text").mapInArrow(lambda it: _tag_batches(it, buckets, doc_buckets), "kind int, bucket long, blob binary"), "tags")
+    tags = materialize(named.select("id", "text").mapInArrow(lambda it: _tag_batches(it, buckets, doc_buckets), _ROUTED_SPARK), "tags")
     dealt = tags.where("kind = 0").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    across = dealt.mapInArrow(lambda it: _shared_tags(it, doc_buckets), "kind int, bucket long, blob binary")
+    across = dealt.mapInArrow(lambda it: _shared_tags(it, doc_buckets), _ROUTED_SPARK)
     wanted = materialize(tags.where("kind = 1").union(across), "shared-tags", free=True)
     release(tags)
-    docs = rows.mapInArrow(lambda it: _doc_blobs(it, doc_buckets), "kind int, bucket long, blob binary")
+    docs = rows.mapInArrow(lambda it: _doc_blobs(it, doc_buckets), _ROUTED_SPARK)
     met = wanted.union(docs).repartitionById(doc_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
-    met = met.mapInArrow(lambda it: _gather(it, buckets, doc_buckets), "kind int, bucket long, blob binary")
+    met = met.mapInArrow(lambda it: _gather(it, buckets, doc_buckets), _ROUTED_SPARK)
     met = materialize(met, "surroundings", free=True)
     release(wanted)
-    for k in range(1, ROUNDS + 1):
-        dealt = met.where("kind = 2").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-        held = task_rows if k < ROUNDS else None
-        found = dealt.mapInArrow(lambda it, held=held: _sorted_matches(it, buckets, doc_buckets, sort_rows, held), "kind int, bucket long, blob binary")
-        found = materialize(met.where("kind = 3").union(found), "matches", free=True)
-        release(met)
-        met = found
-        if met.where("kind = 2").isEmpty():
+    settled, open_ = [materialize(met.where("kind = 3"), "settled")], met.where("kind = 2")
+    for k in range(ROUNDS + 1):
+        dealt = open_.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+        found = materialize(dealt.mapInArrow(lambda it: _sorted_matches(it, doc_buckets, sort_rows, task_rows), _ROUTED_SPARK), "matches", free=not k)
+        settled.append(found.where("kind = 3"))
+        if not k:
+            release(met)
+        left = {r.kind: r.n for r in found.where("kind <> 3").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        if 5 in left:
+            settled.append(_single(found.where("kind = 5"), doc_buckets))
+        if 2 not in left:
             break
+        buckets = _prime_from(max(fewest, left[2] // min(BUCKET_ANCHORS, task_rows) + 1))
+        open_ = found.where("kind = 2").mapInArrow(lambda it, n=buckets: _dealt_anew(it, n), _ROUTED_SPARK)
+    met = settled[0]
+    for more in settled[1:]:
+        met = met.union(more)
     cut = met.union(docs).repartitionById(doc_buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
     return cut.mapInArrow(lambda it: _apply(it, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
