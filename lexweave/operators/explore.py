@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.numbers import number_key
-from lexweave.functions.text import modality
+from lexweave.functions.text import modality, stems
+from lexweave.operators.extract import extract_terms
+from lexweave.operators.phrases import phrase_matches
 from lexweave.operators.relational import collected, having_all
+from lexweave.operators.similarity import centroids, lexical_rows, neighbour_edges, topic_names
+from lexweave.operators.similarity import topics as find_topics
 from lexweave.operators.structure import current_provisions, extract_links, next_articles
 from lexweave.operators.traverse import paths
 
@@ -38,13 +42,47 @@ class Exploration:
     similar: DataFrame | None = None
 
 
-def load(parsed: DataFrame, mentions: DataFrame | None = None, terms: DataFrame | None = None, actors: DataFrame | None = None) -> Exploration:
-    """The tables of parsed laws (see ``structure.parse_structure``)."""
+def load(parsed: DataFrame, actors: DataFrame | None = None, norms: DataFrame | None = None, vectors: DataFrame | None = None, topic_count: int = 30) -> Exploration:
+    """All tables of parsed laws (see ``structure.parse_structure``).
+
+    Terms are those that a law defines, mentions the provisions that name a term of their law or one of ``actors(id, name,
+    category, phrase)`` in any case of its last word, the longest first; what defines a term does not mention it. ``norms``
+    come from outside. Similar provisions and topics of articles are found on ``vectors(law_id, id, vec)``, else on lexical
+    ones. The chain of articles is ``article_chain``.
+    """
+    spark = parsed.sparkSession
     provisions = current_provisions(parsed).withColumn("modality", modality("text"))
     articles = parsed.select("law_id", F.inline("articles"))
     links = extract_links(provisions, articles)
     refs = links.where("kind = 'ref'").select("law_id", "from_id", F.col("target").alias("to_id"), "raw_text", F.lit(None).cast("string").alias("role"))
-    return Exploration(parsed.select("law_id", F.inline("chapters")), parsed.select("law_id", F.inline("sections")), articles, provisions, refs, parsed.select("law_id", F.inline("amendments")), links.where("kind = 'law'"), mentions, terms, actors)
+    terms = extract_terms(provisions).select("law_id", F.concat(F.lit("term:"), "name").alias("id"), "name", "definition", "defined_in")
+    if actors is None:
+        actors = spark.createDataFrame([], "id string, name string, category string, phrase string")
+    texts = provisions.select("law_id", "id", "text")
+    named = phrase_matches(texts, terms.select("law_id", F.col("id").alias("name"), F.col("name").alias("phrase")), True, ("law_id",)).join(terms.select("law_id", F.col("defined_in").alias("id")).distinct(), ["law_id", "id"], "left_anti")
+    everywhere = phrase_matches(texts.withColumn("id", F.concat("law_id", F.lit("\u0001"), "id")), actors.select(F.col("id").alias("name"), "phrase"), True)
+    everywhere = everywhere.select(F.substring_index("id", "\u0001", 1).alias("law_id"), F.substring_index("id", "\u0001", -1).alias("id"), "name")
+    mentions = named.select("law_id", "id", "name").unionByName(everywhere).select("law_id", F.col("id").alias("from_id"), F.col("name").alias("to_id")).distinct()
+    if vectors is None:
+        rows = provisions.where("text <> ''").select(F.struct("law_id", "id").alias("id"), F.col("article").alias("group"), "text")
+        vectors = lexical_rows(rows.withColumn("id", F.to_json("id"))).select(F.from_json("id", "law_id STRING, id STRING").alias("o"), "vec").select("o.*", "vec")
+    placed = provisions.select("law_id", "id", "article").join(vectors, ["law_id", "id"])
+    whole = placed.select(F.to_json(F.struct("law_id", "id")).alias("id"), F.concat_ws(" ", "law_id", "article").alias("group"), "vec")
+    pair = lambda c: F.from_json(c, "law_id STRING, id STRING")
+    near = neighbour_edges(whole).select(pair("a").alias("a"), pair("b").alias("b"), "score").where("a.law_id = b.law_id")
+    similar = near.select("a.law_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "score")
+    middle = centroids(placed.select(F.to_json(F.struct("law_id", F.col("article").alias("id"))).alias("group"), "vec")).withColumnRenamed("group", "id")
+    assigned = find_topics(middle, topic_count)
+    words = placed.select("law_id", "id", F.col("article").alias("art")).join(provisions.select("law_id", "id", F.explode(stems("text")).alias("word")), ["law_id", "id"])
+    words = words.where(F.length("word") > 2).select(F.to_json(F.struct("law_id", F.col("art").alias("id"))).alias("id"), "word")
+    sizes = assigned.groupBy("topic").agg(F.count("*").alias("size"))
+    topics = assigned.join(topic_names(assigned, words), "topic").join(sizes, "topic").select("topic", "name", F.col("size").cast("int").alias("size"), pair("id").alias("o")).select("topic", "name", "size", "o.law_id", F.col("o.id").alias("article"))
+    if norms is None:
+        norms = spark.createDataFrame([], "law_id string, id string, kind string, bearer string, towards string, action string, condition string")
+    return Exploration(
+        chapters=parsed.select("law_id", F.inline("chapters")), sections=parsed.select("law_id", F.inline("sections")), articles=articles, provisions=provisions, refs=refs,
+        amendments=parsed.select("law_id", F.inline("amendments")), external=links.where("kind = 'law'"), mentions=mentions, terms=terms, actors=actors.select("id", "name", "category"), norms=norms, topics=topics, similar=similar,
+    )
 
 
 def nodes(x: Exploration) -> DataFrame:

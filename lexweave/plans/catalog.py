@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import numbers as N
 from lexweave.functions import text as T
-from lexweave.operators import build, explore, extract, relational, services, similarity, structure, traverse
+from lexweave.operators import build, explore, extract, phrases, relational, services, similarity, structure, traverse
 from lexweave.operators.services import Change
 from lexweave.operators.store import GraphStore
 from lexweave.plans.corpus import derive, document_index, explored, graph, graph_index, with_derived, with_explored
@@ -615,7 +615,7 @@ def _bm25(words: dict[str, str]) -> str:
     said = " ".join(f"WHEN {rule} THEN '{word}'" for word, rule in words.items())
     return f"""WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[0-9]+(?:\\.[0-9]+)*|[а-яөүёa-z]+')) AS term FROM documents),
 size AS (SELECT id, count(*) AS size FROM t GROUP BY id), stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM documents) AS mean),
-tf AS (SELECT id, CASE {said} END AS word, count(*) AS tf FROM t GROUP BY ALL HAVING word IS NOT NULL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+tf AS (SELECT id, word, count(*) AS tf FROM (SELECT id, CASE {said} END AS word FROM t) WHERE word IS NOT NULL GROUP BY id, word), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
 scored AS (SELECT tf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (word) JOIN size ON size.id = tf.id, stats GROUP BY tf.id)
 SELECT id, round(score, 5) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 50"""
 
@@ -701,8 +701,25 @@ def x_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x_dictionary")
 def x_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    phrases = extract.load_phrases(table(spark, sf_dir, "benchmark").select("text"))
-    return extract.dictionary_match(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), phrases)
+    wanted = extract.load_phrases(table(spark, sf_dir, "benchmark").select("text"))
+    return extract.dictionary_match(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), wanted)
+
+
+_PHRASE_TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')"
+
+
+@query("x_phrases", f"""WITH p AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS name, {_PHRASE_TOKENS.format('text')} AS w FROM benchmark),
+d AS (SELECT doc_id, {_PHRASE_TOKENS.format('text')} AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS first FROM d),
+hits AS (SELECT l.doc_id, l.pos, l.pos + len(p.w) AS stop, p.name FROM places l JOIN p ON p.w[1] = l.first JOIN d ON d.doc_id = l.doc_id WHERE list_slice(d.w, l.pos, l.pos + len(p.w) - 1) = p.w),
+spans AS (SELECT doc_id, pos, stop, list(name ORDER BY name) AS names FROM hits GROUP BY ALL),
+listed AS (SELECT doc_id, list({{'a': pos, 'b': stop}} ORDER BY pos - stop, pos) AS s FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, unnest(list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a < x[1].b AND x[1].a < y.b)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM listed)
+SELECT CAST(s.doc_id AS VARCHAR) AS id, CAST(s.pos AS INTEGER) AS place, CAST(s.stop AS INTEGER) AS stop, unnest(s.names) AS name FROM kept JOIN spans s ON s.doc_id = kept.doc_id AND s.pos = k.a AND s.stop = k.b""")
+def x_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = phrases.phrase_matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("phrase")))
+    return found.select("id", F.col("start").alias("place"), F.col("end").alias("stop"), "name")
 
 
 @query("x_html_text", "SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"')) AS links, length(html) AS chars FROM pages")

@@ -23,21 +23,27 @@ from lexweave.operators.store import GraphStore
 BUCKET, VERSION = "law_bucket", "version"
 #: Buckets of a new warehouse: a batch for one law rewrites one of them.
 BUCKETS = 64
-#: Key of each table and the law that it lies with.
-KEYS: dict[str, tuple[list[str], Column]] = {
-    "laws": (["law_id"], F.col("law_id")),
-    "articles": (["article_id"], F.col("law_id")),
-    "refs": (["from_article_id", "to_law_id", "to_number", "raw_text"], law_of("from_article_id")),
-    "similar": (["a_article_id", "b_article_id", "model"], law_of("a_article_id")),
-    "relations": (["a_article_id", "b_article_id", "model"], law_of("a_article_id")),
-    "amendments": (["article_id", "suggested_text", "model"], law_of("article_id")),
-    "drafts": (["draft_id"], F.col("target_law_id")),
-    "intl_sources": (["source_id"], F.col("source_id")),
-    "intl_links": (["article_id", "source_id"], law_of("article_id")),
-    "vectors": (["id"], law_of("id")),
+#: Key of each table, the column that names the law it lies with, and whether that column is a provision's id.
+KEYS: dict[str, tuple[list[str], str, bool]] = {
+    "laws": (["law_id"], "law_id", False),
+    "articles": (["article_id"], "law_id", False),
+    "refs": (["from_article_id", "to_law_id", "to_number", "raw_text"], "from_article_id", True),
+    "similar": (["a_article_id", "b_article_id", "model"], "a_article_id", True),
+    "relations": (["a_article_id", "b_article_id", "model"], "a_article_id", True),
+    "amendments": (["article_id", "suggested_text", "model"], "article_id", True),
+    "drafts": (["draft_id"], "target_law_id", False),
+    "intl_sources": (["source_id"], "source_id", False),
+    "intl_links": (["article_id", "source_id"], "article_id", True),
+    "vectors": (["id"], "id", True),
 }
 
 
+def law_column(name: str) -> Column:
+    """The law that a row of a table lies with; empty where it has none."""
+    _, column, is_id = KEYS[name]
+    return F.coalesce(law_of(column) if is_id else F.col(column), F.lit(""))
+
+
 def bucket_of(law: str | None, buckets: int) -> int:
     """Bucket of one law; that of a null law is that of an empty one."""
     return zlib.crc32((law or "").encode()) % buckets
@@ -99,10 +105,10 @@ class Warehouse:
     # ---- loading
 
     def load(self, batch: dict[str, DataFrame]) -> Manifest:
-        """Merge rows into tables: a row of the batch takes the place of the one with its key.
+        """Merge rows into tables: the batch's rows of a key take the place of all that the table has of it.
 
-        Of rows with one key in the batch itself the one of least hash stays, so reruns agree. Keys may be null. All tables
-        of the batch are switched together.
+        Rows of one key in the batch itself all stay, for the checks of a dataset to name. Keys may be null. All tables of the
+        batch are switched together.
         """
         now, version = self.manifest(), uuid.uuid4().hex
         tables, schemas = {n: dict(b) for n, b in now.tables.items()}, dict(now.schemas)
@@ -116,24 +122,31 @@ class Warehouse:
 
     def _merge(self, name: str, rows: DataFrame, now: Manifest, version: str) -> list[int]:
         """Write the buckets that ``rows`` touches, old rows and new; which they are."""
-        keys, law = KEYS[name]
-        bucket = F.pmod(F.crc32(F.coalesce(law, F.lit(""))), F.lit(now.buckets)).cast("int")
+        keys = KEYS[name][0]
+        bucket = F.pmod(F.crc32(law_column(name)), F.lit(now.buckets)).cast("int")
         known = now.tables.get(name, {})
-        touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())  # a number per bucket
-        if not touched:
-            return []
-        old = self._rows(name, now, [b for b in touched if str(b) in known])
-        every = rows.withColumn("is_old", F.lit(0))
-        if old is not None:
-            every = every.unionByName(old.withColumn("is_old", F.lit(1)))
-        row = F.struct(*rows.columns)
-        first = F.min_by(row, F.struct("is_old", F.xxhash64(*[_hashable(rows, c) for c in rows.columns])))
-        merged = every.groupBy(*[F.col(k).alias(f"key_{k}") for k in keys]).agg(first.alias("row")).select("row.*")
-        placed = merged.withColumn(BUCKET, bucket).withColumn(VERSION, F.lit(version))
+        placed, most = rows, now.buckets
+        if known:
+            touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())  # a number per bucket
+            old = self._rows(name, now, [b for b in touched if str(b) in known])
+            most = max(1, len(touched))
+            if old is not None:
+                fresh = rows.select(*[F.col(k).alias(f"new_{k}") for k in keys]).distinct()
+                same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys]
+                placed = rows.unionByName(old.join(fresh, same, "left_anti"))
         order = [c for c in ("law_id", *keys) if c in rows.columns]
-        placed = placed.repartition(len(touched), BUCKET).sortWithinPartitions(BUCKET, *order)
+        placed = placed.withColumn(BUCKET, bucket).withColumn(VERSION, F.lit(version)).repartition(most, BUCKET).sortWithinPartitions(BUCKET, *order)
         placed.write.mode("append").partitionBy(BUCKET, VERSION).parquet(f"{self.folder}/{name}")
-        return touched
+        return self._written(name, version)
+
+    def _written(self, name: str, version: str) -> list[int]:
+        """The buckets that have a version."""
+        fs, found = self._fs(), []
+        if fs.exists(self._path(name)):
+            for bucket in fs.listStatus(self._path(name)):
+                if bucket.isDirectory() and fs.exists(self._path(f"{name}/{bucket.getPath().getName()}/{VERSION}={version}")):
+                    found.append(int(bucket.getPath().getName().removeprefix(f"{BUCKET}=")))
+        return sorted(found)
 
     def _rows(self, name: str, now: Manifest, buckets: list[int], with_bucket: bool = False) -> DataFrame | None:
         known, folder = now.tables.get(name, {}), f"{self.folder}/{name}"
@@ -158,7 +171,7 @@ class Warehouse:
         if found is None:
             found = self.spark.createDataFrame([], StructType.fromJson(json.loads(now.schemas[name])))
             return found.withColumn(BUCKET, F.lit(0)) if with_bucket else found
-        return found if laws is None else found.where(F.coalesce(KEYS[name][1], F.lit("")).isin([law or "" for law in laws]))
+        return found if laws is None else found.where(law_column(name).isin([law or "" for law in laws]))
 
     def store(self) -> GraphStore:
         """The graph over the loaded tables; filters on one law reach the files of its bucket alone."""
@@ -186,10 +199,6 @@ class Warehouse:
         return gone
 
 
-def _hashable(rows: DataFrame, column: str) -> Column:
-    return F.to_json(F.struct(column)) if "map" in rows.schema[column].dataType.simpleString() else F.col(column)
-
-
 def load_store(warehouse: Warehouse, store: GraphStore, vectors: bool = False) -> Manifest:
     """A graph, or a part of one, as one batch; with ``vectors`` those of the batch's provisions too."""
     batch = {n: (f.drop(BUCKET) if BUCKET in f.columns else f) for n, f in store.tables().items()}
