@@ -15,6 +15,7 @@ from lexweave.operators.store import GraphStore
 from lexweave.plans.corpus import derive, document_index, explored, graph, graph_index, with_derived, with_explored
 from lexweave.plans.session import ship, table
 from lexweave.sources import files
+from lexweave.sources import pages as web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -728,11 +729,43 @@ def x_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.size(links).alias("links"), F.length("html").alias("chars"))
 
 
-@query("x_html_lines")
+def _page_text(comments: str) -> str:
+    """Lines of a page in SQL: whole elements out, line ends, inline tags, other tags, entities of the test pages."""
+    text = "html"
+    for pattern, by in (
+        (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""), (comments, " "),
+        (r"(?i)</p>|<br\s*/?>|</div>|</tr>|</li>|</h[1-6]>|</title>", r"\n"), (r"(?i)</?(?:span|b|i|u|strong|em|font|a|sup|sub|o:p)\b[^>]*>", ""), ("<[^>]+>", " "),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', {'chr(10)' if by == chr(92) + 'n' else repr(by)}, 'g')"
+    for entity, by in (("&quot;", "chr(34)"), ("&middot;", "'·'"), ("&copy;", "'©'"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{entity}', {by})"
+    return f"""WITH t AS (SELECT page_id AS id, {text} AS text FROM pages),
+l AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS line FROM t),
+c AS (SELECT id, k, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM l)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS pos, line FROM c WHERE line <> ''"""
+
+
+@query("x_html_lines", _page_text("(?s)<!--[^>]*-->"))
 def x_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.html_lines(table(ship(spark), sf_dir, "pages"), "page_id", "html")
 
 
+@query("x_page_lines", _page_text("(?s)<!--.*?-->"))
+def x_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.page_lines(table(ship(spark), sf_dir, "pages"), "page_id", "html")
+
+
+@query("x_bill_pages", "SELECT o_orderkey AS id, '1 дүгээр зүйл.Гарчиг ' || o_orderpriority || chr(10) || '1.1.Заалт & ' || CAST(o_orderkey AS STRING) AS text FROM orders")
+def x_bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bill's page per order, with widgets, bare numbers, a script and an attachment around its articles."""
+    ok = F.col("o_orderkey").cast("string")
+    page = F.concat(
+        F.lit('<html><script>var a = "</p>";</script><p>Оршил '), ok, F.lit("</p><p>1 дүгээр зүйл.</p><p>Гарчиг "), F.col("o_orderpriority"), F.lit("</p><p>12</p><div>thumb_up_alt</div><p>1.1.Заалт &amp; "), ok,
+        F.lit("</p><p>download file</p><p>хавсралт</p></html>"),
+    )
+    return files.bill_page_lines(table(ship(spark), sf_dir, "orders").select(F.col("o_orderkey").alias("id"), page.alias("html")), "id", "html").select("id", "text")
+
+
 def _cyrillic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, extract.Registry]:
     """Provisions in the language of the grammar: an order per article, citing its neighbours in several forms."""
     laws = table(spark, sf_dir, "nation").select(F.concat(F.lit("law-"), F.col("n_nationkey").cast("string")).alias("law_id"), F.concat(F.lit("Улс "), _letters("n_nationkey"), F.lit(" тухай хууль")).alias("name"))
