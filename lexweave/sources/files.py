@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.numbers import slug
-from lexweave.functions.text import clean
 from lexweave.operators.store import GraphStore, flatten_articles
+from lexweave.sources.pages import page_lines
 from lexweave.sources.schemas import empty, schema
 
 #: Columns of an exported row, in order; fixed values.
@@ -116,31 +114,9 @@ def read_law_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", meta.alias("meta"), body.alias("body"))
 
 
-def _unescape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = pa.array([None if x is None else html.unescape(x) for x in batch.column("text").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), text], names=["id", "text"])
-
-
-def without_tags(page: Column) -> Column:
-    """Text of a page with a line per block: scripts, styles and hidden blocks gone, superscripts kept as such."""
-    text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    text = F.regexp_replace(text, r'(?is)<p\b[^>]*display:\s*none[^>]*>.*?</p>', "")
-    text = F.regexp_replace(text, r"(?i)</p>|<br\s*/?>|</div>|</tr>|</li>|</h[1-6]>|</title>", "\n")
-    text = F.regexp_replace(text, r"(?i)<sup\b[^>]*>\s*([0-9]+)(?:\s|&nbsp;|\x{a0})*</sup>", "\x02$1\x03")
-    for plain, raised in zip("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"):
-        text = F.regexp_replace(text, rf"{plain}(?=[0-9⁰¹²³⁴⁵⁶⁷⁸⁹]*\x03)", raised)
-    text = F.translate(text, "\x02\x03", "")
-    text = F.regexp_replace(text, r"(?i)</?(?:span|b|i|u|strong|em|font|a|sup|sub|o:p)\b[^>]*>", "")
-    return F.regexp_replace(text, r"<[^>]+>", " ")
-
-
 def html_lines(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """``(id, pos, line)``: non-empty lines of each page. Entities are decoded in Arrow batches, the rest is SQL."""
-    bare = pages.select(F.col(id_col).alias("id"), without_tags(F.col(html_col)).alias("text"))
-    decoded = bare.mapInArrow(_unescape, bare.schema)
-    lines = decoded.select("id", F.posexplode(F.split("text", "\n")).alias("raw_pos", "line")).select("id", "raw_pos", clean("line").alias("line")).where("line <> ''")
-    return lines.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("raw_pos")) - 1).alias("pos"), "line")
+    """``(id, pos, line)``: non-empty lines of each page, whole; see ``pages.page_lines``."""
+    return page_lines(pages, id_col, html_col)
 
 
 def split_bills(documents: DataFrame) -> DataFrame:
@@ -187,7 +163,14 @@ def csv_text(rows: DataFrame) -> DataFrame:
     return plain.select(F.concat_ws(",", *[quoted(c) for c in CSV_COLUMNS]).alias("value"))
 
 
-def write_csv(rows: DataFrame, folder: str) -> None:
-    """Part files with header and CRLF; the header of every part opens with the byte order mark."""
-    plain = rows.select(*CSV_COLUMNS).withColumnRenamed(CSV_COLUMNS[0], "﻿" + CSV_COLUMNS[0])
-    plain.write.mode("overwrite").csv(folder, header=True, lineSep="\r\n", emptyValue="", escape='"')
+#: Order of the rows of an export: by list, law and provision.
+CSV_ORDER = ("relationship", "law_name", "provision_number", "anchor_number", "snippet")
+
+
+def write_csv(rows: DataFrame, folder: str, order: Sequence[str] = CSV_ORDER) -> None:
+    """One file in ``folder``, rows in order, with one header that opens with the byte order mark; lines end in CRLF.
+
+    The rows are sorted by ranges over all tasks; one task then streams the ranges into the file one after the other.
+    """
+    plain = rows.select(*CSV_COLUMNS).orderBy(*order, *[c for c in CSV_COLUMNS if c not in order]).withColumnRenamed(CSV_COLUMNS[0], "\ufeff" + CSV_COLUMNS[0])
+    plain.coalesce(1).write.mode("overwrite").csv(folder, header=True, lineSep="\r\n", emptyValue="", escape='"')
