@@ -690,6 +690,59 @@ def f_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.label(F.lit("suggestion"), (F.col("c_custkey") % 101) / 100.0).alias("label"))
 
 
+#: Words of the documents that stand for wordings of provisions, so that whole texts hold them in any place and mixture; and
+#: the letters that Latin ones stand for.
+_SPOKEN = (
+    (" the ", " хориглоно "), (" and ", " үүрэгтэй "), (" of ", " эрх эдэлнэ "), (" with ", " торгох "), (" by ", " заавал "), (" el ", " болно "), (" un ", " нөхөн төлүүлнэ "), (" la ", " 40 цаг "), (" for ", " 3 хоног "),
+    (" on ", " 12 цаг "), (" le ", " хоёр жил "), (" der ", " жил бүр "), (" die ", " 7 хувь "), (" de ", " 5 сар "),
+)
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстуүвхыз"
+_SPOKEN_SQL = "line"
+for _latin, _said in _SPOKEN:
+    _SPOKEN_SQL = f"replace({_SPOKEN_SQL}, '{_latin}', '{_said}')"
+_LINES = f"""lines AS (SELECT doc_id, pos, {_SPOKEN_SQL} AS t FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents))"""
+_HAS_WORD = r"regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_]){0}($|[^\p{{L}}\p{{N}}_])')"
+_QUANTITIES_SQL = f"""list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(t, '[0-9]+\\s*(?:{'|'.join(T.UNITS)})'), lambda x: regexp_extract(x, '[а-яөү]+$') || ':' || regexp_extract(x, '^[0-9]+')),
+{", ".join(f"CASE WHEN contains(lower(t), '{said}') THEN ['{unit}:{n}'] ELSE []::VARCHAR[] END" for said, n, unit in T.WORD_QUANTITIES)})))"""
+
+
+def _spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, pos, t)``: the lines of all documents with the wordings in place of common words."""
+    said = F.col("line")
+    for latin, wording in _SPOKEN:
+        said = F.replace(said, F.lit(latin), F.lit(wording))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", said.alias("t"))
+
+
+@query("f_stem_words", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(translate(lower(text), '{_LATIN}', '{_CYRILLIC}'), '[0-9]+(?:\\.[0-9]+)*|[а-яөүёa-z]+')) AS word FROM documents)
+SELECT word, CASE WHEN regexp_extract(word, '^(.{{{T.MIN_STEM},}}?)(?:{'|'.join(sorted(T.SUFFIXES, key=len, reverse=True))})$', 1) = '' OR regexp_matches(word, '^[0-9]') THEN word
+ELSE regexp_extract(word, '^(.{{{T.MIN_STEM},}}?)(?:{'|'.join(sorted(T.SUFFIXES, key=len, reverse=True))})$', 1) END AS stem FROM w""")
+def f_stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.translate(F.lower("text"), _LATIN, _CYRILLIC)
+    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(text)).alias("word")).distinct().select("word", T.stem("word").alias("stem"))
+
+
+@query("f_modality_lines", f"""WITH {_LINES} SELECT doc_id, pos, concat_ws(' ', CASE WHEN regexp_matches(lower(t), 'хориглоно|хориотой') THEN 'хориглол' END,
+CASE WHEN regexp_matches(lower(t), 'үүрэгтэй|үүрэг хүлээнэ') OR {_HAS_WORD.format('заавал')} THEN 'үүрэг' END, CASE WHEN regexp_matches(lower(t), 'эрхтэй|эрх эдэлнэ') OR regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])болно\\.?$') THEN 'эрх' END,
+CASE WHEN regexp_matches(lower(t), 'хариуцлага хүлээлгэнэ|торгох|нөхөн төлүүлнэ') THEN 'хариуцлага' END) AS modality FROM lines""")
+def f_modality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spoken_lines(spark, sf_dir).select("doc_id", "pos", F.array_join(T.modality("t"), " ").alias("modality"))
+
+
+@query("f_quantity_lines", f"WITH {_LINES} SELECT doc_id, pos, array_to_string({_QUANTITIES_SQL}, ' ') AS quantities FROM lines")
+def f_quantity_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spoken_lines(spark, sf_dir).select("doc_id", "pos", F.array_join(T.quantities("t"), " ").alias("quantities"))
+
+
+@query("m_clash_lines", f"""WITH {_LINES}, q AS (SELECT doc_id, pos, {_QUANTITIES_SQL} AS q FROM lines)
+SELECT a.doc_id, a.pos, len(list_filter([{', '.join(f"'{u}'" for u in T.UNITS)}], lambda u: len(list_filter(a.q, lambda x: starts_with(x, u || ':'))) > 0 AND len(list_filter(b.q, lambda x: starts_with(x, u || ':'))) > 0
+AND list_filter(a.q, lambda x: starts_with(x, u || ':')) <> list_filter(b.q, lambda x: starts_with(x, u || ':')))) > 0 AS clash FROM q a JOIN q b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1""")
+def m_clash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _spoken_lines(spark, sf_dir).select("doc_id", "pos", T.quantities("t").alias("q"))
+    after = q.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("q").alias("after"))
+    return q.join(after, ["doc_id", "pos"]).select("doc_id", "pos", T.quantities_clash(F.col("q"), F.col("after")).alias("clash"))
+
+
 # ---- extraction ----------------------------------------------------------------------------------------------------
 
 
