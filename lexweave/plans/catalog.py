@@ -849,6 +849,41 @@ def x_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_references(rows, registry).select("from_article_id", "to_law_id", "to_number", "target_missing")
 
 
+#: Forms of a citation of law X by order k, and the numbers that each names, in SQL; ``{k}`` is the order. A provision does not
+#: cite itself.
+_FORMS = (
+    ("Улс {x} тухай хуулийн {k}, {k1}-{k3} дүгээр зүйлд", "[k, k + 1, k + 2, k + 3]"),
+    ("Улс {x} тухай хуулийн {k} дугаар зүйлийн 8 дахь хэсэгт", "[k || '.8']"),
+    ("Улс {x} тухай хуулийн {k} дугаар зүйлийн 2 дахь хэсгийн 1, 2, 4 дэх заалтад", "[k || '.2.1', k || '.2.2', k || '.2.4']"),
+    ("Улс {x} тухай хуулийн {k}.1.1-{k}.1.4-д", "[k || '.1.1', k || '.1.2', k || '.1.3', k || '.1.4']"),
+    ("энэ хуулийн {k}.1.4, {k}.1.5-д", "[k || '.1.4', k || '.1.5']"),
+    ("энэ зүйлийн 2 дахь хэсэгт", "[k || '.2']"),
+    ("Улс {x} тухай хуулийн {k}-{k99} дүгээр зүйлд", "[k, k + 99]"),
+    ("Улс {x} тухай хуулийн {k} дугаар зүйл, {k}.1-д, 7-д болон 8 дугаар зүйлд", "[CAST(k AS STRING), k || '.1', '7', '8']"),
+    ("энэ зүйлийн {k}.2-{k}.4-т", "[k || '.2', k || '.3', k || '.4']"),
+)
+
+
+@query("x_ref_forms", f"""WITH a AS (SELECT o_orderkey AS k, o_custkey % 25 AS law FROM orders),
+n AS (SELECT k, law, unnest(CASE k % {len(_FORMS)} {' '.join(f"WHEN {i} THEN list_transform({numbers}, lambda x: CAST(x AS STRING))" for i, (_, numbers) in enumerate(_FORMS))} END) AS to_number FROM a)
+SELECT 'law-' || CAST(law AS STRING) || ':' || CAST(k AS STRING) AS from_article_id, 'law-' || CAST(law AS STRING) AS to_law_id, to_number FROM n WHERE to_number <> CAST(k AS STRING)""")
+def x_ref_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows, registry = _cyrillic(spark, sf_dir)
+    k = F.col("number").cast("long")
+    said = {"{x}": _letters("law"), "{k}": F.col("number"), **{f"{{k{n}}}": (k + n).cast("string") for n in (1, 3, 99)}}
+
+    def form(text: str):
+        out = F.lit(text)
+        for mark, value in said.items():
+            out = F.replace(out, F.lit(mark), value)
+        return out
+
+    text = F.get(F.array(*[form(t) for t, _ in _FORMS]), (k % len(_FORMS)).cast("int"))
+    rows = rows.withColumn("law", F.substring_index("law_id", "-", -1).cast("long")).withColumn("text", text).drop("law")
+    return extract.extract_references(rows, registry).select("from_article_id", "to_law_id", "to_number")
+
+
 @query("x_amendments", """
 SELECT CAST(o_orderkey AS STRING) AS draft_id, ['repeal', 'replace', 'delete'][CAST(o_orderkey % 3 AS INT) + 1] AS op, 'law-' || CAST(o_custkey % 25 AS STRING) AS law_id, CAST(o_orderkey AS STRING) AS number,
        CASE WHEN o_orderkey % 3 > 0 THEN 'хуучин' END AS old_text, CASE WHEN o_orderkey % 3 = 1 THEN 'шинэ' END AS new_text FROM orders""")
