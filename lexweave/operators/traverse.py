@@ -116,6 +116,13 @@ def next_chain(rows: DataFrame, law_col: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("next_id", F.lead("article_id").over(Window.partitionBy(law_col).orderBy(*order)))
 
 
+def parent_edges(articles: DataFrame) -> DataFrame:
+    """``(article_id, parent_id)`` of provisions whose parent is there; one whose parent is missing has no edge."""
+    parents = articles.select(F.col("article_id").alias("parent_id")).distinct()
+    own = articles.where("parent_number IS NOT NULL").select("article_id", article_id("law_id", "parent_number").alias("parent_id"))
+    return own.join(parents, "parent_id", "left_semi").select("article_id", "parent_id")
+
+
 def closure_below(articles: DataFrame, gone: DataFrame) -> DataFrame:
     """Provisions that are among ``gone`` or below one of them: a join with all ancestors instead of a fixpoint."""
     hit = articles.select("article_id", F.explode("ancestor_ids").alias("up")).join(gone.select(F.col("article_id").alias("up")).distinct(), "up", "left_semi")

@@ -233,9 +233,7 @@ def t_repealed_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t_parent_edges", "SELECT article_id, law_id || ':' || parent_number AS parent_id FROM articles WHERE parent_number IS NOT NULL", "articles")
 def t_parent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = graph(spark, sf_dir).articles
-    parents = a.select(F.col("article_id").alias("parent_id"))
-    return a.where("parent_number IS NOT NULL").withColumn("parent_id", N.article_id("law_id", "parent_number")).join(parents, "parent_id", "left_semi").select("article_id", "parent_id")
+    return traverse.parent_edges(graph(spark, sf_dir).articles)
 
 
 # ---- services ------------------------------------------------------------------------------------------------------

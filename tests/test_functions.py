@@ -77,6 +77,20 @@ def test_dates_in_words(spark):
     assert one(spark, T.adopted_date(F.lit("2021 оны 7 дугаар сарын 2-ны өдөр"))) == "2021-07-02"
 
 
+def test_canonical_form(spark):
+    said = {"Хөдөлмөрийн  тухай хуулийн": "Хөдөлмөрийн тухай хууль", "Ойн тухай хуулиудын": "Ойн тухай хууль", "Иргэний хуульд": "Иргэний хууль", "Усны тухай хууль": "Усны тухай хууль", "хуулийн тухай журам": "хуулийн тухай журам"}
+    for text, form in said.items():
+        assert one(spark, T.canonical_form(F.lit(text))) == form
+
+
+@pytest.mark.parametrize("line, wanted", [
+    ("174.3 ./Энэ хэсгийг", "174.3./Энэ хэсгийг"), ("13¹. 2. Монгол", "13¹.2. Монгол"), ("1.1. 2. Хоёр", "1.1.2. Хоёр"), ("1. 2. жагсаалт", "1. 2. жагсаалт"), ("1.1. 25 хоног", "1.1. 25 хоног"),
+    ("7.З. бичвэр", "7.3. бичвэр"), ("1.3өвшөөрөлгүй", "1.Зөвшөөрөлгүй"), ("1.3.өв", "1.3.өв"), ("1.3Өв", "1.3Өв"), ("3өв", "3өв"), ("бичвэр 7.З.", "бичвэр 7.З."), ("12 . текст", "12 . текст"), ("12 .текст", "12.текст"), ("", ""),
+])
+def test_slips_of_numbers(spark, line, wanted):
+    assert one(spark, T.normalize_number(F.lit(line))) == wanted
+
+
 def test_normalize_number(spark):
     assert one(spark, T.normalize_number(F.lit("7.З. бичвэр"))) == "7.3. бичвэр"
     assert one(spark, T.normalize_number(F.lit("174.3 ./Энэ"))) == "174.3./Энэ"
