@@ -700,7 +700,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             settled.append(_single(found.where("kind = 5"), doc_buckets))
         if 2 not in left:
             break
-        buckets = _prime_from(max(fewest, left[2] // min(BUCKET_ANCHORS, task_rows) + 1))
+        buckets = _prime_from(max(fewest, left[2] // BUCKET_ANCHORS + 1))
         open_ = found.where("kind = 2").mapInArrow(lambda it, n=buckets: _dealt_anew(it, n), _ROUTED_SPARK)
     met = settled[0]
     for more in settled[1:]:
