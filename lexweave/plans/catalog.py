@@ -508,7 +508,7 @@ def m_lexical_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("vec"))
+    return table(ship(spark), sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("vec"))
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))"
