@@ -114,9 +114,9 @@ def read_law_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", meta.alias("meta"), body.alias("body"))
 
 
-def html_lines(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def html_lines(pages: DataFrame, id_col: str, html_col: str, closed_only: bool = False) -> DataFrame:
     """``(id, pos, line)``: non-empty lines of each page, whole; see ``pages.page_lines``."""
-    return page_lines(pages, id_col, html_col)
+    return page_lines(pages, id_col, html_col, closed_only=closed_only)
 
 
 def split_bills(documents: DataFrame) -> DataFrame:

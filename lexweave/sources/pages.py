@@ -8,7 +8,10 @@ starts and ends then say of each text whether anything hidden is open around it.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
+from functools import partial
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -53,20 +56,31 @@ def _covered(rows: DataFrame, start: Column, out: str) -> DataFrame:
     return met.withColumn(out, F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) > 0).drop("step")
 
 
-def _unescaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A character reference that a semicolon ends.
+CLOSED_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(text: str) -> str:
+    """``text`` with the references decoded that a semicolon ends; one that is cut short stays as it is written."""
+    return CLOSED_REFERENCE.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+def _unescaped(batches: Iterator[pa.RecordBatch], closed_only: bool) -> Iterator[pa.RecordBatch]:
+    decoded = _closed if closed_only else html.unescape
     for batch in batches:
-        said = pa.array([None if x is None else html.unescape(x) for x in batch.column("said").to_pylist()], pa.string())
+        said = pa.array([None if x is None else decoded(x) for x in batch.column("said").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([said if n == "said" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
 
-def page_lines(pages: DataFrame, id_col: str, html_col: str, body: str | None = None, dropped: str | None = None) -> DataFrame:
+def page_lines(pages: DataFrame, id_col: str, html_col: str, body: str | None = None, dropped: str | None = None, closed_only: bool = False) -> DataFrame:
     """``(id, pos, line)``: the lines of each page that have something on them.
 
     Scripts, styles, comments and whatever is hidden are left out, nested blocks whole; inline tags join what they part,
     all others leave a blank or end the line; raised digits become superscripts. ``body`` is a pattern of the tags that a
     block of the body opens with: where a page has one, what stands before the first is dropped, and of each block what
     follows a script or style in it. ``dropped`` is a pattern of opening tags whose elements are left out too. What a tag
-    that a broken style ended early leaves behind is taken out of its line. Null and empty pages have no lines.
+    that a broken style ended early leaves behind is taken out of its line. References such as ``&amp`` are decoded as
+    browsers do, without their semicolon too; with ``closed_only`` those alone that have one. Null and empty pages have no lines.
     """
     rows = page_tokens(pages, id_col, html_col)
     hidden = F.col("token").rlike(HIDDEN)
@@ -87,7 +101,7 @@ def page_lines(pages: DataFrame, id_col: str, html_col: str, body: str | None =
         ends = ends | (F.col("opens") & F.col("token").rlike(body))
     said = F.when(name.isNull(), text).when(ends, "\n").when(name.isin(*INLINE), "").otherwise(" ")
     shown = rows.where(~F.col("hidden") | ends).select("id", "pos", F.when(F.col("hidden"), F.lit("\n")).otherwise(said).alias("said"))
-    shown = shown.mapInArrow(_unescaped, shown.schema)
+    shown = shown.mapInArrow(partial(_unescaped, closed_only=closed_only), shown.schema)
     pieces = shown.select("id", "pos", F.posexplode(F.split(F.replace("said", F.lit(" "), F.lit(" ")), "\n")).alias("k", "piece"))
     pieces = pieces.withColumn("line_no", F.count_if(F.col("k") > 0).over(Window.partitionBy("id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, 0)))
     lines = pieces.groupBy("id", "line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "piece"))).alias("s"))

@@ -42,3 +42,22 @@ def test_many_pages_and_a_long_one(spark):
     found = pages.page_lines(spark.createDataFrame(rows, "id long, html string"), "id", "html").groupBy("id").count().collect()
     assert {r.id: r["count"] for r in found} == {i: i for i in range(1, 40)} | {900: 3000}
     assert pages.page_lines(spark.createDataFrame([], "id long, html string"), "id", "html").count() == 0
+
+
+@pytest.mark.parametrize("query", ["x_html_lines", "x_page_lines"])
+def test_registered_queries_leave_references_without_semicolon(spark, tmp_path, query):
+    import duckdb
+
+    from lexweave.plans import catalog
+
+    spark.createDataFrame([(1, "<title>a &amp;&amp</title><p>b &amp;amp; &copy; &am</p>&quot;c &notit; &#1105;"), (2, "&amp"), (3, None)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = {tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).where("line NOT LIKE '\"c%'").collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        wanted = {r for r in con.execute(catalog.ORACLES[query]).fetchall() if not r[2].startswith('"c')}
+    assert found == wanted and (1, 0, "a &&amp") in found and (2, 0, "&amp") in found
+    assert [r.line for r in catalog.QUERIES[query](spark, str(tmp_path)).where("line LIKE '\"c%'").collect()] == ['"c &notit; ё']
+
+
+def test_references_without_semicolon_are_decoded_by_default(spark):
+    assert lines(spark, "<p>a &amp b &copy</p>") == ["a & b ©"]
