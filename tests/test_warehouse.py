@@ -165,3 +165,25 @@ def test_search_over_the_index_is_the_search_over_texts(spark, tmp_path):
         plain, stored = (services.search(store, query, i).collect() for i in (None, ix))
         assert plain == stored, query
     assert services.search(store, "цаг", ix).count() == 9
+
+
+def test_a_query_loads_the_tables_that_it_reads(spark, monkeypatch):
+    from lexweave.plans import catalog, corpus
+
+    monkeypatch.setattr(corpus, "_LOADED", {})
+    sf_dir = "/root/testdata/sf0.001"
+    loaded = lambda kind: {k[3] for k in corpus._LOADED if k[2] == kind and len(k) == 4}
+    assert catalog.QUERIES["g_laws_count"](spark, sf_dir).count() == 25 and loaded("graph") == {"laws", "articles"} and loaded("first") == {"order_ids"}
+    catalog.QUERIES["m_topk_either"](spark, sf_dir).count()
+    assert loaded("graph") == {"laws", "articles", "similar"}
+    catalog.QUERIES["c_repealed"](spark, sf_dir).count()
+    assert loaded("explored") == {"provisions"} and loaded("first") == {"order_ids"}
+    assert set(corpus.graph(spark, sf_dir).tables()) == loaded("graph") == set(corpus.LOADED_TABLES)
+    assert set(corpus.explored(spark, sf_dir).tables()) == loaded("explored") == set(corpus.EXPLORED_LISTS)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = with_keys(spark.range(400).selectExpr("'law-1' AS law_id", "'law-1:' || id AS article_id", "CAST(id AS STRING) AS number", "CAST(NULL AS STRING) AS parent_number", "CAST(NULL AS STRING) AS title", "'t' AS text"))
+    w = Warehouse(spark, str(tmp_path), 1)  # one bucket, four shuffle partitions
+    w.load({"articles": rows})
+    assert 1 < len(w.table("articles", ["law-1"]).inputFiles()) <= 4 and w.table("articles", ["law-1"]).count() == 400
