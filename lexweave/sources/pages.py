@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable
 from html.entities import html5
 
 import pyarrow as pa
@@ -28,13 +27,17 @@ CLOSES_LINE = ("p", "div", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6", "titl
 NO_TEXT, HIDDEN = ("script", "style"), r"(?i)\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none"
 #: Attributes left over by a tag that ended early in a broken style.
 BROKEN_STYLE = r"(?:[a-z-]+\s*:\s*[^;\"<>\n]*;?\s*)+\"\s*>"
+#: Tasks that pages are dealt to, for each of a shuffle: tokens take many times the room of their page.
+SPREAD = 4
 #: One token: a whole script or style, a comment, a tag, or text up to the next of them.
 TOKEN = r"(?is)<(?:script\b.*?</script\s*|style\b.*?</style\s*|!--.*?--|/?[a-z][^>]*|[!?][^>]*)>|<|[^<]+"
 
 
 def page_tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """``(id, pos, token, name, opens, closes)``: a row per tag or text; a text has no name."""
-    tokens = pages.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    tasks = SPREAD * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("__html")).repartition(tasks, "id")  # pages cross as they are, not as tokens
+    tokens = whole.select("id", F.posexplode(F.regexp_extract_all(F.coalesce("__html", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     name = F.lower(F.nullif(F.regexp_extract("token", r"(?i)^</?([a-z][a-z0-9:]*)", 1), F.lit("")))
     rows = tokens.withColumn("name", F.when(F.startswith("token", F.lit("<!")) | F.startswith("token", F.lit("<?")), F.lit("!")).otherwise(name))
     paired = F.col("name").isNotNull() & ~F.col("name").isin(*VOID, *NO_TEXT, "!") & ~F.endswith("token", F.lit("/>"))
@@ -43,17 +46,18 @@ def page_tokens(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def _covered(rows: DataFrame, start: Column, out: str) -> DataFrame:
-    """``rows`` with ``out``: whether an element for whose opening tag ``start`` holds is open at a row, its own tags included."""
+    """``rows`` with ``out``: whether an element for whose opening tag ``start`` holds is open at a row, its own tags included.
+
+    All windows are within a page, so rows that are dealt by page stay where they are: an element covers what lies before the
+    farthest end of those that have begun."""
     here = Window.partitionBy("id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tags = rows.where(F.col("opens") | F.col("closes")).select("id", "pos", "name", "opens", (F.col("opens") & start).alias("starts"))
-    depth = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(here)
-    tags = tags.withColumn("level", depth + F.when(F.col("opens"), 0).otherwise(1))  # of an opening and of its end alike
-    after = Window.partitionBy("id", "name", "level").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    ends = F.min(F.when(~F.col("opens"), F.col("pos"))).over(after)
-    found = tags.withColumn("end", ends).where("starts").select("id", F.explode(F.array(F.struct(F.col("pos").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("end") + 1).alias("pos"), F.lit(-1).alias("step")))).alias("s"))
-    steps = found.where("s.pos IS NOT NULL").select("id", "s.pos", "s.step").groupBy("id", "pos").agg(F.sum("step").alias("step"))
-    met = rows.join(steps, ["id", "pos"], "left")
-    return met.withColumn(out, F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) > 0).drop("step")
+    depth = F.sum(F.when(F.col("opens"), 1).when(F.col("closes"), -1).otherwise(0)).over(here)
+    tags = rows.withColumn("__level", depth + F.when(F.col("closes"), 1).otherwise(0))  # of an opening and of its end alike
+    after = Window.partitionBy("id", "name", "__level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.when(F.col("closes"), F.struct((-F.col("pos")).alias("n")))).over(after)["n"]  # of the ends behind a row the first
+    tags = tags.withColumn("__end", F.when(F.col("opens") & start, F.coalesce(-ends, F.lit(2147483647))))
+    page = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return tags.withColumn(out, F.coalesce(F.max("__end").over(page) >= F.col("pos"), F.lit(False))).drop("__level", "__end")
 
 
 #: A character reference that a semicolon ends.
@@ -65,11 +69,14 @@ def _closed(text: str) -> str:
     return CLOSED_REFERENCE.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
 
 
-def _unescaped(batches: Iterator[pa.RecordBatch], closed_only: bool) -> Iterator[pa.RecordBatch]:
+def _unescaped(closed_only: bool) -> Callable[..., Column]:
+    """The function of a column that decodes references; rows stay with their page."""
     decoded = _closed if closed_only else html.unescape
-    for batch in batches:
-        said = pa.array([None if x is None else decoded(x) for x in batch.column("said").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([said if n == "said" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+
+    def run(said: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decoded(x) for x in said.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def page_lines(pages: DataFrame, id_col: str, html_col: str, body: str | None = None, dropped: str | None = None, closed_only: bool = False) -> DataFrame:
@@ -101,7 +108,7 @@ def page_lines(pages: DataFrame, id_col: str, html_col: str, body: str | None =
         ends = ends | (F.col("opens") & F.col("token").rlike(body))
     said = F.when(name.isNull(), text).when(ends, "\n").when(name.isin(*INLINE), "").otherwise(" ")
     shown = rows.where(~F.col("hidden") | ends).select("id", "pos", F.when(F.col("hidden"), F.lit("\n")).otherwise(said).alias("said"))
-    shown = shown.mapInArrow(partial(_unescaped, closed_only=closed_only), shown.schema)
+    shown = shown.withColumn("said", _unescaped(closed_only)("said"))
     pieces = shown.select("id", "pos", F.posexplode(F.split(F.replace("said", F.lit(" "), F.lit(" ")), "\n")).alias("k", "piece"))
     pieces = pieces.withColumn("line_no", F.count_if(F.col("k") > 0).over(Window.partitionBy("id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, 0)))
     lines = pieces.groupBy("id", "line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "piece"))).alias("s"))

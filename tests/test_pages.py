@@ -61,3 +61,8 @@ def test_registered_queries_leave_references_without_semicolon(spark, tmp_path,
 
 def test_references_without_semicolon_are_decoded_by_default(spark):
     assert lines(spark, "<p>a &amp b &copy</p>") == ["a & b ©"]
+
+
+def test_tokens_stay_with_their_page(spark):
+    plan = pages.page_lines(spark.createDataFrame([(1, "<p>a</p>")], "id long, html string"), "id", "html")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
