@@ -20,6 +20,8 @@ from lexweave.functions import text as T
 SHARD_ROWS, DELETION_LETTERS, MOST_EDITS = 1 << 20, 8, 2
 #: Terms that one fuzzy or prefix lookup may put into a plan as literals; beyond, they are joined.
 LITERAL_TERMS = 200
+#: Tasks that texts are dealt to, for each of a shuffle: counted words take more room than their text.
+SPREAD = 4
 BM25_K1, BM25_B = 1.2, 0.75
 
 
@@ -44,8 +46,9 @@ def deletions_of(term: str, edits: int = MOST_EDITS) -> list[str]:
 
 
 def _sharded(rows: DataFrame, key: str, order: list[str], shards: int, path: str) -> None:
-    """``rows`` cut into ranges of ``key``, a folder each, sorted; and which range is where."""
-    dealt = rows.repartitionByRange(shards, key).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
+    """``rows`` cut into ranges of ``order``, which ``key`` opens, a folder each, sorted; and which keys are where. The rows of
+    one key may fill several shards."""
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
     dealt.write.mode("overwrite").partitionBy("shard").parquet(path)
     kept = rows.sparkSession.read.parquet(path)
     kept.groupBy("shard").agg(F.min(key).alias("low"), F.max(key).alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{path}.ranges")
@@ -58,7 +61,9 @@ def build_index(texts: DataFrame, folder: str, stemmed: bool = False, shard_rows
     """
     spark = texts.sparkSession
     words = (T.stems if stemmed else T.tokens)(F.coalesce("text", F.lit("")))
-    listed = texts.select("id", words.alias("words")).select("id", F.size("words").alias("size"), F.explode_outer("words").alias("term"))
+    tasks = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = texts.select("id", "text").repartition(tasks, "id")  # texts cross as they are; their words are counted where they stand
+    listed = whole.select("id", words.alias("words")).select("id", F.size("words").alias("size"), F.explode_outer("words").alias("term"))
     counted = listed.groupBy("id", "term", "size").agg(F.count("term").alias("tf"))
     counted.write.mode("overwrite").parquet(f"{folder}/counted")  # texts are tokenised once
     counted = spark.read.parquet(f"{folder}/counted")

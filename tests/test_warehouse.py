@@ -187,3 +187,13 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path), 1)  # one bucket, four shuffle partitions
     w.load({"articles": rows})
     assert 1 < len(w.table("articles", ["law-1"]).inputFiles()) <= 4 and w.table("articles", ["law-1"]).count() == 400
+
+
+def test_the_postings_of_one_term_fill_several_shards(spark, tmp_path):
+    texts = spark.range(0, 3000, 1, 3).selectExpr("id", "concat('common word', id % 7) AS text")
+    index = textindex.build_index(texts, str(tmp_path), shard_rows=500)
+    rows = spark.read.parquet(f"{tmp_path}/postings").groupBy("shard").count().collect()
+    assert max(r["count"] for r in rows) < 1500  # before: 3000, all of the common term
+    assert index.postings_of(["common"]).count() == 3000 and index.postings_from("word").count() == 3000
+    assert [r.id for r in index.full_text(["3"], limit=None).select("id").orderBy("id").collect()] == list(range(3, 3000, 7))
+    assert {r.term for r in index.like("comon", 1).collect()} == {"common"}
