@@ -197,3 +197,12 @@ def test_the_postings_of_one_term_fill_several_shards(spark, tmp_path):
     assert index.postings_of(["common"]).count() == 3000 and index.postings_from("word").count() == 3000
     assert [r.id for r in index.full_text(["3"], limit=None).select("id").orderBy("id").collect()] == list(range(3, 3000, 7))
     assert {r.term for r in index.like("comon", 1).collect()} == {"common"}
+
+
+def test_a_first_load_is_written_where_its_rows_come_about(spark, tmp_path):
+    rows = with_keys(spark.range(0, 400, 1, 3).selectExpr("'law-1' AS law_id", "'law-1:' || id AS article_id", "CAST(id AS STRING) AS number", "CAST(NULL AS STRING) AS parent_number", "CAST(NULL AS STRING) AS title", "'t' AS text"))
+    w = Warehouse(spark, str(tmp_path), 1)
+    w.load({"articles": rows})
+    assert len(w.table("articles").inputFiles()) == 3  # before: four, by an exchange
+    w.load({"articles": rows.where("length(number) = 1")})
+    assert w.table("articles").count() == 400 and w.table("articles").select("article_id").distinct().count() == 400
