@@ -1,4 +1,4 @@
-"""Traversal: bounded breadth-first search, paths, subtrees, chains and closures; plans only, no driver loops over data."""
+"""Traversal: bounded breadth-first search, paths, subtrees, chains and closures; plans, no driver loops over data."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.numbers import ancestors_and_self, article_id, law_of, number_key, number_of
+from lexweave.sources.scratch import written
 
 
 def with_ancestors(ids: DataFrame) -> DataFrame:
@@ -99,13 +100,17 @@ def first_witness(found: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, starts: DataFrame, max_length: int) -> DataFrame:
-    """``(path array<string>, length)`` of all paths from the starts over edges ``(src, dst)``; no edge twice in a path."""
-    level = starts.select(F.array(F.col("id")).alias("path"), F.col("id").alias("at"), F.array().cast("array<string>").alias("used"))
+    """``(path array<string>, length)`` of all paths from the starts over edges ``(src, dst)``; no edge twice in a path.
+
+    Paths are told once, however often an edge is listed, so edges need not be made distinct first. The starts and each level are
+    written: where few paths lead on Spark knows it and sends them to the edges, instead of dealing all edges anew.
+    """
+    level = written(starts.select(F.array(F.col("id")).alias("path"), F.col("id").alias("at"), F.array().cast("array<string>").alias("used")), "paths")
     out = None
     for length in range(1, max_length + 1):
         step = level.join(edges, level["at"] == edges["src"]).withColumn("edge", F.concat_ws("\u0001", "src", "dst"))
         step = step.where(~F.array_contains("used", F.col("edge")))
-        level = step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), F.concat("used", F.array("edge")).alias("used"))
+        level = written(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), F.concat("used", F.array("edge")).alias("used")).distinct(), "paths")
         found = level.select("path", F.lit(length).alias("length"))
         out = found if out is None else out.unionByName(found)
     return out

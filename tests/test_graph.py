@@ -170,3 +170,10 @@ def test_draft_detail_and_every_export(store, spark):
         services.export(full, "nothing")
     assert services.new_similar(store, Change(article_id="a:80.1", new_text="цагийн бичвэр")).count() > 0
     assert services.new_similar(store, Change(article_id="a:80.1")).count() == 0
+
+
+def test_paths_are_told_once_and_deal_no_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
+    rows = traverse.paths(edges, spark.createDataFrame([("a",)], "id string"), 3)
+    assert sorted("".join(r.path) for r in rows.collect()) == ["ab", "abc"]
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
