@@ -206,3 +206,10 @@ def test_a_first_load_is_written_where_its_rows_come_about(spark, tmp_path):
     assert len(w.table("articles").inputFiles()) == 3  # before: four, by an exchange
     w.load({"articles": rows.where("length(number) = 1")})
     assert w.table("articles").count() == 400 and w.table("articles").select("article_id").distinct().count() == 400
+
+
+def test_chains_of_a_part_take_one_exchange(spark):
+    from lexweave.plans.corpus import derive
+
+    plan = derive(spark, "/root/testdata/sf0.001", "edges")["edges"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # before: three
