@@ -196,9 +196,10 @@ def impact(store: GraphStore, change: Change) -> DataFrame:
     """
     kind = change.kind()
     law = change.law_id or change.article_id.partition(":")[0]
-    of_law = store.articles.where(F.col("law_id") == law)
+    of_law = store.in_law(law)
     nothing = _no_ids(store)
-    if kind == "rename" or not change.article_id:
+    whole = kind == "rename" or not change.article_id
+    if whole:
         seeds = _ids(of_law)
         refs = store.refs_to(law, seeds, None, True).where(F.col("from_law_id") != law)
         if kind == "rename":
@@ -211,7 +212,8 @@ def impact(store: GraphStore, change: Change) -> DataFrame:
         number = change.article_id.partition(":")[2]
         up = store.laws.sparkSession.range(1).select(F.explode(F.transform(ancestors_and_self(F.lit(number)), lambda n: article_id(F.lit(law), n))).alias("article_id"))
         refs = store.refs_to(law, up, nothing, False)
-    refs = refs.join(seeds.distinct().withColumnRenamed("article_id", "from_article_id"), "from_article_id", "left_anti")
+    if not whole:  # else the seeds are the law's provisions, which a filter on the law keeps out
+        refs = refs.join(seeds.distinct().withColumnRenamed("article_id", "from_article_id"), "from_article_id", "left_anti")
     order = Window.partitionBy("from_article_id").orderBy(number_key("to_number"), "to_article_id", "raw_text")
     direct = refs.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
     if kind in ("rename", "none"):
@@ -230,7 +232,11 @@ def impact(store: GraphStore, change: Change) -> DataFrame:
     out = _items(store, direct, "incoming", told).withColumn("depth", F.lit(1))
     if change.depth > 1:
         columns = store.refs_with_source().columns
-        found = indirect_refs(store.refs_with_source().select(*columns), direct.select(F.col("from_article_id").alias("article_id")), seeds, change.depth)
+        every, frontier = store.refs_with_source().select(*columns), direct.select(F.col("from_article_id").alias("article_id"))
+        if whole:
+            found = indirect_refs(every.where(F.col("from_law_id") != law), frontier, seeds.where(F.lit(False)), change.depth)
+        else:
+            found = indirect_refs(every, frontier, seeds, change.depth)
         names = store.laws.select(F.col("law_id").alias("v_id"), F.col("name").alias("v_name"))
         found = first_witness(found).withColumn("v_law", law_of("via_article_id")).join(names, F.col("v_law") == names["v_id"], "left")
         told = F.concat(T.genitive(F.coalesce("v_name", "v_law")), F.lit(" "), number_of("via_article_id"), F.lit("-ээр дамжсан: "), F.coalesce("to_number", F.lit("None")), F.lit("-ийг иш татсан."))

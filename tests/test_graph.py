@@ -177,3 +177,9 @@ def test_paths_are_told_once_and_deal_no_edges(spark):
     rows = traverse.paths(edges, spark.createDataFrame([("a",)], "id string"), 3)
     assert sorted("".join(r.path) for r in rows.collect()) == ["ab", "abc"]
     assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_impact_of_a_law_does_not_look_for_each_provision_of_the_law(store):
+    found = services.impact(store, Change(law_id="a", depth=2))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1  # before: the seeds at each depth too
+    assert {r.law_id for r in found.select("law_id").collect()}.isdisjoint({"a"})
