@@ -114,3 +114,10 @@ def test_streamed_references_are_counted_once(spark, tmp_path):
     query = stream.first_refs(stream.read_refs(spark, str(folder))).writeStream.foreachBatch(stream.merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_number_keys_are_made_once_per_row_before_a_sort(x):
+    for rows in (explore.norms_between(x, "duty", "a", "b"), explore.article_tree(x, "l", "art1"), explore.provisions_that(x, "duty", "a"), explore.most_cited(x)):
+        sorts = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in line]
+        assert sorts and not any("regexp" in line for line in sorts)
+        assert "key" not in rows.columns
