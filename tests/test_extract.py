@@ -271,3 +271,15 @@ def test_processed_files_round_trip(spark, tmp_path):
     assert (row.article_count, row.text_available) == (1, True)
     files.write_processed(store, str(tmp_path / "q"))
     assert files.load_processed(spark, str(tmp_path / "q")).articles.select("article_id", "text").collect() == [("a:1", "t")]
+
+
+def test_lines_are_dealt_to_tasks_by_the_length_of_texts(spark, monkeypatch):
+    rows = [(f"l{i}", f"НЭГДҮГЭЭР БҮЛЭГ\nНийтлэг\n{i + 1} дугаар зүйл. Гарчиг\n{i + 1}.1.Заалт\nүргэлжлэл") for i in range(12)]
+    documents = spark.createDataFrame(rows, "law_id string, text string")
+    found = lambda: structure.current_provisions(structure.parse_structure(documents)).select("law_id", "id", "parent", "text", "status")
+    whole = found()
+    monkeypatch.setattr(structure, "TASK_LETTERS", 50)
+    tasks = -(-sum(len(t) for _, t in rows) // 50)
+    dealt = found()
+    assert tasks > 4 and f", {tasks})" in dealt._jdf.queryExecution().executedPlan().toString()  # before: the session's partitions, however long the texts
+    assert sorted(dealt.collect()) == sorted(whole.collect()) and whole.count() == 12
