@@ -213,3 +213,14 @@ def test_chains_of_a_part_take_one_exchange(spark):
 
     plan = derive(spark, "/root/testdata/sf0.001", "edges")["edges"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # before: three
+
+
+def test_a_large_table_is_dealt_to_more_tasks_than_the_session_has(spark, monkeypatch):
+    from lexweave.plans import corpus
+
+    frame = spark.range(90)
+    assert corpus._dealt(frame, "id", 10).rdd.getNumPartitions() == 9
+    assert ", 9)" not in corpus._dealt(frame, "id", 45)._jdf.queryExecution().executedPlan().toString()
+    wanted = sorted(corpus.derive(spark, "/root/testdata/sf0.001", "edges")["edges"].collect())
+    monkeypatch.setattr(corpus, "TASK_ORDERS", 100)
+    assert sorted(corpus.derive(spark, "/root/testdata/sf0.001", "edges")["edges"].collect()) == wanted
