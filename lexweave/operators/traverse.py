@@ -11,8 +11,12 @@ from lexweave.sources.scratch import written
 
 def with_ancestors(ids: DataFrame) -> DataFrame:
     """``(via, article_id)``: each id with itself and every provision that contains it, from the ids alone."""
-    up = F.transform(ancestors_and_self(number_of("article_id")), lambda n: article_id(law_of("article_id"), n))
-    return ids.select(F.col("article_id").alias("via"), F.explode(up).alias("article_id"))
+    return ids.select(F.col("article_id").alias("via"), F.explode(_up("article_id")).alias("article_id"))
+
+
+def _up(id_: str) -> Column:
+    """An id and those of every provision that contains it."""
+    return F.transform(ancestors_and_self(number_of(id_)), lambda n: article_id(law_of(id_), n))
 
 
 def indirect_refs(refs: DataFrame, frontier: DataFrame, seeds: DataFrame, max_depth: int, climb: bool = True) -> DataFrame:
@@ -76,20 +80,24 @@ def recursive_refs(refs: DataFrame, frontier: DataFrame, seeds: DataFrame, max_d
 
     Walks go from a provision to what cites it, or what contains it, and carry what they have visited; the least depth of
     a provision over all walks is its depth. Walks of equal length to one provision are told once each, so this is for
-    shallow searches from few seeds: Spark stops at ``spark.sql.cteRecursionRowLimit`` rows with an error.
+    shallow searches from few seeds: Spark stops at ``spark.sql.cteRecursionRowLimit`` rows with an error. Below that a level
+    is sent whole to the references, and the provisions reached are written, so references are read but never dealt anew.
     """
     ends = refs.where("to_article_id IS NOT NULL").join(seeds.select(F.col("article_id").alias("from_article_id")).distinct(), "from_article_id", "left_anti")
-    hops = with_ancestors(refs.select(F.col("from_article_id").alias("article_id")).distinct()).join(ends.select(F.col("to_article_id").alias("article_id"), F.col("from_article_id").alias("dst")), "article_id").select(F.col("via").alias("src"), "dst").distinct()
     walked = refs.sparkSession.sql(
-        """WITH RECURSIVE walk(at, depth, seen) AS (
+        r"""WITH RECURSIVE walk(at, depth, seen) AS (
              SELECT article_id, 1, array(article_id) FROM {frontier}
              UNION ALL
-             SELECT dst, depth + 1, array_append(seen, dst) FROM walk JOIN {hops} ON at = src WHERE depth < {most} AND NOT array_contains(seen, dst))
+             SELECT /*+ BROADCAST(level) */ DISTINCT dst, depth + 1, array_append(seen, dst)
+             FROM (SELECT depth, seen, explode(transform(sequence(size(split(number, '[.]')), 1, -1), k -> concat(law, ':', substring_index(number, '.', k)))) AS up
+                   FROM (SELECT depth, seen, substring_index(at, ':', 1) AS law, CASE WHEN contains(at, ':') THEN regexp_replace(at, '^[^:]*:', '') ELSE '' END AS number FROM walk WHERE depth < {most}) ids) level
+             JOIN {ends} ON up = target WHERE NOT array_contains(seen, dst))
            SELECT at, min(depth) AS depth FROM walk GROUP BY at""",
-        frontier=frontier.select("article_id").distinct(), hops=hops, most=max_depth,
+        frontier=frontier.select("article_id").distinct(), ends=ends.select(F.col("to_article_id").alias("target"), F.col("from_article_id").alias("dst")), most=max_depth,
     )
-    before = with_ancestors(walked.select(F.col("at").alias("article_id"))).join(walked.select(F.col("at").alias("via"), (F.col("depth") + 1).alias("depth")), "via")
-    hits = refs.join(before.select(F.col("article_id").alias("to_article_id"), F.col("via").alias("via_article_id"), "depth"), "to_article_id")
+    walked = written(walked, "walks")
+    before = walked.select(F.explode(_up("at")).alias("to_article_id"), F.col("at").alias("via_article_id"), (F.col("depth") + 1).alias("depth"))
+    hits = refs.join(before, "to_article_id")
     return hits.join(walked.select(F.col("at").alias("from_article_id"), "depth"), ["from_article_id", "depth"]).select(*refs.columns, "via_article_id", "depth")
 
 

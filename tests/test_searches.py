@@ -118,3 +118,24 @@ def test_ranges_are_filled_whole_and_only_with_what_exists(spark):
     links = structure.extract_links(provisions, articles).collect()
     assert sorted(r.target for r in links if r.from_id == "2.1") == sorted([f"1.{k}" for k in range(1, 61) if k != 30] + ["3.2", "3.7"])
     assert [r.target for r in links if r.from_id == "3.2"] == []
+
+
+def test_recursion_goes_on_from_what_cites_nothing(spark):
+    refs = spark.createDataFrame([("y:1", "x:1"), ("y:1", "x:1"), ("z:2.1", "y:1"), ("w:3", "z:2"), ("s:1", "y:1"), ("v:1", None)], "from_article_id string, to_article_id string")
+    seeds, frontier = (spark.createDataFrame([(i,)], "article_id string") for i in ("s:1", "x:1"))
+    found = [sorted(map(tuple, f(refs, frontier, seeds, 4).collect())) for f in (traverse.recursive_refs, traverse.indirect_refs)]
+    assert found[0] == found[1] == [("w:3", "z:2", "z:2.1", 4), ("y:1", "x:1", "x:1", 2), ("y:1", "x:1", "x:1", 2), ("z:2.1", "y:1", "y:1", 3)]
+
+
+def test_recursion_deals_no_references_anew(spark, store, tmp_path, monkeypatch):
+    walks, written = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda frame, kind: walks.append(frame._jdf.queryExecution().optimizedPlan().toString()) or written(frame, kind))
+    frames = {"refs": store.refs.select("from_article_id", "to_article_id"), "seeds": spark.createDataFrame([("l0:1",)], "article_id string"), "frontier": spark.createDataFrame([("l3:1",), ("l4:2.1",), ("l5:1.1",)], "article_id string")}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+    read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in frames}
+    found = traverse.recursive_refs(read["refs"], read["frontier"], read["seeds"], 3)
+    plan = found._jdf.queryExecution()
+    assert "UnionLoop" not in plan.optimizedPlan().toString() and "Exchange hashpartitioning" not in plan.executedPlan().toString()
+    assert len(walks) == 1 and walks[0].count("UnionLoop ") == 1 and "strategy=broadcast" in walks[0]
+    assert found.count() == traverse.indirect_refs(read["refs"], read["frontier"], read["seeds"], 3).count() > 0
