@@ -127,10 +127,11 @@ def test_recursion_goes_on_from_what_cites_nothing(spark):
     assert found[0] == found[1] == [("w:3", "z:2", "z:2.1", 4), ("y:1", "x:1", "x:1", 2), ("y:1", "x:1", "x:1", 2), ("z:2.1", "y:1", "y:1", 3)]
 
 
-def test_recursion_deals_no_references_anew(spark, store, tmp_path, monkeypatch):
+def test_recursion_deals_no_references_anew(spark, tmp_path, monkeypatch):
     walks, written = [], traverse.written
     monkeypatch.setattr(traverse, "written", lambda frame, kind: walks.append(frame._jdf.queryExecution().optimizedPlan().toString()) or written(frame, kind))
-    frames = {"refs": store.refs.select("from_article_id", "to_article_id"), "seeds": spark.createDataFrame([("l0:1",)], "article_id string"), "frontier": spark.createDataFrame([("l3:1",), ("l4:2.1",), ("l5:1.1",)], "article_id string")}
+    chain = spark.createDataFrame([(f"a:{i}", f"a:{i // 2}") for i in range(2, 60)], "from_article_id string, to_article_id string")
+    frames = {"refs": chain, "seeds": spark.createDataFrame([("a:4",)], "article_id string"), "frontier": spark.createDataFrame([("a:5",)], "article_id string")}
     for name, frame in frames.items():
         frame.write.parquet(f"{tmp_path}/{name}")
     read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in frames}
@@ -138,4 +139,4 @@ def test_recursion_deals_no_references_anew(spark, store, tmp_path, monkeypatch)
     plan = found._jdf.queryExecution()
     assert "UnionLoop" not in plan.optimizedPlan().toString() and "Exchange hashpartitioning" not in plan.executedPlan().toString()
     assert len(walks) == 1 and walks[0].count("UnionLoop ") == 1 and "strategy=broadcast" in walks[0]
-    assert found.count() == traverse.indirect_refs(read["refs"], read["frontier"], read["seeds"], 3).count() > 0
+    assert found.count() == traverse.indirect_refs(read["refs"], read["frontier"], read["seeds"], 3).count() == 6
