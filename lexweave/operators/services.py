@@ -331,14 +331,17 @@ def search(store: GraphStore, query: str, index: TextIndex | None = None, limit:
 
     Every word stands in the law's names or in the text, in either direction of prefix; a query without a number needs
     a word in the text; a number limits to it and what is below. A report of the best ``limit``. ``index`` is one of
-    ``provision_index``: with it only the terms asked for are read, else every text is stemmed for the query.
+    ``provision_index``: with it only the terms asked for are read, which pays where many searches share it; else
+    the texts are read for the query, and those stemmed that have the first letters of a word.
     """
     words, numbers = query_words(store, query)
     laws = store.laws.withColumn("law_bag", T.stems(_all_names())).select("law_id", F.col("name").alias("law_name"), "law_bag")
     named = _any([under("number", F.lit(n)) for n in numbers]) if numbers else F.lit(True)
     if index is None:
-        rows = store.articles.where(named).withColumn("bag", T.stems(F.concat_ws(" ", "title", "text")))
-        in_text = [T.prefix_match(F.col("bag"), F.lit(w)) for w in words]
+        whole = F.concat_ws(" ", "title", "text")
+        near = [T.may_match(whole, w) for w in words]
+        rows = store.articles.where(named if numbers or not words else _any(near)).withColumn("bag", T.stems(whole))
+        in_text = [n & T.prefix_match(F.col("bag"), F.lit(w)) for n, w in zip(near, words)]
     else:
         hits = None
         for k, w in enumerate(words):
@@ -358,7 +361,8 @@ def search(store: GraphStore, query: str, index: TextIndex | None = None, limit:
         keep = keep & _any(in_text)
     matched = sum([t.cast("int") for t in in_text], F.lit(0))
     exact = F.col("number").isin(*numbers) if numbers else F.lit(False)
-    rows = rows.where(keep).select("article_id", "number", "number_key", "law_id", "law_name", exact.alias("exact"), matched.alias("matched"), T.excerpt(F.coalesce(F.nullif("text", F.lit("")), "title"), 240).alias("snippet"))
+    key = number_key("number").alias("number_key")  # of what is found, not of every provision
+    rows = rows.where(keep).select("article_id", "number", key, "law_id", "law_name", exact.alias("exact"), matched.alias("matched"), T.excerpt(F.coalesce(F.nullif("text", F.lit("")), "title"), 240).alias("snippet"))
     return rows.orderBy(F.desc("exact"), F.desc("matched"), "number_key", "law_name", "article_id").limit(limit).drop("number_key")
 
 

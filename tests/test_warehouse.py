@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.functions import text as T
 from lexweave.operators import services, textindex
 from lexweave.operators.store import GraphStore, with_keys
 from lexweave.sources.schemas import schema
@@ -224,3 +225,24 @@ def test_a_large_table_is_dealt_to_more_tasks_than_the_session_has(spark, monkey
     wanted = sorted(corpus.derive(spark, "/root/testdata/sf0.001", "edges")["edges"].collect())
     monkeypatch.setattr(corpus, "TASK_ORDERS", 100)
     assert sorted(corpus.derive(spark, "/root/testdata/sf0.001", "edges")["edges"].collect()) == wanted
+
+
+@pytest.mark.parametrize("name", ["q_search_two_words"])
+def test_one_search_reads_the_texts_and_builds_no_index(spark, monkeypatch, name):
+    from lexweave.plans import catalog, corpus
+
+    monkeypatch.setattr(corpus, "_LOADED", {})
+    found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {k[2:] for k in corpus._LOADED if k[2] != "first"} == {("graph",), ("graph", "laws"), ("graph", "articles")}  # before: the index of provisions too
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()  # no provision is dealt anew
+    assert found.count() > 0
+
+
+def test_first_letters_hide_no_match(spark):
+    texts = ["Ажилтны цагийн бичвэр", "АЖИЛ", "ажи", "FURNITURE account", "accounting 12.3", "a ccounts", "acc", "о нь", "İstanbul", "x цаг", None, ""]
+    words = ["ажилт", "ажил", "furn", "accounts", "acco", "нь", "цаг", "istan", "furnituresque", "on"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.stems(F.coalesce("text", F.lit(""))).alias("bag"))
+    for w in words:
+        met = rows.select(T.prefix_match(F.col("bag"), F.lit(w)).alias("is"), T.may_match(F.coalesce("text", F.lit("")), w).alias("may")).collect()
+        assert all(r["may"] for r in met if r["is"]) and not all(r["may"] for r in met), w
+    assert sum(rows.select(T.prefix_match(F.col("bag"), F.lit(w)).alias("is")).where("is").count() for w in words) > 8
