@@ -45,10 +45,11 @@ def deletions_of(term: str, edits: int = MOST_EDITS) -> list[str]:
     return sorted({"".join(head[i] for i in kept) for n in range(max(0, len(head) - edits), len(head) + 1) for kept in combinations(range(len(head)), n)})
 
 
-def _sharded(rows: DataFrame, key: str, order: list[str], shards: int, path: str) -> None:
-    """``rows`` cut into ranges of ``order``, which ``key`` opens, a folder each, sorted; and which keys are where. The rows of
-    one key may fill several shards."""
-    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
+def _sharded(rows: DataFrame, cuts: list[str], order: list[str], shards: int, path: str) -> None:
+    """``rows`` cut into ranges of ``cuts``, a folder each, sorted by ``order``; and which keys, the first of both, are where. The
+    rows of one key may fill several shards, those of equal ``cuts`` fill one."""
+    key = order[0]
+    dealt = rows.repartitionByRange(shards, *cuts).sortWithinPartitions(*order).drop("part").withColumn("shard", F.spark_partition_id())
     dealt.write.mode("overwrite").partitionBy("shard").parquet(path)
     kept = rows.sparkSession.read.parquet(path)
     kept.groupBy("shard").agg(F.min(key).alias("low"), F.max(key).alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{path}.ranges")
@@ -69,9 +70,13 @@ def build_index(texts: DataFrame, folder: str, stemmed: bool = False, shard_rows
     counted = spark.read.parquet(f"{folder}/counted")
     rows, n = counted.where("term IS NOT NULL"), counted.count()
     shards = max(1, -(-n // shard_rows))
-    _sharded(rows.select("term", "id", F.col("tf").cast("int").alias("tf"), "size"), "term", ["term", "id"], shards, f"{folder}/postings")
-    terms = spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    _sharded(terms.select("term", "df", F.explode(deletions(F.col("term"))).alias("variant")), "variant", ["variant", "term"], shards, f"{folder}/deletions")
+    rows.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    # only a term of more postings than a shard holds is cut, into parts by id: such terms are fewer than shards
+    large = terms.where(F.col("df") > shard_rows).select("term", F.ceil(F.col("df") / shard_rows).alias("parts"))
+    parted = rows.join(F.broadcast(large), "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)))
+    _sharded(parted.select("term", "part", "id", F.col("tf").cast("int").alias("tf"), "size"), ["term", "part"], ["term", "id"], shards, f"{folder}/postings")
+    _sharded(terms.select("term", "df", F.explode(deletions(F.col("term"))).alias("variant")), ["variant", "term"], ["variant", "term"], shards, f"{folder}/deletions")
     sizes = counted.groupBy("id").agg(F.max("size").alias("size"))
     sizes.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
     return TextIndex(spark, folder)
